@@ -13,7 +13,7 @@ def canonical_id(value: Column | str) -> Column:
     """
     value = F.col(value) if isinstance(value, str) else value
     anywhere = F.regexp_extract(value, "[0-9]+", 0)
-    plain = F.when(value.rlike("^[1-9][0-9]*$"), value).otherwise(F.regexp_replace(anywhere, "^0+", ""))
+    plain = F.when(value.rlike(r"\A[1-9][0-9]*\z"), value).otherwise(F.regexp_replace(anywhere, "^0+", ""))
     return F.when(plain != "", plain)
 
 

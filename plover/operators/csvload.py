@@ -124,14 +124,14 @@ def strip_line_end(line: str) -> str:
 
 def parse_record(line: str, delimiter: str) -> tuple[str | None, str, int, list[str]]:
     """(kind of row or failure, detail, offset, fields): kind is '' for a loaded record, None for no record at all."""
-    line = strip_line_end(line)
+    line = strip_line_end(line).removeprefix("\ufeff")
     if not line.strip():
         return None, "blank", 0, []
     try:
         fields, _ = RecordGrammar(delimiter).record(line, 0, len(line))
     except SyntaxFault as fault:
         return "quoting", fault.reason, fault.offset, []
-    if tuple(f.strip(BLANKS) for f in [fields[0].removeprefix("﻿"), *fields[1:]]) == HEADER:
+    if tuple(f.strip(BLANKS) for f in fields) == HEADER:
         return None, "header", 0, []
     if len(fields) != len(HEADER):
         return "column_count", f"{len(fields)} fields", 0, []
