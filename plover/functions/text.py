@@ -118,7 +118,7 @@ def aspect_tags(tokens: Column, raw: Column, lexicon: dict | None = None) -> Col
             return any_of
 
         weak = patterns["weak"]
-        beside = F.exists(tokens, lambda t, weak=weak: ~t.startswith("~") & ~t.isin(weak))
+        beside = F.exists(tokens, _content(weak))
         is_it = hit(patterns["strong"]) | (hit(weak) & beside)
         if name == "~price":
             is_it = is_it | raw.rlike(r"\$[0-9]")
@@ -126,6 +126,10 @@ def aspect_tags(tokens: Column, raw: Column, lexicon: dict | None = None) -> Col
     return F.array_sort(F.array_compact(F.array(*found)))
 
 
+def _content(weak: list[str]):
+    return lambda t: ~t.startswith("~") & ~t.isin(weak)
+
+
 def has_phrase(tokens_all: Column, phrase: list[str]) -> Column:
     """The words stand next to each other, stopwords counted."""
     wanted = F.array(*[F.lit(w) for w in phrase])

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plover.queries import problems
+from plover.queries import problems, searching
 
-FLAGSHIP = "p7_found"
-QUERIES = {**problems.QUERIES}
-SQL: dict[str, str] = {}
+FLAGSHIP = "search_top"
+QUERIES = {**problems.QUERIES, **searching.QUERIES}
+SQL: dict[str, str] = {**searching.SQL}
