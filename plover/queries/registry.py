@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plover.queries import problems, searching
+from plover.queries import ingesting, problems, searching
 
 FLAGSHIP = "search_top"
-QUERIES = {**problems.QUERIES, **searching.QUERIES}
-SQL: dict[str, str] = {**searching.SQL}
+QUERIES = {**problems.QUERIES, **searching.QUERIES, **ingesting.QUERIES}
+SQL: dict[str, str] = {**searching.SQL, **ingesting.SQL}

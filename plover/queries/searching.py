@@ -15,6 +15,7 @@ from plover.plans import plan
 from plover.plans.ir import query_key as key_of
 from plover.plans.parse import parse
 from plover.queries.sqlparts import ANALYSED, AUTHORS, ENGAGEMENT, POSTINGS, POSTS, RECENCY, TOKENS, bucket, q
+from plover.runtime import materialize
 from plover.sources.tables import table
 
 NOW = 1788782400000  # 2026-09-07T12:00:00Z, the clock of all queries
@@ -354,8 +355,8 @@ SELECT CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rnk, post_id, 'L
 
 def _search(spark, d, sort: str) -> DataFrame:
     """L0 of ``MUST`` with a soft term, ranked: one batch plan, no driver loop."""
-    p = posts(spark, d)
-    rows = I.build_postings(p)
+    p = materialize(posts(spark, d), "posts")
+    rows = materialize(I.build_postings(p), "postings")
     dfs = I.document_frequencies(rows)
     pair = f"{X.BIGRAM}{MUST[0]}{X.BIGRAM}{MUST[1]}"
     known = {r["term"]: r["df"] for r in dfs.filter(F.col("term").isin([*MUST, pair])).collect()}
