@@ -84,12 +84,36 @@ def without_stopwords(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(lexicons.stopwords()))
 
 
-def tokenized(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` plus tokens_all, tokens (stopwords dropped) and has_link; the text is folded and split once."""
-    out = rows.withColumn("_folded", folded(F.col(text)))
-    out = out.withColumn("tokens_all", F.coalesce(expand(pieces(F.col("_folded"))), F.array().cast("array<string>")))
-    out = out.withColumn("has_link", F.coalesce(F.col("_folded").rlike(LINK), F.lit(False))).drop("_folded")
-    return out.withColumn("tokens", without_stopwords(F.col("tokens_all")))
+ANALYSIS = "tokens_all array<string>, tokens array<string>, present array<string>, has_link boolean"
+
+
+def tokenized(rows: DataFrame, text: str = "text", lexicon: dict | None = None) -> DataFrame:
+    """``rows`` plus tokens_all, tokens (stopwords dropped), present (all index terms: words, pairs, aspects), has_link.
+
+    One Arrow-batched pass per text: as higher-order column expressions (``pieces``, ``expand``, ``adjacent_bigrams``,
+    ``aspect_tags``, equal in result) the same work takes about eight times the CPU, and filters pushed below them repeat it.
+    """
+    lexicon = lexicon or lexicons.aspects()
+
+    def analyse(texts: pd.Series) -> pd.DataFrame:
+        stop, out = frozenset(lexicons.stopwords()), []
+        triggers = aspect_triggers(lexicon)
+        for t in texts:
+            every, link = tokens_and_link(t or "")
+            kept = [x for x in every if x not in stop]
+            pairs = [f"{BIGRAM}{x}{BIGRAM}{y}" for x, y in zip(kept, kept[1:], strict=False)]
+            tags = aspects_of(kept, t or "", lexicon) if "$" in (t or "") or not triggers.isdisjoint(kept) else []
+            out.append((every, kept, [*kept, *pairs, *tags], link))
+        return pd.DataFrame(out, columns=["tokens_all", "tokens", "present", "has_link"])
+
+    out = rows.withColumn("_a", F.pandas_udf(analyse, ANALYSIS)(F.col(text)))
+    return out.select(*[F.col(c) for c in rows.columns], "_a.*")
+
+
+def exploded(rows: DataFrame, items: Column, *keep, name: str = "term") -> DataFrame:
+    """``keep`` and one row per item. Outer explode with a filter after it: a plain explode makes the optimizer test the
+    array's size first, far below, and so compute it twice."""
+    return rows.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
 
 
 def adjacent_bigrams(tokens: Column) -> Column:
@@ -142,28 +166,62 @@ def _for_re(pattern: str) -> str:
     return re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", pattern)
 
 
-_RE_CJK = re.compile(f"[{_for_re(CJK)}]+")
-_RE_PICTURES = re.compile(f"[{_for_re(PICTURES)}]+")
-_RE_WORD = re.compile(rf"(?:(?![{_for_re(CJK)}])\w)+(?:['’](?:(?![{_for_re(CJK)}])\w)+)*")
+_RE_CJK = re.compile(f"[{_for_re(CJK)}]")
+_RE_PICTURES = re.compile(f"[{_for_re(PICTURES)}]")
+_PLAIN = r"\w+(?:['’]\w+)*"
+_MIXED = rf"(?:(?![{_for_re(CJK)}])\w)+(?:['’](?:(?![{_for_re(CJK)}])\w)+)*"
+_RE_PLAIN = re.compile(rf"[#@$]?{_PLAIN}|[{_for_re(PICTURES)}]+")
+_RE_MIXED = re.compile(rf"[#@$]?{_MIXED}|[{_for_re(CJK)}]+|[{_for_re(PICTURES)}]+")
+_RE_LINK = re.compile(LINK, re.ASCII)
+
+
+def tokens_and_link(text: str) -> tuple[list[str], bool]:
+    """All tokens of a text, stopwords kept, and whether a link was in it."""
+    text = (text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)).lower()
+    link = False
+    if "http" in text or "www." in text:
+        text, n = _RE_LINK.subn(" ", text)
+        link = n > 0
+    if text.isascii():
+        runs = _RE_PLAIN.findall(text)
+        if not ("#" in text or "@" in text or "$" in text):
+            return runs, link
+    else:
+        runs = (_RE_MIXED if _RE_CJK.search(text) else _RE_PLAIN).findall(text)
+    out: list[str] = []
+    for run in runs:
+        c = run[0]
+        if c in "#@$":
+            word = run[1:].replace("’", "'")
+            out += [word] if c == "$" and all(unicodedata.category(x)[0] == "N" for x in word) else [c + word, word]
+        elif c.isascii():
+            out.append(run.replace("’", "'"))
+        elif _RE_CJK.match(c):
+            out += [run[i : i + 2] for i in range(max(1, len(run) - 1))]
+        elif _RE_PICTURES.match(c):
+            out += dict.fromkeys(run)
+        else:
+            out.append(run.replace("’", "'"))
+    return out, link
 
 
 def tokenize(text: str, keep_stopwords: bool = False) -> list[str]:
-    text = re.sub(LINK, " ", unicodedata.normalize("NFKC", text).lower())
-    out, at = [], 0
-    while at < len(text):
-        c = text[at]
-        if c in "#@$" and (m := _RE_WORD.match(text, at + 1)):
-            word = m[0].replace("’", "'")
-            out += [word] if c == "$" and all(unicodedata.category(x)[0] == "N" for x in word) else [c + word, word]
-        elif m := _RE_CJK.match(text, at):
-            out += [m[0][i : i + 2] for i in range(max(1, len(m[0]) - 1))]
-        elif m := _RE_PICTURES.match(text, at):
-            out += dict.fromkeys(m[0])
-        elif m := _RE_WORD.match(text, at):
-            out.append(m[0].replace("’", "'"))
-        else:
-            at += 1
-            continue
-        at = m.end()
-    stop = set() if keep_stopwords else set(lexicons.stopwords())
-    return [t for t in out if t not in stop]
+    every, _ = tokens_and_link(text)
+    stop = () if keep_stopwords else frozenset(lexicons.stopwords())
+    return [t for t in every if t not in stop]
+
+
+def aspect_triggers(lexicon: dict) -> frozenset[str]:
+    """Words one of which any aspect needs: single patterns, and the first words of phrases."""
+    return frozenset(p.split(" ")[0] for patterns in lexicon.values() for kind in patterns.values() for p in kind)
+
+
+def aspects_of(tokens: list[str], raw: str, lexicon: dict | None = None) -> list[str]:
+    """Aspects of a token stream; the rules of ``aspect_tags`` for one text."""
+    padded, present, found = f" {' '.join(tokens)} ", set(tokens), []
+    hit = lambda ps: any(p in present if " " not in p else f" {p} " in padded for p in ps)
+    for name, patterns in (lexicon or lexicons.aspects()).items():
+        weak = patterns["weak"]
+        if hit(patterns["strong"]) or (hit(weak) and any(not t.startswith("~") and t not in weak for t in tokens)) or (name == "~price" and re.search(r"\$[0-9]", raw)):
+            found.append(name)
+    return sorted(found)

@@ -15,20 +15,27 @@ RERANK_CAP = 200
 MAX_POSTINGS_PER_POST = 4096
 
 
-def terms_of_posts(tokenized: DataFrame, lexicon: dict | None = None) -> DataFrame:
-    """post_id, term, tf: words and neighbouring pairs with their counts, aspects with 1; unique per (term, post)."""
-    words = F.concat("tokens", X.adjacent_bigrams(F.col("tokens")))
-    aspects = F.transform(X.aspect_tags(F.col("tokens"), F.col("text"), lexicon), lambda a: F.struct(a.alias("term"), F.lit(0).alias("n")))
-    listed = F.concat(F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"))), aspects)
-    rows = tokenized.select("post_id", F.explode(listed).alias("t")).select("post_id", "t.term", "t.n")
-    return rows.groupBy("post_id", "term").agg(F.greatest(F.sum("n"), F.lit(1)).cast("long").alias("tf"))
+def analysed(posts: DataFrame, lexicon: dict | None = None) -> DataFrame:
+    """posts with tokens_all, tokens and ``present``: all index terms of a post (words, neighbouring pairs, aspects)."""
+    return X.tokenized(posts, "text", lexicon)
+
+
+def terms_of_posts(analysed: DataFrame) -> DataFrame:
+    """post_id, term, tf, unique per (term, post). A post's terms come from one row, so counts combine before any shuffle."""
+    return X.exploded(analysed, F.col("present"), "post_id").groupBy("post_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def postings_of(analysed: DataFrame) -> DataFrame:
+    """term, post_id, tf and the filter columns copied onto each posting, so reads need no join: the copies travel
+    through the explode, and (post, term) groups take them along."""
+    copies = ["author_id", "created_ms", "media_type", "likes", "lang"]
+    bucket = P.score_bucket(P.engagement() + P.static_recency()).alias("bucket")
+    rows = X.exploded(analysed, F.col("present"), "post_id", *copies, bucket)
+    return rows.groupBy("post_id", *copies, "bucket", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def build_postings(posts: DataFrame, lexicon: dict | None = None) -> DataFrame:
-    """term, post_id, tf and the filter columns copied onto each posting, so reads need no join."""
-    tokenized = X.tokenized(posts)
-    copied = tokenized.select("post_id", "author_id", "created_ms", "media_type", "likes", "lang", P.score_bucket(P.engagement() + P.static_recency()).alias("bucket"))
-    return terms_of_posts(tokenized, lexicon).join(copied, "post_id")
+    return postings_of(analysed(posts, lexicon))
 
 
 def write_postings(postings: DataFrame, path: str, partitions: int) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plover.functions.ids import canonical_id
+from plover.runtime import spread
 
 #: 2025-01-01, the start of the static recency term; days it grows, and how many days are one point.
 RECENCY_EPOCH_MS = 1735689600000
@@ -22,7 +23,9 @@ DAY_MS = 86400000
 def posts_from_ingress(ingress: DataFrame) -> DataFrame:
     """One row per post id with text: its first record. Ids in canonical spelling, missing counts as 0."""
     body = F.trim("text")
-    keyed = ingress.withColumn("post_id", canonical_id("id")).filter(F.col("post_id").isNotNull() & (body != ""))
+    columns = ["ingress_seq", "author_id", "text", "received_at", "metrics", "metrics_at", "media", "lang", "quoted_tweet_id", "retweet_of_tweet_id", "in_reply_to_tweet_id"]
+    keyed = ingress.withColumn("post_id", canonical_id("id")).filter(F.col("post_id").isNotNull() & (body != "")).select("post_id", *columns)
+    keyed = keyed.repartition(spread(ingress.sparkSession), "post_id")  # the one shuffle: aggregate and join below keep it
     first = keyed.groupBy("post_id").agg(F.min("ingress_seq").alias("ingress_seq"))
     count = lambda name: F.coalesce(F.col(f"metrics.{name}"), F.lit(0)).alias(name)
     kept = keyed.join(first, ["post_id", "ingress_seq"], "left_semi")

@@ -45,12 +45,6 @@ def text_predicate(*, gates=(), exclude=(), phrases=(), any_terms=(), any_phrase
     return F.coalesce(keep, F.lit(False))
 
 
-def analysed(posts: DataFrame) -> DataFrame:
-    """posts with tokens_all, tokens and ``present``: words, neighbouring pairs and aspects a post can match."""
-    t = X.tokenized(posts)
-    return t.withColumn("present", F.concat("tokens", X.adjacent_bigrams(F.col("tokens")), X.aspect_tags(F.col("tokens"), F.col("text"))))
-
-
 def capped_reads(postings: DataFrame, terms, read: str, filters: dict, cap: int) -> DataFrame:
     """The postings a plan may look at: the order and the pushed-down range depend on the read's shape; what that shape
     can't push is filtered after the cap, on purpose: a capped index read would do the same."""
@@ -83,7 +77,7 @@ def plan_candidates(postings: DataFrame, plan) -> DataFrame:
 def scored(candidates: DataFrame, query_terms: list[str], dfs: DataFrame, total: int, *, now_ms: int, sort: str, must: list[str], should: list[str], phrases: list[list[str]], media: str | None, intent: str) -> DataFrame:
     """Signals, coverage and chain of candidates (posts with ``present``, ``tokens``, follower_count, votes, boost, matched_via)."""
     matched = [t for t in query_terms if not t.startswith(X.BIGRAM)]
-    hits = candidates.select("post_id", F.explode(F.filter("tokens", lambda t: t.isin(matched))).alias("term")).groupBy("post_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = X.exploded(candidates, F.filter("tokens", lambda t: t.isin(matched)), "post_id").groupBy("post_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     aspects = candidates.select("post_id", F.explode(F.filter("present", lambda t: t.isin([m for m in matched if m.startswith("~")]))).alias("term"), F.lit(1).cast("long").alias("tf"))
     rel = R.relevance(hits.unionByName(aspects), dfs.filter(F.col("term").isin(matched)), total)
     has = lambda t: F.array_contains("present", t)
@@ -108,7 +102,7 @@ def scored(candidates: DataFrame, query_terms: list[str], dfs: DataFrame, total:
 
 def feedback_terms(tokenized_top: DataFrame, query_terms: list[str], most: int = 5) -> DataFrame:
     """term, n: the words that most of the top posts share, beyond the query's own."""
-    words = tokenized_top.select("post_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    words = X.exploded(tokenized_top, F.array_distinct("tokens"), "post_id")
     wanted = ~F.col("term").isin(query_terms or [""]) & (F.length("term") >= 3) & ~F.col("term").startswith("~")
     return words.filter(wanted).groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").orderBy(F.desc("n"), "term").limit(most)
 

@@ -11,6 +11,7 @@ from plover.operators import index as I
 from plover.operators import rank as R
 from plover.operators import search as S
 from plover.plans import ir, parse, plan
+from plover.runtime import materialize
 
 
 @dataclass
@@ -27,17 +28,17 @@ class Result:
 
 
 class SearchEngine:
-    """Search over ``posts`` (operators.posts) with its postings; both should be cached or written tables.
+    """Search over ``posts`` (operators.posts) with its postings (``operators.index``, written by ``write_postings`` or here).
 
     ``authors``: author_id, handle, authority. ``votes``: query_key, post_id, total.
     """
 
     def __init__(self, posts: DataFrame, postings: DataFrame | None = None, authors: DataFrame | None = None, votes: DataFrame | None = None, boosts: DataFrame | None = None):
-        self.posts = S.analysed(posts)
-        self.postings = postings if postings is not None else I.build_postings(posts)
+        self.posts = materialize(I.analysed(posts), "analysed")  # tokenized once; queries never reach the tokenizer
+        self.postings = postings if postings is not None else materialize(I.postings_of(self.posts), "postings")
         self.dfs = I.document_frequencies(self.postings)
         self.authors, self.votes, self.boosts = authors, votes, boosts
-        self.total = posts.count()
+        self.total = self.posts.count()
 
     def _author(self, handle: str) -> str | None:
         if self.authors is None:

@@ -60,7 +60,8 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def analysed(spark: SparkSession, d: str) -> DataFrame:
-    return S.analysed(posts(spark, d))
+    """Posts with their token streams, written once: a filter on them must not be pushed below the tokenizer."""
+    return materialize(I.analysed(posts(spark, d)), "analysed")
 
 
 def latest_authors(spark: SparkSession, d: str) -> DataFrame:
@@ -70,24 +71,25 @@ def latest_authors(spark: SparkSession, d: str) -> DataFrame:
 # ---- text
 @query(f"WITH {TOKENS} SELECT post_id, unnest(tokens) AS term, CAST(unnest(range(1, len(tokens) + 1)) AS INTEGER) AS pos FROM tok")
 def tokenize_docs(spark, d):
-    return X.tokenized(posts(spark, d)).select("post_id", F.posexplode("tokens").alias("pos", "term")).select("post_id", "term", (F.col("pos") + 1).alias("pos"))
+    numbered = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), (i + 1).alias("pos")))
+    return X.exploded(X.tokenized(posts(spark, d)), numbered, "post_id", name="t").select("post_id", "t.term", "t.pos")
 
 
 @query(f"WITH {TOKENS}, t AS (SELECT post_id, unnest(tokens) AS term FROM tok) SELECT post_id, term, count(*) AS tf FROM t GROUP BY ALL")
 def term_frequency(spark, d):
-    t = X.tokenized(posts(spark, d)).select("post_id", F.explode("tokens").alias("term"))
+    t = X.exploded(X.tokenized(posts(spark, d)), F.col("tokens"), "post_id")
     return t.groupBy("post_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 @query(f"WITH {ANALYSED}, t AS (SELECT DISTINCT post_id, unnest(pairs) AS pair FROM ana) SELECT replace(pair, chr(2), ' ') AS pair, count(*) AS df FROM t GROUP BY ALL HAVING count(*) >= 2")
 def adjacent_bigrams(spark, d):
-    t = X.tokenized(posts(spark, d)).select(F.explode(F.array_distinct(X.adjacent_bigrams(F.col("tokens")))).alias("pair"))
+    t = X.exploded(X.tokenized(posts(spark, d)), F.array_distinct(X.adjacent_bigrams(F.col("tokens"))), name="pair")
     return t.groupBy(F.regexp_replace("pair", X.BIGRAM, " ").alias("pair")).agg(F.count(F.lit(1)).alias("df")).filter("df >= 2")
 
 
 @query(f"WITH {ANALYSED} SELECT post_id, unnest(aspects) AS aspect FROM ana")
 def aspect_tags(spark, d):
-    return X.tokenized(posts(spark, d)).select("post_id", F.explode(X.aspect_tags(F.col("tokens"), F.col("text"))).alias("aspect"))
+    return X.exploded(X.tokenized(posts(spark, d)), X.aspect_tags(F.col("tokens"), F.col("text")), "post_id", name="aspect")
 
 
 @query(f"WITH {TOKENS} SELECT post_id FROM tok WHERE len(list_filter(range(1, len(tokens_all)), lambda i: tokens_all[i] = 'hot' AND tokens_all[i + 1] = 'take')) > 0")
@@ -195,20 +197,20 @@ def and_gates(spark, d):
 # ---- index
 @query(f"WITH {POSTINGS} SELECT replace(term, chr(2), '+') AS term, post_id, tf FROM postings")
 def build_postings(spark, d):
-    t = I.terms_of_posts(X.tokenized(posts(spark, d)))
+    t = I.terms_of_posts(I.analysed(posts(spark, d)))
     return t.select(F.regexp_replace("term", X.BIGRAM, "+").alias("term"), "post_id", "tf")
 
 
 @query(f"WITH {POSTINGS} SELECT replace(term, chr(2), '+') AS term, df FROM dfs")
 def term_df(spark, d):
-    dfs = I.document_frequencies(I.terms_of_posts(X.tokenized(posts(spark, d))))
+    dfs = I.document_frequencies(I.terms_of_posts(I.analysed(posts(spark, d))))
     return dfs.select(F.regexp_replace("term", X.BIGRAM, "+").alias("term"), "df")
 
 
 @query(f"WITH {TOKENS}, t AS (SELECT DISTINCT post_id, author_id, unnest(tokens) AS term FROM tok), a AS (SELECT author_id, term, count(*) AS delta FROM t GROUP BY ALL) SELECT term, CAST(greatest(sum(delta), 0) AS BIGINT) AS df FROM a GROUP BY term")
 def df_fold(spark, d):
     """Deltas staged per author's batch, then folded into an empty dictionary."""
-    words = X.tokenized(posts(spark, d)).select("author_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    words = X.exploded(X.tokenized(posts(spark, d)), F.array_distinct("tokens"), "author_id")
     staged = words.groupBy("author_id", "term").agg(F.count(F.lit(1)).alias("delta")).select(F.array(F.struct("term", "delta")).alias("deltas"))
     return I.fold_deltas(spark.createDataFrame([], "term string, df long"), staged)
 
@@ -257,7 +259,7 @@ def author_timeline(spark, d):
 @query(f"WITH {POSTINGS} SELECT post_id, term, tf, posts.text, posts.likes FROM postings JOIN posts USING (post_id) WHERE term IN {inn(MUST)}")
 def hydrate_posts(spark, d):
     p = posts(spark, d)
-    hits = I.terms_of_posts(X.tokenized(p)).filter(F.col("term").isin(MUST))
+    hits = I.terms_of_posts(I.analysed(p)).filter(F.col("term").isin(MUST))
     return hits.join(p.select("post_id", "text", "likes"), "post_id").select("post_id", "term", "tf", "text", "likes")
 
 
@@ -289,8 +291,8 @@ REL = f"rel AS (SELECT post_id, sum({IDF} * tf * 1.3 / (tf + 0.3)) AS rel FROM p
 
 @query(f"WITH {POSTINGS}, {N_}, {REL} SELECT post_id, round(rel, 6) AS rel FROM rel")
 def bm25_rank(spark, d):
-    p = posts(spark, d)
-    terms = I.terms_of_posts(X.tokenized(p))
+    p = analysed(spark, d)
+    terms = I.terms_of_posts(p)
     wanted = [*MUST, *SOFT]
     return R.relevance(terms.filter(F.col("term").isin(wanted)), I.document_frequencies(terms), p.count()).withColumn("rel", F.round("rel", 6))
 
@@ -355,13 +357,14 @@ SELECT CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rnk, post_id, 'L
 
 def _search(spark, d, sort: str) -> DataFrame:
     """L0 of ``MUST`` with a soft term, ranked: one batch plan, no driver loop."""
-    p = materialize(posts(spark, d), "posts")
-    rows = materialize(I.build_postings(p), "postings")
+    p = analysed(spark, d)
+    rows = materialize(I.postings_of(p), "postings")
     dfs = I.document_frequencies(rows)
     pair = f"{X.BIGRAM}{MUST[0]}{X.BIGRAM}{MUST[1]}"
     known = {r["term"]: r["df"] for r in dfs.filter(F.col("term").isin([*MUST, pair])).collect()}
     first = plan.Plan("L0", plan.rarest_first(MUST, known), (pair,) if known.get(pair) else (), "impact" if sort == "top" else "time")
-    kept = S.analysed(p).join(S.plan_candidates(rows, first), "post_id").filter(S.text_predicate(gates=MUST)).orderBy(F.desc("rrf"), "post_id").limit(I.RERANK_CAP)
+    kept = p.join(S.plan_candidates(rows, first), "post_id").filter(S.text_predicate(gates=MUST)).orderBy(F.desc("rrf"), "post_id").limit(I.RERANK_CAP)
+    kept = materialize(kept, "candidates")  # at most 200 rows
     authority = latest_authors(spark, d).select("author_id", F.log1p(F.coalesce("follower_count", F.lit(0)).cast("double")).alias("author_authority"))
     boosts = P.propagated_boosts(p).withColumnRenamed("boost", "propagated_boost")
     ready = kept.join(authority, "author_id", "left").join(boosts, "post_id", "left").withColumns({"matched_via": F.lit("L0"), "feedback_votes": F.lit(0)})
@@ -395,7 +398,7 @@ hit AS (SELECT post_id, count(*) AS n, count(*) FILTER (g = 1) AS g1, count(*) F
 SELECT post_id, CASE WHEN n = 3 THEN 'L0' WHEN g2 = 2 OR g1 = 1 THEN 'L1' ELSE 'L2' END AS level FROM hit""")
 def ladder_search(spark, d):
     """Each level as a relation, uncapped: all gates; then without the commonest gate, twice; then any term."""
-    terms = I.terms_of_posts(X.tokenized(posts(spark, d)))
+    terms = I.terms_of_posts(I.analysed(posts(spark, d)))
     gates = I.rarest_first(spark.createDataFrame([(t,) for t in LADDER], "term string"), I.document_frequencies(terms))
     hits = terms.join(F.broadcast(gates.select("term", "rnk")), "term")  # one row per query term
     n = hits.groupBy("post_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rnk") == 1).alias("g1"), F.count_if(F.col("rnk") <= 2).alias("g2"))
@@ -407,8 +410,9 @@ def ladder_search(spark, d):
 w AS (SELECT DISTINCT post_id, unnest(tokens) AS term FROM tok JOIN top USING (post_id))
 SELECT term, count(*) AS n FROM w WHERE term <> 'security' AND length(term) >= 3 AND NOT starts_with(term, '~') GROUP BY term HAVING count(*) >= 2 ORDER BY n DESC, term LIMIT 5""")
 def prf_terms(spark, d):
-    top = postings(spark, d).filter("term = 'security'").orderBy(*I.impact_order()).limit(20).select("post_id")
-    return S.feedback_terms(X.tokenized(posts(spark, d).join(top, "post_id", "left_semi")), ["security"])
+    p = analysed(spark, d)
+    top = I.postings_of(p).filter("term = 'security'").orderBy(*I.impact_order()).limit(20).select("post_id")
+    return S.feedback_terms(p.join(top, "post_id", "left_semi"), ["security"])
 
 
 @query(f"""WITH {CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY {CAND_ORDER}) AS rnk FROM scored), k AS (SELECT min(query_key) AS query_key FROM candidates),

@@ -46,6 +46,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(spark: SparkSession) -> int:
+    """Partitions for work that is heavy per byte: as many as the session shuffles into, at least one a core."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
