@@ -118,4 +118,28 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_representatives, p5_found, p5_projection, p8_found, p8_items, p9_found, p9_report, p9_mix, p10_found, p10_shares)}
-SQL: dict[str, str] = {}
+
+#: White space at either end, as Unicode has it.
+_TRIM = r"'^[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$'"
+_RANK = ", ".join(
+    f"rank() OVER (PARTITION BY query_key ORDER BY {c}) + (count(*) OVER (PARTITION BY query_key, {c}) - 1) / 2.0 AS r{i}" for i, c in enumerate(SCORES)
+)
+_CLEAN = ", ".join(f"CASE WHEN {c} IS NULL OR isnan(CAST({c} AS DOUBLE)) THEN '-Infinity'::DOUBLE ELSE CAST({c} AS DOUBLE) END AS {c}" for c in SCORES)
+#: p8 has no twin (NFKC is missing there); p9_found's counts characters, as the answer doesn't depend on the tokenizer.
+SQL: dict[str, str] = {
+    "p1_found": f"""WITH k AS (SELECT *, nullif(ltrim(regexp_extract(id, '[0-9]+'), '0'), '') AS tweet_id, length(regexp_replace(coalesce(text, ''), {_TRIM}, '', 'g')) AS n FROM ingress),
+bad AS (SELECT DISTINCT again_seq FROM duplicates WHERE metrics_refreshed = false AND again_seq IS NOT NULL),
+m AS (SELECT tweet_id, ingress_seq FROM k WHERE metrics.likes IS NOT NULL AND metrics_at > {FIRST_READING} AND metrics_at <= {LAST_READING} AND ingress_seq NOT IN (SELECT again_seq FROM bad)
+  QUALIFY row_number() OVER (PARTITION BY tweet_id ORDER BY metrics_at DESC, ingress_seq) = 1),
+t AS (SELECT tweet_id, ingress_seq, count(*) OVER (PARTITION BY tweet_id) AS c FROM k WHERE tweet_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tweet_id ORDER BY n DESC, ingress_seq) = 1)
+SELECT tweet_id, m.ingress_seq AS metrics_seq, t.ingress_seq AS text_seq FROM t LEFT JOIN m USING (tweet_id) WHERE c > 1""",
+    "p5_found": f"""WITH o AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY query_key, candidate_id ORDER BY cand_seq) = 1),
+c AS (SELECT query_key, candidate_id, {_CLEAN} FROM o), r AS (SELECT query_key, candidate_id, {_RANK} FROM c)
+SELECT query_key, candidate_id FROM r QUALIFY row_number() OVER (PARTITION BY query_key ORDER BY r0 + r1 + r2 + r3 DESC, candidate_id) <= 5""",
+    "p9_found": """WITH s AS (SELECT source, sum(length(text)) AS n FROM documents GROUP BY source)
+SELECT source FROM mix_targets LEFT JOIN s USING (source) WHERE target_share * (SELECT sum(n) FROM s) > coalesce(n, 0) * max_repeats""",
+    "p10_found": """WITH c AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents WHERE length(text) >= 200),
+w AS (SELECT DISTINCT doc_id, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM c WHERE doc_id = rep)),
+m AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), v AS (SELECT w.* FROM w SEMI JOIN m USING (h))
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM v a JOIN v b USING (h) WHERE a.doc_id < b.doc_id UNION ALL SELECT rep, doc_id FROM c WHERE doc_id > rep""",
+}

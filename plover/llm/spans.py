@@ -100,7 +100,7 @@ def _fingerprint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not len(pos):
                 continue
             prev, gap = np.concatenate([[0], span[:-1]]), np.diff(pos, prepend=-1)
-            gap[0] = -1 - pos[0]  # no predecessor: never equal to a real gap
+            gap[0] = -1  # no predecessor
             ids.append(np.full(len(pos), doc_id))
             parts.append((pos, span, prev, gap))
         if ids:
@@ -147,7 +147,7 @@ def linked_pairs(documents: DataFrame) -> DataFrame:
     reps = docs.join(copies.select("doc_id"), "doc_id", "left_anti")
     rows = materialize(repeated_spans(reps), "shared")
     other = rows.select(*[F.col(c).alias(f"{c}_b") for c in ("doc_id", "pos", "prev_span", "gap")], F.col("span"))
-    new = ~((F.col("prev_span") == F.col("prev_span_b")) & (F.col("gap") == F.col("gap_b")))
+    new = ~((F.col("prev_span") == F.col("prev_span_b")) & (F.col("gap") == F.col("gap_b")) & (F.col("gap") > 0))
     pairs = rows.join(other, "span").filter((F.col("doc_id") < F.col("doc_id_b")) & new).select(
         F.col("doc_id").alias("doc_a"), F.col("pos").alias("pos_a"), F.col("doc_id_b").alias("doc_b"), F.col("pos_b")
     )
