@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plover.queries import ingesting, problems, searching
+from plover.queries import ingesting, problems, problems_sql, searching
 
 FLAGSHIP = "search_top"
 QUERIES = {**problems.QUERIES, **searching.QUERIES, **ingesting.QUERIES}
-SQL: dict[str, str] = {**searching.SQL, **ingesting.SQL}
+SQL: dict[str, str] = {**problems_sql.SQL, **searching.SQL, **ingesting.SQL}
