@@ -56,8 +56,7 @@ def fold_deltas(terms: DataFrame, deltas: DataFrame) -> DataFrame:
 def check_posting_cap(terms: DataFrame, cap: int = MAX_POSTINGS_PER_POST) -> DataFrame:
     """Fails the job if a post has more postings than the cap: a batch is taken whole or not at all."""
     sizes = terms.groupBy("post_id").agg(F.count(F.lit(1)).alias("n"))
-    bad = F.assert_true(F.col("n") <= cap, F.concat(F.lit("too many postings: "), F.col("post_id")))
-    return sizes.withColumn("checked", bad).drop("checked")
+    return sizes.filter(F.assert_true(F.col("n") <= cap, F.concat(F.lit("too many postings: "), F.col("post_id"))).isNull())
 
 
 def ranked_reads(postings: DataFrame, order: list[Column], cap: int = PER_TERM_CAP, by: str = "term") -> DataFrame:
