@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -84,11 +85,11 @@ def without_stopwords(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(lexicons.stopwords()))
 
 
-ANALYSIS = "tokens_all array<string>, tokens array<string>, present array<string>, has_link boolean"
+ANALYSIS = "tokens_all array<string>, tokens array<string>, present array<string>, tf array<long>, has_link boolean"
 
 
 def tokenized(rows: DataFrame, text: str = "text", lexicon: dict | None = None) -> DataFrame:
-    """``rows`` plus tokens_all, tokens (stopwords dropped), present (all index terms: words, pairs, aspects), has_link.
+    """``rows`` plus tokens_all, tokens (stopwords dropped), present (the distinct index terms: words, pairs, aspects) with their tf, has_link.
 
     One Arrow-batched pass per text: as higher-order column expressions (``pieces``, ``expand``, ``adjacent_bigrams``,
     ``aspect_tags``, equal in result) the same work takes about eight times the CPU, and filters pushed below them repeat it.
@@ -103,8 +104,11 @@ def tokenized(rows: DataFrame, text: str = "text", lexicon: dict | None = None)
             kept = [x for x in every if x not in stop]
             pairs = [f"{BIGRAM}{x}{BIGRAM}{y}" for x, y in zip(kept, kept[1:], strict=False)]
             tags = aspects_of(kept, t or "", lexicon) if "$" in (t or "") or not triggers.isdisjoint(kept) else []
-            out.append((every, kept, [*kept, *pairs, *tags], link))
-        return pd.DataFrame(out, columns=["tokens_all", "tokens", "present", "has_link"])
+            counts = Counter(kept)
+            counts.update(pairs)
+            counts.update(tags)
+            out.append((every, kept, list(counts), list(counts.values()), link))
+        return pd.DataFrame(out, columns=["tokens_all", "tokens", "present", "tf", "has_link"])
 
     out = rows.withColumn("_a", F.pandas_udf(analyse, ANALYSIS)(F.col(text)))
     return out.select(*[F.col(c) for c in rows.columns], "_a.*")

@@ -21,17 +21,16 @@ def analysed(posts: DataFrame, lexicon: dict | None = None) -> DataFrame:
 
 
 def terms_of_posts(analysed: DataFrame) -> DataFrame:
-    """post_id, term, tf, unique per (term, post). A post's terms come from one row, so counts combine before any shuffle."""
-    return X.exploded(analysed, F.col("present"), "post_id").groupBy("post_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """post_id, term, tf, unique per (term, post): counted within the post already, so nothing is aggregated or shuffled."""
+    return X.exploded(analysed, F.arrays_zip("present", "tf"), "post_id", name="t").select("post_id", F.col("t.present").alias("term"), F.col("t.tf").alias("tf"))
 
 
 def postings_of(analysed: DataFrame) -> DataFrame:
-    """term, post_id, tf and the filter columns copied onto each posting, so reads need no join: the copies travel
-    through the explode, and (post, term) groups take them along."""
+    """term, post_id, tf and the filter columns copied onto each posting, so reads need no join."""
     copies = ["author_id", "created_ms", "media_type", "likes", "lang"]
     bucket = P.score_bucket(P.engagement() + P.static_recency()).alias("bucket")
-    rows = X.exploded(analysed, F.col("present"), "post_id", *copies, bucket)
-    return rows.groupBy("post_id", *copies, "bucket", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = X.exploded(analysed, F.arrays_zip("present", "tf"), "post_id", *copies, bucket, name="t")
+    return rows.select("post_id", *copies, "bucket", F.col("t.present").alias("term"), F.col("t.tf").alias("tf"))
 
 
 def build_postings(posts: DataFrame, lexicon: dict | None = None) -> DataFrame:
