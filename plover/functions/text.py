@@ -92,7 +92,7 @@ def tokenized(rows: DataFrame, text: str = "text", lexicon: dict | None = None)
     """``rows`` plus tokens_all, tokens (stopwords dropped), present (the distinct index terms: words, pairs, aspects) with their tf, has_link.
 
     One Arrow-batched pass per text: as higher-order column expressions (``pieces``, ``expand``, ``adjacent_bigrams``,
-    ``aspect_tags``, equal in result) the same work takes about eight times the CPU, and filters pushed below them repeat it.
+    ``aspect_tags``, equal in result) the same work takes several times the CPU, and filters pushed below them repeat it.
     """
     lexicon = lexicon or lexicons.aspects()
 
