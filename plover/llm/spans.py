@@ -18,10 +18,11 @@ as one character; empty tables: empty results. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plover.runtime import materialize
@@ -31,6 +32,8 @@ SPAN = 150
 GRAM = 8
 WINDOW = LEAST - SPAN - GRAM + 1
 PIECE = 2_000_000
+#: Windows given back at once.
+ROWS = 100_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3 * 2 + 1)
 
@@ -167,22 +170,71 @@ def linked_pairs(documents: DataFrame) -> DataFrame:
     return sure.select("doc_a", "doc_b").distinct().unionByName(copies.select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b")))
 
 
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """doc_id, pos, high, low: the LEAST characters from ``pos`` on as a digest of 128 bits, for every ``pos`` whose
+    window holds one of the spans at ``places`` whole."""
+    held, n = [], 0
+
+    def frame() -> pd.DataFrame:
+        ids, pos, halves = (np.concatenate(x) for x in zip(*held, strict=True))
+        return pd.DataFrame({"doc_id": ids, "pos": pos, "high": halves[:, 0], "low": halves[:, 1]})
+
+    for batch in batches:
+        for doc_id, text, places in zip(batch["doc_id"], batch["text"], batch["places"], strict=True):
+            last, raw = len(text) - LEAST, text.encode("utf-8", "surrogatepass")
+            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            at = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])  # of each character in ``raw``
+            near = np.zeros(len(text) + 1, np.int64)  # +1 where a run of starts begins, -1 behind its end
+            places = np.asarray(places, np.int64)
+            np.add.at(near, np.maximum(places - (LEAST - SPAN), 0), 1)
+            np.add.at(near, places + 1, -1)
+            starts = np.flatnonzero(np.cumsum(near)[: last + 1])
+            for a in range(0, len(starts), ROWS):
+                some = starts[a : a + ROWS]
+                digests = b"".join([blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(at[some].tolist(), at[some + LEAST].tolist(), strict=True)])
+                held.append((np.full(len(some), doc_id), some, np.frombuffer(digests, np.int64).reshape(-1, 2)))
+                n += len(some)
+                if n >= ROWS:
+                    yield frame()
+                    held, n = [], 0
+    if held:
+        yield frame()
+
+
 def shared_shares(documents: DataFrame) -> DataFrame:
-    """doc_id, n_chars, shared_chars, later_chars: characters in spans that other texts hold too, and those of them a
-    lower doc_id holds (what removing every non-first repeated span would take). No pairs are formed.
+    """doc_id, n_chars, shared_chars, later_chars: characters in stretches of LEAST or more that other texts hold too, and
+    those of them a lower doc_id holds (what removing every non-first repeated stretch would take). No pairs are formed.
 
-    Documents without a shared span aren't listed.
+    A character counts if one of the windows of LEAST characters around it stands in another text: the union of these
+    windows is the union of the common stretches, up to their true ends. Windows without a shared span can't be common,
+    so only those around one are compared, by digests of 128 bits. Documents without a shared stretch aren't listed.
     """
-    docs = documents.select("doc_id", "text").filter(F.length("text") >= SPAN)
-    rows = repeated_spans(docs)
-    first = rows.groupBy("span").agg(F.min("doc_id").alias("owner"))
-    marked = rows.join(first, "span").select("doc_id", "pos", (F.col("owner") < F.col("doc_id")).alias("later"))
+    docs = documents.select("doc_id", "text").filter(F.length("text") >= LEAST)
+    copies = materialize(copy_classes(docs).distinct(), "copies")
+    reps = docs.join(copies.select("doc_id"), "doc_id", "left_anti")
+    places = repeated_spans(reps).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))  # at most one per character
+    windows = materialize(reps.join(places, "doc_id").mapInPandas(_windows, "doc_id long, pos long, high long, low long"), "windows")
+    held = windows.groupBy("high", "low").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last")
+    marked = windows.join(held, ["high", "low"]).select("doc_id", "pos", (F.col("owner") < F.col("doc_id")).alias("later"))
     order = Window.partitionBy("doc_id").orderBy("pos")
+    later = F.when(F.col("later"), F.col("pos"))
 
-    def covered(of: DataFrame, name: str) -> DataFrame:
-        gained = F.least(F.lit(SPAN), F.coalesce(F.col("pos") - F.lag("pos").over(order), F.lit(SPAN)))
-        return of.withColumn("g", gained).groupBy("doc_id").agg(F.sum("g").alias(name))
+    def gained(before: Column) -> Column:
+        return F.least(F.lit(LEAST), F.coalesce(F.col("pos") - before, F.lit(LEAST)))
 
-    whole = covered(marked, "shared_chars").join(covered(marked.filter("later"), "later_chars"), "doc_id", "left")
-    sizes = docs.select("doc_id", F.length("text").alias("n_chars"))
-    return whole.join(sizes, "doc_id").select("doc_id", "n_chars", "shared_chars", F.coalesce("later_chars", F.lit(0)).alias("later_chars"))
+    previous = F.last(later, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    covered = (
+        marked.withColumn("g", gained(F.lag("pos").over(order)))
+        .withColumn("g_later", F.when(F.col("later"), gained(previous)).otherwise(0))
+        .groupBy("doc_id")
+        .agg(F.sum("g").alias("some"), F.sum("g_later").alias("some_later"))
+    )
+    whole = copies.select("doc_id", F.lit(True).alias("lower")).unionByName(copies.select(F.col("rep").alias("doc_id"), F.lit(False).alias("lower")).distinct())
+    sizes = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars"))  # repeated rows are one record
+    listed = sizes.join(covered, "doc_id", "left").join(whole, "doc_id", "left").filter("some IS NOT NULL OR lower IS NOT NULL")
+    return listed.select(
+        "doc_id",
+        "n_chars",
+        F.when(F.col("lower").isNotNull(), F.col("n_chars")).otherwise(F.col("some")).cast("long").alias("shared_chars"),
+        F.when(F.col("lower"), F.col("n_chars")).otherwise(F.coalesce("some_later", F.lit(0))).cast("long").alias("later_chars"),
+    )

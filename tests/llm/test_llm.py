@@ -161,6 +161,45 @@ def test_spans(spark):
     assert shares[6].later_chars == 0 and shares[7].later_chars == shares[7].shared_chars > 400 and 14 not in shares
 
 
+def brute_shares(texts):
+    """doc_id -> (n_chars, shared, later), from every window of 200 characters."""
+    windows = {}
+    for i, t in texts.items():
+        for a in range(len(t or "") - 199):
+            windows.setdefault(t[a : a + 200], set()).add(i)
+    out = {}
+    for i, t in texts.items():
+        shared, later = set(), set()
+        for a in range(len(t or "") - 199):
+            ids = windows[t[a : a + 200]]
+            if len(ids) > 1:
+                shared.update(range(a, a + 200))
+            if min(ids) < i:
+                later.update(range(a, a + 200))
+        if shared:
+            out[i] = (len(t), len(shared), len(later))
+    return out
+
+
+def test_shares_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    noise = lambda n: "".join(rng.choice(list("abcdefghij klmnop日本😀"), n))
+    one, two, three, base = noise(200), noise(333), noise(199), noise(500)
+    texts = [noise(90) + one + noise(30), one, noise(7) + two + noise(51) + one, two[40:] + noise(20), three + noise(80), noise(60) + three, noise(20) + base, base, base, base[:260] + noise(9)]
+    texts += ["z" * 900, "y" + "z" * 250, one + "-" + one, None, "", "short", noise(900), two[:210] + two[100:]]
+    docs = dict(enumerate(texts))
+    df = spark.createDataFrame([*docs.items(), (7, base)], "doc_id long, text string").withColumn("pos", F.lit(1))  # one row repeated
+    got = {r.doc_id: (r.n_chars, r.shared_chars, r.later_chars) for r in spans.shared_shares(df).collect()}
+    assert got == brute_shares(docs)
+    assert got[8] == (500, 500, 500) and 4 not in got
+    assert spans.shared_shares(df.limit(0)).count() == 0
+
+
+def test_shares_of_the_tables(spark):
+    got = {r.doc_id: (r.n_chars, r.shared_chars, r.later_chars) for r in queries.p10_shares(spark, SF).collect()}
+    assert got == brute_shares({r["doc_id"]: r["text"] for r in brute.rows(SF, "documents")})
+
+
 def test_cuts_in_pieces(monkeypatch):
     rng = np.random.default_rng(6)
     codes = rng.integers(97, 123, 5000).astype(np.uint32)
