@@ -128,14 +128,41 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     return renamed.unionByName(plain).join(files, ["producer", "ordinal"])
 
 
+_NESTED = "schema_of_variant(?) RLIKE '^(OBJECT|ARRAY)'"
+
+
+def _read(path: str, kind: str) -> str:
+    """A path's value as ``kind``; objects and arrays are read as JSON text only, never as a string."""
+    inner = f"try_variant_get(object, '{path}', 'variant')"
+    if kind == "json":
+        return f"CASE WHEN NOT is_variant_null({inner}) THEN to_json({inner}) END"
+    plain = f"try_variant_get(object, '{path}', '{kind}')"
+    return plain if kind != "string" else f"CASE WHEN NOT {_NESTED.replace('?', inner)} THEN {plain} END"
+
+
+def _taken(name: str, kind: str) -> str:
+    """Whether the column holds the field's value whole."""
+    if kind == "json":
+        return f"to_json(v) = `{name}`"
+    return f"(NOT {_NESTED.replace('?', 'v')} AND try_variant_get(v, '$', 'string') = CAST(`{name}` AS STRING))"
+
+
 def unified(lines: DataFrame, aliases: dict[str, tuple[str, list[str]]], keep: list[str]) -> DataFrame:
-    """All lines as one table. ``aliases``: canonical column -> (Spark type, JSON paths in order of preference).
+    """All lines as one table. ``aliases``: canonical column -> (Spark type, or json for JSON text; JSON paths in order
+    of preference). ``keep``: columns passed on.
 
-    Every path is cast with ``try_variant_get``; what can't be cast is null, never an error. ``keep``: columns passed on.
+    Every path is cast with ``try_variant_get``; what can't be cast is null, never an error. ``rest`` (field -> JSON text)
+    holds each top-level field, null apart, whose value no column holds whole: fields without an alias, values that
+    couldn't be cast or lose by it, nested values of which only a part was read. So no value of a line is dropped.
     """
     parsed = lines.select(*keep, json_object("line").alias("object")).filter(F.col("object").isNotNull())
-    columns = [
-        F.coalesce(*[F.expr(f"try_variant_get(object, '{path}', '{kind}')") for path in paths]).alias(name)
-        for name, (kind, paths) in aliases.items()
-    ]
-    return parsed.select(*keep, *columns)
+    columns = [F.coalesce(*[F.expr(_read(path, kind)) for path in paths]).alias(name) for name, (kind, paths) in aliases.items()]
+    held: dict[str, list[str]] = {}
+    for name, (kind, paths) in aliases.items():
+        for path in paths:
+            if path[2:].isidentifier():
+                held.setdefault(path[2:], []).append(_taken(name, kind))
+    cases = "".join(f" WHEN '{field}' THEN NOT coalesce({' OR '.join(of)}, false)" for field, of in held.items())
+    left = f"CASE k{cases} ELSE true END" if cases else "true"
+    rest = f"map_filter(try_variant_get(object, '$', 'map<string,variant>'), (k, v) -> v IS NOT NULL AND NOT is_variant_null(v) AND {left})"
+    return parsed.select(*keep, *columns, "object").select(*keep, *aliases, F.expr(f"transform_values({rest}, (k, v) -> to_json(v))").alias("rest"))

@@ -69,7 +69,7 @@ def p3_lifespans(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-#: Names one field has had in the project's files.
+#: Names one field has had in the project's files. Fields that aren't named here come out in ``rest``.
 POST_ALIASES = {
     "post_id": ("string", ["$.id"]),
     "body": ("string", ["$.text", "$.full_text", "$.body"]),
@@ -83,13 +83,44 @@ POST_ALIASES = {
     "reply_count": ("bigint", ["$.replies", "$.replies.count"]),
     "language": ("string", ["$.lang", "$.lang[0]", "$.language", "$.language[0]"]),
     "reply_to": ("string", ["$.in_reply_to_tweet_id", "$.inReplyToTweetId"]),
+    "line_type": ("string", ["$.type"]),
+    "author_record": ("json", ["$.author"]),
+    "author_handle": ("string", ["$.author_handle", "$.authorHandle", "$.author.screen_name"]),
+    "media": ("json", ["$.media"]),
+    "tags": ("json", ["$.tags"]),
+    "edit_info": ("json", ["$.edit_info"]),
+    "possibly_sensitive": ("boolean", ["$.possibly_sensitive"]),
+    "source_app": ("string", ["$.source_app"]),
+    "bookmark_count": ("bigint", ["$.bookmarks"]),
+    "view_count": ("bigint", ["$.views"]),
+}
+EVENT_ALIASES = {
+    "archive_schema_version": ("string", ["$.archive_schema_version", "$.archiveSchemaVersion", "$.schema_version"]),
+    "request_id": ("string", ["$.request_id"]),
+    "captured_at": ("string", ["$.captured_at"]),
+    "resource": ("string", ["$.resource"]),
+    "http_status": ("bigint", ["$.http_status", "$.status_code"]),
+    "source": ("string", ["$.source", "$.provider"]),
+    "cache": ("string", ["$.cache", "$.cache_state"]),
+    "degraded": ("boolean", ["$.degraded"]),
+    "warnings": ("json", ["$.warnings", "$.notices"]),
+    "chunk_index": ("bigint", ["$.chunk_index"]),
+    "chunk_count": ("bigint", ["$.chunk_count"]),
+    "payload": ("json", ["$.payload"]),
+    "edge_site": ("string", ["$.edge_site"]),
+    "retries": ("bigint", ["$.retries"]),
+    "sampled": ("boolean", ["$.sampled"]),
+    "sdk": ("json", ["$.sdk"]),
 }
 
 
 def p3_unified(spark: SparkSession, d: str) -> DataFrame:
-    """All well-formed lines of loose_posts as one table with one name and type per field."""
-    lines = table(spark, d, "loose_posts").select("loose_seq", F.col("raw_line").alias("line"))
-    return drift.unified(lines, POST_ALIASES, ["loose_seq"])
+    """All well-formed lines of loose_posts and all properties of capture_events as one table with one name and type per
+    field; ``rest`` holds what has no column."""
+    keep = ["record_table", "record_seq"]
+    loose = table(spark, d, "loose_posts").select(F.lit("loose_posts").alias(keep[0]), F.col("loose_seq").alias(keep[1]), F.col("raw_line").alias("line"))
+    capture = table(spark, d, "capture_events").select(F.lit("capture_events").alias(keep[0]), F.col("event_seq").alias(keep[1]), F.col("properties").alias("line"))
+    return drift.unified(loose, POST_ALIASES, keep).unionByName(drift.unified(capture, EVENT_ALIASES, keep), allowMissingColumns=True)
 
 
 # ---- p4 -------------------------------------------------------------------------------------------------------------

@@ -1,5 +1,7 @@
 """The general problems against plain Python, and their edge cases."""
 
+import json
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +72,50 @@ def test_drift(spark):
     assert {(r.file_no, r.n) for r in table.collect()} == {(1, 1), (3, 1), (5, None)}
 
 
+def test_unified_drops_no_value(spark):
+    rows = [(1, '{"x": 12.7, "l": ["en"], "new": {"a": [1]}, "z": null}'), (2, '{"x": 3, "l": "de", "more": "m"}'), (3, '{"x": true, "l": ["fr", "en"], "j": [1, 2]}'), (4, "{broken")]
+    lines = spark.createDataFrame(rows, "seq long, line string")
+    out = drift.unified(lines, {"n": ("bigint", ["$.x"]), "lang": ("string", ["$.l", "$.l[0]"]), "j": ("json", ["$.j"])}, ["seq"])
+    assert {r.seq: (r.lang, r.j, r.rest) for r in out.collect()} == {
+        1: ("en", None, {"x": "12.7", "l": '["en"]', "new": '{"a":[1]}'}),
+        2: ("de", None, {"more": '"m"'}),
+        3: ("fr", "[1,2]", {"x": "true", "l": '["fr","en"]'}),
+    }
+    assert {r.seq: r.n for r in out.collect()}[2] == 3
+
+
+def test_unified_holds_every_field_of_both_tables(spark):
+    out = {(r.record_table, r.record_seq): r.asDict() for r in problems.p3_unified(spark, SF).collect()}
+    seen, paths = set(), {**problems.POST_ALIASES, **problems.EVENT_ALIASES}
+    columns = {}
+    for name, (_, of) in paths.items():
+        for path in of:
+            columns.setdefault(path[2:], set()).add(name)
+    for name, seq, line in (("loose_posts", "loose_seq", "raw_line"), ("capture_events", "event_seq", "properties")):
+        for r in spark.read.parquet(f"{SF}/{name}.parquet").select(seq, line).collect():
+            try:
+                object_ = json.loads(r[1])
+                object_ = json.loads(object_) if isinstance(object_, str) else object_
+            except (ValueError, TypeError):
+                continue
+            if not isinstance(object_, dict):
+                continue
+            seen.add((name, r[0]))
+            row = out[name, r[0]]
+            for field, value in object_.items():
+                if value is None:
+                    continue
+                values = [row[c] for c in columns.get(field, ())]
+                if isinstance(value, str):
+                    same = value in [str(v).lower() if isinstance(v, bool) else str(v) for v in values] or json.dumps(value, ensure_ascii=False) in values
+                elif isinstance(value, list | dict):
+                    same = any(isinstance(v, str) and v[:1] in "[{" and json.loads(v) == value for v in values)
+                else:
+                    same = any(v == value or v == str(value) for v in values)
+                assert same or json.loads((row["rest"] or {})[field]) == value, (name, r[0], field)
+    assert seen == set(out)
+
+
 # ---- p4
 def test_deliver_once(spark):
     rows = [(1, "a", "r1"), (2, "a", "r2"), (3, "b", "r2"), (4, None, None), (5, "c", "r9"), (6, "b", None), (7, None, None)]
