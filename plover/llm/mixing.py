@@ -75,14 +75,16 @@ def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def pack(counted: DataFrame, seed: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """source, block, doc_id, from_token, to_token: which part of which document lies in which block."""
+    """source, block, at, doc_id, from_token, to_token: which part of which document lies in which block, from its token
+    ``at`` on."""
     hashed = counted.filter("n_tokens > 0 AND source IS NOT NULL").withColumn("place", F.xxhash64("doc_id", F.lit(seed)))
     placed = prefix_sums(hashed, ["source"], ["place", "doc_id"], "n_tokens")
     size = F.lit(block_tokens)
     spread = placed.withColumn("block", F.explode(F.sequence(F.expr(f"before div {block_tokens}"), F.expr(f"(before + n_tokens - 1) div {block_tokens}"))))
     begin = F.greatest(F.col("block") * size - F.col("before"), F.lit(0))
     end = F.least((F.col("block") + 1) * size - F.col("before"), F.col("n_tokens"))
-    return spread.select("source", "block", "doc_id", begin.cast("long").alias("from_token"), end.cast("long").alias("to_token"))
+    at = F.col("before") + begin - F.col("block") * size
+    return spread.select("source", "block", at.cast("int").alias("at"), "doc_id", begin.cast("long").alias("from_token"), end.cast("long").alias("to_token"))
 
 
 def _feistel(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -125,7 +127,8 @@ def draw(spark, shares: dict[str, float], slots: int, seed: int, shard_slots: in
 def mix(documents: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER, seed: int = 7, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
     """(slots, report) of a mix as large as the corpus.
 
-    slots: shard, source, slot, repeat, block, n_tokens (block is joined by index; ``pack`` says what lies in it).
+    slots: shard, source, slot, repeat, block, n_tokens, parts (block is joined by index; parts: its at, doc_id,
+    from_token, to_token in order, at most ``block_tokens``).
     report: source, target_share, max_repeats, source_tokens, wanted_tokens, mixed_tokens, actual_share, short.
     """
     spark = documents.sparkSession
@@ -136,7 +139,8 @@ def mix(documents: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER,
         raise ValueError(f"more than {MAX_SOURCES} sources in the targets")
     total = counted.agg(F.sum("n_tokens")).first()[0] or 0
     packed = pack(counted, seed, block_tokens)
-    blocks = materialize(packed.groupBy("source", "block").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("n_tokens")), "blocks")
+    parts = F.array_sort(F.collect_list(F.struct("at", "doc_id", "from_token", "to_token"))).alias("parts")  # each has a token at least
+    blocks = materialize(packed.groupBy("source", "block").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("n_tokens"), parts), "blocks")
     depth = blocks.groupBy("source").agg(F.count(F.lit(1)).alias("n_blocks"))
     whole = sum(s for s, _ in goals.values())
     slots_wanted = math.ceil(total / block_tokens)
@@ -154,7 +158,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER,
         .withColumn("key", F.xxhash64("source", "repeat", F.lit(seed)))
     )
     mapped = each.withColumn("block", F.pandas_udf(permuted, "long")(F.col("slot") % F.col("n_blocks"), "n_blocks", "key"))
-    slots = mapped.join(blocks, ["source", "block"]).select("shard", "source", "slot", "repeat", "block", "n_tokens")
+    slots = mapped.join(blocks, ["source", "block"]).select("shard", "source", "slot", "repeat", "block", "n_tokens", "parts")
     have = counted.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
     taken = slots.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"))
     report = (

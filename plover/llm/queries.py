@@ -104,8 +104,8 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    """The mix itself: which block of which source fills each slot of each output shard."""
-    return _mix(spark, d)[0]
+    """The mix itself: which parts of which documents fill each slot of each output shard, in their order (at)."""
+    return _mix(spark, d)[0].select("shard", "source", "slot", "repeat", "block", F.inline("parts"))
 
 
 # ---- p10

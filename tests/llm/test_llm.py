@@ -132,6 +132,29 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), targets)[1].filter("short").count() == 0
 
 
+def test_mix_names_its_records(spark):
+    out = queries.p9_mix(spark, SF)
+    assert {"doc_id", "from_token", "to_token"} <= set(out.columns)
+    rows, docs = out.collect(), brute.rows(SF, "documents")
+    source = {r["doc_id"]: r["source"] for r in docs}
+    most = {r["source"]: r["max_repeats"] for r in brute.rows(SF, "mix_targets")}
+    sizes = {r.doc_id: r.n_tokens for r in mixing.count_tokens(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    slots, taken = {}, {}
+    for r in rows:
+        assert source[r.doc_id] == r.source and 0 <= r.from_token < r.to_token <= sizes[r.doc_id]
+        slots.setdefault((r.source, r.slot, r.shard), []).append((r.at, r.to_token - r.from_token))
+        taken.setdefault((r.source, r.doc_id), []).append((r.repeat, r.from_token, r.to_token))
+    for parts in slots.values():  # without gap from the slot's first token on
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= mixing.BLOCK_TOKENS
+    for (s, _), of in taken.items():  # no token more than once in a repeat, no more repeats than allowed
+        of.sort()
+        assert all(a[0] < b[0] or a[2] <= b[1] for a, b in zip(of, of[1:], strict=False)) and max(r for r, _, _ in of) < most[s]
+    mixed = {r.source: r.mixed_tokens for r in queries.p9_report(spark, SF).collect()}
+    for s, n in mixed.items():
+        assert n == sum(b - a for (of, _), parts in taken.items() if of == s for _, a, b in parts)
+
+
 # ---- p10
 def test_spans(spark):
     rng = np.random.default_rng(5)
