@@ -81,14 +81,24 @@ def best_of_chains(scored: DataFrame, item: str, by: list[str], sort: str = "top
     return scored.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def merge_pinned(pinned: DataFrame, tail: DataFrame, window: int = 200) -> DataFrame:
+def merge_pinned(pinned: DataFrame, tail: DataFrame, window: int = 200, by: list[str] | None = None) -> DataFrame:
     """post_id, section, pos: pinned rows stay where they were shown; the tail loses their ids and their chains.
 
-    pinned: post_id, chain, shown (position); tail: post_id, chain, rnk.
+    pinned: post_id, chain, shown (position); tail: post_id, chain, rnk. With ``by``, columns of both, each group is a
+    page of its own, with its own ``window``, and its columns come first.
     """
-    first = Window.partitionBy("post_id").orderBy("shown")
-    kept = pinned.withColumn("_n", F.row_number().over(first)).filter("_n = 1").withColumn("pos", F.row_number().over(Window.orderBy("shown"))).filter(F.col("pos") <= window)
-    rest = tail.join(kept.select("post_id"), "post_id", "left_anti").join(kept.select("chain"), "chain", "left_anti")
-    n = kept.count()  # at most ``window``
-    numbered = rest.withColumn("pos", F.row_number().over(Window.orderBy("rnk")) + n)
-    return kept.select("post_id", F.lit("pinned").alias("section"), "pos").unionByName(numbered.select("post_id", F.lit("tail").alias("section"), "pos"))
+    by = by or []
+    page = by or [F.lit(1)]
+    first = Window.partitionBy(*by, "post_id").orderBy("shown")
+    shown = Window.partitionBy(*page).orderBy("shown")
+    kept = pinned.withColumn("_n", F.row_number().over(first)).filter("_n = 1").withColumn("pos", F.row_number().over(shown)).filter(F.col("pos") <= window)
+
+    def joined(rows: DataFrame, other: DataFrame, how: str, *keys: str) -> DataFrame:
+        named = other.withColumnsRenamed({c: f"_{c}" for c in [*by, *keys]})
+        on = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by] + [F.col(k) == F.col(f"_{k}") for k in keys]
+        return rows.join(named, on or F.lit(True), how)
+
+    rest = joined(joined(tail, kept.select(*by, "post_id"), "left_anti", "post_id"), kept.select(*by, "chain"), "left_anti", "chain")
+    counted = joined(rest, kept.groupBy(*by).agg(F.count(F.lit(1)).alias("_pinned")), "left")
+    numbered = counted.withColumn("pos", (F.row_number().over(Window.partitionBy(*page).orderBy("rnk")) + F.coalesce("_pinned", F.lit(0))).cast("int"))
+    return kept.select(*by, "post_id", F.lit("pinned").alias("section"), "pos").unionByName(numbered.select(*by, "post_id", F.lit("tail").alias("section"), "pos"))

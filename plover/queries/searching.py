@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plover.functions import text as X
@@ -429,6 +429,18 @@ def pinned_paging(spark, d):
     return R.merge_pinned(pinned, r)
 
 
+@query(f"""WITH {CAND}, r AS (SELECT query_key, candidate_id AS post_id, chain, row_number() OVER (PARTITION BY query_key ORDER BY {CAND_ORDER}) AS rnk FROM scored), pin AS (SELECT * FROM r WHERE rnk IN (3, 7, 11)),
+tail AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM pin WHERE pin.query_key = r.query_key AND (pin.post_id = r.post_id OR pin.chain = r.chain)))
+SELECT query_key, post_id, 'pinned' AS section, CAST(row_number() OVER (PARTITION BY query_key ORDER BY rnk DESC) AS INTEGER) AS pos FROM pin UNION ALL
+SELECT query_key, post_id, 'tail', CAST(row_number() OVER (PARTITION BY query_key ORDER BY rnk) + (SELECT count(*) FROM pin WHERE pin.query_key = tail.query_key) AS INTEGER) FROM tail""")
+def pinned_pages(spark, d):
+    """The page of every query, each with three rows that stay where they were shown; ``pinned_paging`` is the first query's."""
+    ranked = Window.partitionBy("query_key").orderBy(*R.final_order("candidate_id"))
+    r = _scored_candidates(spark, d).select("query_key", F.col("candidate_id").alias("post_id"), "chain", F.row_number().over(ranked).alias("rnk"))
+    pinned = r.filter(F.col("rnk").isin(3, 7, 11)).select("query_key", "post_id", "chain", (-F.col("rnk")).alias("shown"))
+    return R.merge_pinned(pinned, r, by=["query_key"])
+
+
 @query(f"WITH {POSTINGS}, f AS (SELECT term, df FROM dfs WHERE starts_with(term, 'se') ORDER BY term LIMIT 50) SELECT term, df, 'term' AS kind FROM f ORDER BY df DESC, term LIMIT 10")
 def suggest_terms(spark, d):
     return S.suggest_terms(I.document_frequencies(postings(spark, d)), "se").withColumn("kind", F.lit("term"))

@@ -2,7 +2,9 @@
 
 import json
 
+import __spark_entry__ as entry
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from plover.operators import graph, ingest
@@ -147,3 +149,21 @@ def test_index_stream(spark, tmp_path):
     q = live.index_stream(stream, str(tmp_path / "index"), str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "index")).filter("term = 'apple'").count() == 4
+
+
+def test_pinned_rows_of_several_pages(spark):
+    tail = [(q, f"{q}{i}", f"c{i // 2}", i) for q in ("a", "b", None) for i in range(1, 7)]
+    pinned = [("a", "a5", "c2", 1), ("a", "a1", "c0", 2), ("a", "a5", "c2", 3), (None, "None3", "c1", 1)]
+    tail, pinned = spark.createDataFrame(tail, "q string, post_id string, chain string, rnk int"), spark.createDataFrame(pinned, "q string, post_id string, chain string, shown int")
+    pages = {}
+    for r in R.merge_pinned(pinned, tail, by=["q"]).collect():
+        pages.setdefault(r.q, []).append((r.pos, r.section[0] + r.post_id[-1]))
+    assert {q: [x for _, x in sorted(p)] for q, p in pages.items()} == {"a": ["p5", "p1", "t2", "t3", "t6"], "b": ["t1", "t2", "t3", "t4", "t5", "t6"], None: ["p3", "t1", "t4", "t5", "t6"]}
+    assert sorted(p for p, _ in pages["a"]) == [1, 2, 3, 4, 5]
+    one = R.merge_pinned(pinned.filter("q = 'a'"), tail.filter("q = 'a'"), window=1)
+    assert [r.post_id for r in one.orderBy("pos").collect()] == ["a5", "a1", "a2", "a3", "a6"]
+
+
+def test_every_query_has_its_page(spark):
+    queries = spark.read.parquet(f"{SMALL}/candidates.parquet").select("query_key").distinct().count()
+    assert entry.queries()["pinned_pages"](spark, SMALL).select("query_key").distinct().count() == queries > 1
