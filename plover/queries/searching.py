@@ -83,8 +83,14 @@ def term_frequency(spark, d):
 
 @query(f"WITH {ANALYSED}, t AS (SELECT DISTINCT post_id, unnest(pairs) AS pair FROM ana) SELECT replace(pair, chr(2), ' ') AS pair, count(*) AS df FROM t GROUP BY ALL HAVING count(*) >= 2")
 def adjacent_bigrams(spark, d):
+    """The pairs of ``adjacent_pairs`` that stand in two posts or more."""
+    return adjacent_pairs(spark, d).filter("df >= 2")
+
+
+@query(f"WITH {ANALYSED}, t AS (SELECT DISTINCT post_id, unnest(pairs) AS pair FROM ana) SELECT replace(pair, chr(2), ' ') AS pair, count(*) AS df FROM t GROUP BY ALL")
+def adjacent_pairs(spark, d):
     t = X.exploded(X.tokenized(posts(spark, d)), F.array_distinct(X.adjacent_bigrams(F.col("tokens"))), name="pair")
-    return t.groupBy(F.regexp_replace("pair", X.BIGRAM, " ").alias("pair")).agg(F.count(F.lit(1)).alias("df")).filter("df >= 2")
+    return t.groupBy(F.regexp_replace("pair", X.BIGRAM, " ").alias("pair")).agg(F.count(F.lit(1)).alias("df"))
 
 
 @query(f"WITH {ANALYSED} SELECT post_id, unnest(aspects) AS aspect FROM ana")
