@@ -31,19 +31,31 @@ def query(sql: str | None = None):
 
 
 # ---- decoding and gates
+def _whole_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Ingress posts as JSON lines."""
+    renamed = F.struct("kind", "id", "text", F.col("author_id").alias("authorId"), F.col("created_at").alias("createdAt"), "metrics", F.col("metrics_at").alias("metricsAt"), "lang")
+    return table(spark, d, "ingress").select("ingress_seq", F.to_json(renamed).alias("line"))
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Ingress posts as JSON lines; every 17th line is cut short."""
-    raw = table(spark, d, "ingress")
-    renamed = F.struct("kind", "id", "text", F.col("author_id").alias("authorId"), F.col("created_at").alias("createdAt"), "metrics", F.col("metrics_at").alias("metricsAt"), "lang")
-    line = F.to_json(renamed)
-    return raw.select("ingress_seq", F.when(F.col("ingress_seq") % 17 == 0, F.substring(line, 1, 20)).otherwise(line).alias("line"))
+    return _whole_lines(spark, d).withColumn("line", F.when(F.col("ingress_seq") % 17 == 0, F.substring("line", 1, 20)).otherwise(F.col("line")))
+
+
+def _decoded(lines: DataFrame) -> DataFrame:
+    out, good = ingest.decode_ingress(lines), F.col("reason").isNull()
+    return out.select("ingress_seq", "reason", F.when(good, F.col("r.id")).alias("id"), F.when(good, F.col("r.metrics.likes")).alias("likes"))
 
 
 @query("SELECT ingress_seq, CASE WHEN ingress_seq % 17 = 0 THEN 'broken' WHEN id IS NULL THEN 'missing_id' END AS reason, CASE WHEN ingress_seq % 17 <> 0 THEN id END AS id, CASE WHEN ingress_seq % 17 <> 0 THEN metrics.likes END AS likes FROM ingress")
 def ingress_parse(spark, d):
-    out = ingest.decode_ingress(_lines(spark, d))
-    good = F.col("reason").isNull()
-    return out.select("ingress_seq", "reason", F.when(good, F.col("r.id")).alias("id"), F.when(good, F.col("r.metrics.likes")).alias("likes"))
+    return _decoded(_lines(spark, d))
+
+
+@query("SELECT ingress_seq, CASE WHEN id IS NULL THEN 'missing_id' END AS reason, id, metrics.likes AS likes FROM ingress")
+def ingress_decoded(spark, d):
+    """Every line of ingress, whole."""
+    return _decoded(_whole_lines(spark, d))
 
 
 @query(f"""WITH r AS (SELECT CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 'empty_text' WHEN NOT coalesce(metrics_at > 1136073600000 AND metrics_at <= {NOW} + 300000, false) THEN 'bad_metrics_at' ELSE 'ok' END AS reason FROM ingress)
