@@ -1,20 +1,29 @@
 """Best representative of each duplicate group (problem 1).
 
-Method: Bayesian fusion with copy detection. Rows about one object are claims of their sources. An EM estimates each
-source's accuracy and, from values that are shared though probably false, how likely one source copies another;
-copied votes are discounted; every field takes its maximum-posterior value.
-
-All claims about an object's field reduce to a *pattern*: which sets of sources stand behind one value each. Patterns
-are counted once over all data; the EM runs over the counted patterns, each round giving sums per source and pair of
-sources only (at most ``MAX_SOURCES`` squared numbers), so nothing that grows with the data reaches the driver.
-
-Fields with a one-sided error model need no votes: texts only lose characters and counters only grow stale, so the
-likelihood of all but the fullest text and the freshest trusted reading is zero. Those two are chosen in one aggregate
-and ties fall to the earliest row. All other fields are voted on.
-
-Edge cases: rows without an object id belong to none; null values claim nothing (a field nobody claims is null, its
-posterior too); repeated rows of one source are one vote; more than ``MAX_SOURCES`` sources share votes by hash; no
-trusted reading: metrics_seq is null; empty input: empty result. Extra columns are ignored.
+Method: Bayesian fusion with copy detection. Every row about an object is a claim of its source on each field. An EM
+estimates how accurate each source is in each field and, from values that are shared though probably false, how likely
+one source copies another; copied votes are discounted; every field takes the claim of maximum posterior, and the
+surviving record is put together from the rows that made these claims.
+
+Two kinds of fields:
+
+* *nominal*: a false claim is one of ``WRONG_VALUES`` equally likely ones.
+* *ladder*: claims have a level (time of a reading, length of a text) and errors are one-sided. A source that doesn't
+  give the true level gives a lower one (stale, cut off); a higher one only with probability ``GROWN`` of its errors.
+  A lone claim of a higher level therefore outweighs up to five independent sources that agree on a lower one; more
+  of them, if accurate and not copying, overrule it.
+
+Scale: a source's rows on an object are one claim (one aggregate, combined before the shuffle, so an object may hold any
+share of the rows); what is gathered per object is one entry per source. Objects then reduce to *patterns* (which
+sources stand behind one claim each, in order), which are counted; EM and decision run once per distinct pattern, and
+objects fetch their decision by a join. To the driver come one row per field and source and one per field and pair of
+sources that speak of one object: numbers that grow with the sources, not with the data.
+
+Edge cases: rows without an object id belong to none; a null source is a source of its own; null values claim nothing (a
+field nobody claims has null seq and posterior); of a source's rows the last speaks for a nominal field, the highest for
+a ladder; rows that make the same claim are represented by the lowest seq; nominal ties fall to the lowest seq, ladder
+ties to the higher level; nominal values are compared by 64-bit hashes within their object; very long values are only
+measured and hashed; empty input: empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,178 +37,195 @@ from pyspark.sql import functions as F
 
 from plover.runtime import materialize
 
-MAX_SOURCES = 62
-#: Wrong values a field may take, prior of dependence, share of values a copier copies.
+#: Wrong values a nominal field may take, share of a ladder's errors that go up, prior of dependence, share of values a copier copies.
 WRONG_VALUES = 10
+GROWN = 1e-9
 DEPENDENT = 0.1
 COPIED = 0.8
+#: Bounds of an estimated accuracy, and what it starts from.
+LEAST_ACCURATE, MOST_ACCURATE, START = 0.05, 0.95, 0.8
 ROUNDS = 4
 _SEQ = 10**18
+_HALF, _WHOLE = 2**63, 2**64
 
 
-def source_index(records: DataFrame) -> tuple[Column, int]:
-    """Expression giving a source's bit, and the number of bits."""
-    found = [r[0] for r in records.select("source").filter(F.col("source").isNotNull()).distinct().limit(MAX_SOURCES + 1).collect()]
-    if len(found) > MAX_SOURCES:
-        return F.pmod(F.xxhash64("source"), F.lit(MAX_SOURCES)).cast("int"), MAX_SOURCES
-    if not found:
-        return F.lit(0), 1
-    known = F.create_map(*[x for i, s in enumerate(sorted(found)) for x in (F.lit(s), F.lit(i))])
-    return F.try_element_at(known, F.col("source")), len(found)
+# ---- claims
+def _big(x: Column | int) -> Column:
+    return (F.lit(str(x)) if isinstance(x, int) else x).cast("decimal(20,0)")
 
 
-def freshest_and_fullest(records: DataFrame, first_ms: int, last_ms: int) -> DataFrame:
-    """object, n, metrics_seq, text_seq of each object with several rows; one hash aggregate.
+def claims(records: DataFrame, ladders: list[str], nominal: list[str]) -> DataFrame:
+    """object, n, and per field its sets (array of who, seq): which sources make one claim, and the row that stands for it.
 
-    The order (reading time, earliest row) is packed into one decimal, which aggregates in place.
+    Ladder sets come from the highest level down, nominal ones sorted by their sources. Objects of one row are left out.
     """
-    trusted = F.col("has_metrics") & (F.col("metrics_at") > first_ms) & (F.col("metrics_at") <= last_ms) & ~F.col("flagged")
-    packed = lambda x: x.cast("decimal(18,0)") * F.lit(_SEQ).cast("decimal(19,0)") + (F.lit(_SEQ - 1) - F.col("seq")).cast("decimal(18,0)")
-    seq = lambda c: (F.lit(_SEQ - 1) - (F.col(c) % F.lit(_SEQ).cast("decimal(19,0)")).cast("long")).alias(c.replace("_key", "_seq"))
-    return (
-        records.groupBy("object")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max(F.when(trusted, packed(F.col("metrics_at")))).alias("metrics_key"),
-            F.max(packed(F.col("text_length"))).alias("text_key"),
-        )
-        .filter("n > 1")
-        .select("object", "n", seq("metrics_key"), seq("text_key"))
-    )
-
-
-def claims_by_source_set(records: DataFrame, fields: list[str]) -> DataFrame:
-    """object, field, mask, n, value, first_seq: per set of sources the number of values it stands behind, and the earliest of them."""
-    bit, _ = source_index(records)
-    listed = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
-    long = (
-        records.filter(F.col("source").isNotNull())
-        .select("object", "seq", F.expr("1L").alias("one"), bit.alias("bit"), F.explode(F.filter(listed, lambda x: x["value"].isNotNull())).alias("c"))
-        .select("object", "c.field", "c.value", "seq", F.expr("shiftleft(one, bit)").alias("mask"))
-    )
-    values = long.groupBy("object", "field", "value").agg(F.bit_or("mask").alias("mask"), F.min("seq").alias("first_seq"))
-    return values.groupBy("object", "field", "mask").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("value", "first_seq").alias("value"), F.min("first_seq").alias("first_seq")
-    )
-
-
-def _bits(masks: np.ndarray, size: int) -> np.ndarray:
-    return ((masks[:, None] >> np.arange(size)) & 1).astype(float)
+    last = F.lit(_SEQ - 1) - F.col("seq")
+    packed = {f: F.max(_big(F.col(f)) * _big(_SEQ) + _big(last)) for f in ladders}
+    packed |= {f: F.max(F.when(F.col(f).isNotNull(), _big(F.col("seq")) * _big(_WHOLE) + _big(F.xxhash64(f)) + _big(_HALF))) for f in nominal}
+    who = F.coalesce(F.base64(F.encode(F.col("source").cast("string"), "UTF-8")), F.lit("-"))
+    spoken = records.filter(F.col("object").isNotNull()).groupBy("object", who.alias("who")).agg(F.count(F.lit(1)).alias("n"), *[c.alias(f) for f, c in packed.items()])
+
+    def entry(f: str) -> Column:
+        unit = _big(_SEQ if f in ladders else _WHOLE)
+        over, under = F.expr(f"`{f}` div {_SEQ if f in ladders else _WHOLE}BD"), (F.col(f) % unit)
+        seq = (F.lit(_SEQ - 1) - under.cast("long")) if f in ladders else over.cast("long")
+        level = over.cast("long") if f in ladders else (under - _big(_HALF)).cast("long")
+        return F.when(F.col(f).isNotNull(), F.struct(level.alias("level"), seq.alias("seq"), "who")).alias(f)
+
+    fields = [*ladders, *nominal]
+    gathered = spoken.groupBy("object").agg(F.sum("n").alias("n"), *[F.collect_list(entry(f)).alias(f) for f in fields]).filter("n > 1")
+
+    def sets(f: str) -> Column:
+        levels = F.sort_array(F.array_distinct(F.transform(f, lambda e: e["level"])), asc=False)
+
+        def one(level: Column) -> Column:
+            mine = F.filter(f, lambda e: e["level"] == level)
+            return F.struct(F.array_join(F.array_sort(F.transform(mine, lambda e: e["who"])), ".").alias("who"), F.array_min(F.transform(mine, lambda e: e["seq"])).alias("seq"))
+
+        found = F.transform(levels, one)
+        return (found if f in ladders else F.array_sort(found)).alias(f)
+
+    return gathered.select("object", "n", *[sets(f) for f in fields])
+
+
+def pattern(field: str) -> Column:
+    """What the posterior of a field depends on, of the columns of ``claims``; '' where nobody claims it."""
+    return F.array_join(F.transform(field, lambda s: s["who"]), "|")
+
 
+def counted_patterns(claimed: DataFrame, fields: list[str]) -> DataFrame:
+    """field, pattern, times."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), pattern(f).alias("pattern")) for f in fields]))
+    return claimed.select(each.alias("p")).select("p.*").filter("pattern <> ''").groupBy("field", "pattern").agg(F.count(F.lit(1)).alias("times"))
 
+
+# ---- the posterior
 class Votes:
-    """The weight of a set of sources, given accuracies and dependences."""
-
-    def __init__(self, accuracy: np.ndarray, depends: np.ndarray):
-        self.alpha = np.log(WRONG_VALUES * accuracy / (1 - accuracy))
-        self.depends, self.order, self.known = depends, np.argsort(-accuracy, kind="stable"), {}
-
-    def weight(self, mask: int) -> float:
-        if mask not in self.known:
-            total, earlier = 0.0, []
-            for s in self.order:
-                if mask >> int(s) & 1:
-                    independent = np.prod([1 - COPIED * self.depends[s, t] for t in earlier]) if earlier else 1.0
-                    total += self.alpha[s] * independent
-                    earlier.append(s)
-            self.known[mask] = total
-        return self.known[mask]
-
-    def posterior(self, masks: list[int], counts: list[int]) -> np.ndarray:
-        """Probability of each single value; ``counts`` values share a mask. Unclaimed wrong values keep their share."""
-        w = np.array([self.weight(m) for m in masks])
-        n = np.array(counts, dtype=float)
-        top = max(0.0, w.max())
-        e = np.exp(w - top)
-        return e / ((e * n).sum() + max(0.0, WRONG_VALUES + 1 - n.sum()) * np.exp(-top))
-
-
-def _statistics(size: int, accuracy: np.ndarray, depends: np.ndarray):
+    """Posteriors of claims, given accuracies (field, source) and dependences (pairs of sources, either order)."""
+
+    def __init__(self, ladders: list[str], accuracy: dict[tuple[str, str], float] | None = None, depends: dict[tuple[str, str], float] | None = None):
+        self.ladders, self.accuracy, self.depends = frozenset(ladders), accuracy or {}, depends or {}
+
+    def sure(self, field: str, source: str) -> float:
+        return self.accuracy.get((field, source), START)
+
+    def independent(self, field: str, sources: list[str]) -> dict[str, float]:
+        """The share of each source's vote that isn't copied from a more accurate one that says the same."""
+        out: dict[str, float] = {}
+        for s in sorted(sources, key=lambda s: (-self.sure(field, s), s)):
+            share = 1.0
+            for t in out:
+                share *= 1 - COPIED * self.depends.get((min(s, t), max(s, t)), 0.0)
+            out[s] = share
+        return out
+
+    def posterior(self, field: str, sets: list[list[str]]) -> np.ndarray:
+        """Probability of each claim; ``sets``: who makes it, ladders from the highest level down."""
+        votes = [self.independent(field, s) for s in sets]
+        if field in self.ladders:
+            right, low, high = (np.zeros(len(sets)) for _ in range(3))
+            for i, shares in enumerate(votes):
+                for s, share in shares.items():
+                    a = self.sure(field, s)
+                    right[i] += share * np.log(a)
+                    low[i] += share * np.log((1 - a) * (1 - GROWN))
+                    high[i] += share * np.log((1 - a) * GROWN)
+            # if claim i is true, those above it have grown and those below have lost
+            score = right + np.concatenate([[0], np.cumsum(high)[:-1]]) + low.sum() - np.cumsum(low)
+            e = np.exp(score - score.max())
+            return e / e.sum()
+        weight = np.array([sum(x * np.log(WRONG_VALUES * self.sure(field, s) / (1 - self.sure(field, s))) for s, x in shares.items()) for shares in votes])
+        top = max(0.0, weight.max())
+        e = np.exp(weight - top)
+        return e / (e.sum() + max(0, WRONG_VALUES + 1 - len(sets)) * np.exp(-top))  # values nobody claims keep their share
+
+    def chosen(self, field: str, sets: list[list[str]]) -> tuple[list[int], float]:
+        """The places of the claims of maximum posterior (of a ladder only the highest), and that posterior."""
+        p = self.posterior(field, sets)
+        held = np.round(p, 12)
+        best = np.flatnonzero(held == held.max()).tolist()
+        return (best[:1] if field in self.ladders else best), float(p[best[0]])
+
+
+def _sets(text: str) -> list[list[str]]:
+    return [s.split(".") for s in text.split("|")]
+
+
+_SUMS = "field string, a string, b string, x double, y double, z double"
+
+
+def _statistics(votes: Votes):
+    """Sums of a batch of patterns. Of a source (b is ''): right, made; of a pair: same and true, same and false, different."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        votes = Votes(accuracy, depends)
-        right, made = np.zeros(size), np.zeros(size)
-        same_true, same_false, different = (np.zeros((size, size)) for _ in range(3))
+        sums: dict[tuple[str, str, str], np.ndarray] = {}
+
+        def add(field: str, a: str, b: str, amounts: tuple[float, float, float], times: int) -> None:
+            held = sums.setdefault((field, a, b), np.zeros(3))
+            held += np.multiply(amounts, times)
+
         for batch in batches:
-            for pattern, times in zip(batch["pattern"], batch["times"], strict=True):
-                parts = [p.split(":") for p in pattern.split(",")]
-                masks, n = np.array([int(p[0]) for p in parts]), np.array([float(p[1]) for p in parts])
-                p = votes.posterior([int(m) for m in masks], n)
-                b = _bits(masks, size)
-                nb, pn = b * n[:, None] * times, b * (n * p)[:, None] * times
-                right += pn.sum(0)
-                made += nb.sum(0)
-                same_true += b.T @ pn
-                same_false += b.T @ (nb - pn)
-                claimed = (b * n[:, None]).sum(0)
-                different += times * np.outer(claimed, claimed) - b.T @ nb
-        flat = np.concatenate([right, made, same_true.ravel(), same_false.ravel(), np.maximum(different, 0).ravel()])
-        yield pd.DataFrame({"place": np.arange(len(flat)), "amount": flat})
+            for field, text, times in zip(batch["field"], batch["pattern"], batch["times"], strict=True):
+                sets = _sets(text)
+                p = votes.posterior(field, sets)
+                said = [(s, i) for i, members in enumerate(sets) for s in members]
+                for at, (s, i) in enumerate(said):
+                    add(field, s, "", (p[i], 1, 0), times)
+                    for t, j in said[:at]:
+                        add(field, min(s, t), max(s, t), (p[i], 1 - p[i], 0) if i == j else (0, 0, 1), times)
+        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["field", "a", "b", "x", "y", "z"])
 
     return run
 
 
-def estimate(patterns: DataFrame, size: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Accuracies and dependences of the sources from counted patterns (pattern, times)."""
-    accuracy, depends = np.full(size, 0.8), np.zeros((size, size))
+def estimate(patterns: DataFrame, ladders: list[str], rounds: int = ROUNDS) -> Votes:
+    """Accuracies and dependences by EM over counted patterns (field, pattern, times)."""
+    votes = Votes(ladders)
     for _ in range(rounds):
-        sums = patterns.mapInPandas(_statistics(size, accuracy, depends), "place int, amount double").groupBy("place").agg(F.sum("amount").alias("amount"))
-        flat = np.zeros(2 * size + 3 * size * size)
-        for place, amount in sums.collect():  # at most 2 S + 3 S² rows
-            flat[place] = amount
-        right, made = flat[:size], flat[size : 2 * size]
-        accuracy = np.clip((right + 8) / (made + 10), 0.05, 0.99)
-        t, f, d = (flat[2 * size + i * size * size : 2 * size + (i + 1) * size * size].reshape(size, size) for i in range(3))
-        pair = np.sqrt(np.outer(accuracy, accuracy))
-        true, false = pair**2, (1 - pair) ** 2 / WRONG_VALUES
-        other = np.maximum(1 - true - false, 1e-6)
-        ratio = (
-            t * np.log((COPIED * pair + (1 - COPIED) * true) / true)
-            + f * np.log((COPIED * (1 - pair) + (1 - COPIED) * false) / false)
-            + d * np.log((1 - COPIED) * other / other)
-        )
-        depends = 1 / (1 + np.exp(-np.clip(np.log(DEPENDENT / (1 - DEPENDENT)) + ratio, -50, 50)))
-        np.fill_diagonal(depends, 0)
-    return accuracy, depends
-
-
-def fuse(records: DataFrame, fields: list[str], *, first_ms: int, last_ms: int, rounds: int = ROUNDS) -> DataFrame:
-    """One surviving record per object with several rows.
-
-    ``records``: seq, object, source, has_metrics, metrics_at, flagged, text_length and the voted ``fields``.
-    Result: object, n, metrics_seq, text_seq, and per voted field its value and posterior (``<field>_p``).
+        sums = patterns.mapInPandas(_statistics(votes), _SUMS).groupBy("field", "a", "b").agg(*[F.sum(c).alias(c) for c in "xyz"]).collect()
+        accuracy = {(r.field, r.a): float(np.clip((r.x + 8) / (r.y + 10), LEAST_ACCURATE, MOST_ACCURATE)) for r in sums if not r.b}
+        odds: dict[tuple[str, str], float] = {}
+        for r in sums:
+            if r.b:
+                pair = np.sqrt(accuracy[r.field, r.a] * accuracy[r.field, r.b])
+                true, false = pair**2, (1 - pair) ** 2 / WRONG_VALUES
+                ratio = (
+                    r.x * np.log((COPIED * pair + (1 - COPIED) * true) / true)
+                    + r.y * np.log((COPIED * (1 - pair) + (1 - COPIED) * false) / false)
+                    + r.z * np.log(1 - COPIED)
+                )
+                odds[r.a, r.b] = odds.get((r.a, r.b), np.log(DEPENDENT / (1 - DEPENDENT))) + ratio
+        votes = Votes(ladders, accuracy, {k: float(1 / (1 + np.exp(-np.clip(v, -50, 50)))) for k, v in odds.items()})
+    return votes
+
+
+def decided(patterns: DataFrame, votes: Votes) -> DataFrame:
+    """field, pattern, places (of the chosen claims in the pattern), p."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(f, t, *votes.chosen(f, _sets(t))) for f, t in zip(batch["field"], batch["pattern"], strict=True)]
+            yield pd.DataFrame(rows, columns=["field", "pattern", "places", "p"])
+
+    return patterns.select("field", "pattern").mapInPandas(run, "field string, pattern string, places array<int>, p double")
+
+
+def fuse(records: DataFrame, ladders: list[str], nominal: list[str], *, rounds: int = ROUNDS, votes: Votes | None = None) -> DataFrame:
+    """One surviving record per object with several rows: object, n, and per field ``<f>_seq``, the row to take it from, and
+    ``<f>_p``, its posterior.
+
+    ``records``: seq (below 10**18, not negative), object, source, a long per ladder (not negative, null: no claim), any value
+    per nominal field. ``votes`` replaces the estimate.
     """
-    records = records.filter(F.col("object").isNotNull())
-    chosen = materialize(freshest_and_fullest(records, first_ms, last_ms), "chosen")
-    sets = materialize(claims_by_source_set(records.join(chosen.select("object"), "object", "left_semi"), fields), "claims")
-    _, size = source_index(records)
-    patterns = (
-        sets.groupBy("object", "field")
-        .agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "mask", "n"))), ",").alias("pattern"))
-        .groupBy("pattern")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
-    accuracy, depends = estimate(materialize(patterns, "patterns"), size, rounds)
-
-    def best(claims: pd.Series) -> pd.DataFrame:
-        votes, out = Votes(accuracy, depends), []
-        for rows in claims:
-            row = {}
-            for f in fields:
-                mine = [r for r in rows if r["field"] == f]
-                if not mine:
-                    row[f], row[f + "_p"] = None, None
-                    continue
-                p = votes.posterior([r["mask"] for r in mine], [r["n"] for r in mine])
-                at = min(range(len(mine)), key=lambda i: (-round(p[i], 12), mine[i]["first_seq"]))
-                row[f], row[f + "_p"] = mine[at]["value"], float(p[at])
-            out.append(row)
-        return pd.DataFrame(out, columns=[c for f in fields for c in (f, f + "_p")])
-
-    shape = ", ".join(f"{f} string, {f}_p double" for f in fields)
-    voted = (
-        sets.groupBy("object")
-        .agg(F.collect_list(F.struct("field", "mask", "n", "value", "first_seq")).alias("claims"))  # one per field and set of sources
-        .select("object", F.pandas_udf(best, shape)("claims").alias("v"))
-        .select("object", "v.*")
-    )
-    return chosen.join(voted, "object", "left")
+    fields = [*ladders, *nominal]
+    claimed = materialize(claims(records, ladders, nominal), "claims")
+    patterns = materialize(counted_patterns(claimed, fields), "patterns")
+    votes = votes or estimate(patterns, ladders, rounds)
+    choices = materialize(decided(patterns, votes), "choices")
+    out = claimed
+    for f in fields:
+        mine = choices.filter(F.col("field") == f).select(F.col("pattern").alias("_p"), F.col("places").alias("_at"), F.col("p").alias(f"{f}_p"))
+        seq = F.expr(f"array_min(transform(_at, i -> get(`{f}`, i).seq))").alias(f"{f}_seq")
+        out = out.withColumn("_p0", pattern(f)).join(mine, F.col("_p0") == F.col("_p"), "left")
+        out = out.select(*[c for c in out.columns if c not in ("_p0", "_p", "_at", f, f"{f}_p")], seq, f"{f}_p")
+    return out

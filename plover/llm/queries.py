@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plover.functions.ids import canonical_id
 from plover.llm import fusion, leaks, mixing, ranking, spans
+from plover.runtime import materialize
 from plover.sources.tables import table
 
 #: 2006-01-01 and 2026-10-01, in milliseconds: readings outside are impossible.
@@ -16,30 +17,34 @@ LAST_READING = 1790812800000
 
 # ---- p1
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    stale = (
+    """Rows of ingress as claims. Their source is the channel they came by, told by ``duplicates``: unlisted, or timeline or
+    embedded on the author's own or another account's pages. A reading is a claim only if it can be one at all: it has
+    likes and a possible time, and no report says that it refreshed nothing."""
+    told = (
         table(spark, d, "duplicates")
-        .filter(~F.col("metrics_refreshed") & F.col("again_seq").isNotNull())
-        .select(F.col("again_seq").alias("seq"))
-        .distinct()
-        .withColumn("flag", F.lit(True))
+        .filter(F.col("again_seq").isNotNull())
+        .groupBy(F.col("again_seq").alias("seq"))
+        .agg(F.bool_or(~F.col("metrics_refreshed")).alias("stale"), F.min("again.origin").alias("origin"), F.min(canonical_id("again.account_user_id")).alias("account"))
     )
     trimmed = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
     rows = table(spark, d, "ingress").select(
         F.col("ingress_seq").alias("seq"),
         canonical_id("id").alias("object"),
-        F.col("feed_id").alias("source"),
-        F.col("metrics.likes").isNotNull().alias("has_metrics"),
-        "metrics_at",
-        F.coalesce(F.length(trimmed), F.lit(0)).alias("text_length"),
-        F.xxhash64(trimmed).alias("text_hash"),
-        canonical_id("author_id").alias("author_id"),
+        F.when(F.col("metrics.likes").isNotNull() & (F.col("metrics_at") > FIRST_READING) & (F.col("metrics_at") <= LAST_READING), F.col("metrics_at")).alias("reading"),
+        F.coalesce(F.length(trimmed), F.lit(0)).cast("long").alias("text"),
+        canonical_id("author_id").alias("author"),
         F.lower("lang").alias("lang"),
     )
-    return rows.join(stale, "seq", "left").withColumn("flagged", F.coalesce("flag", F.lit(False))).drop("flag")
+    own = F.when(F.col("account") == F.col("author"), "own").otherwise("other")
+    source = F.when(F.col("account").isNull() & F.col("origin").isNull(), "unlisted").otherwise(F.concat_ws("/", "origin", own))
+    told = told.withColumnRenamed("seq", "told_seq")
+    return rows.join(told, F.col("seq") == F.col("told_seq"), "left").select(
+        "seq", "object", source.alias("source"), F.when(~F.coalesce("stale", F.lit(False)), F.col("reading")).alias("metrics"), "text", "author", "lang"
+    )
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.fuse(_records(spark, d), ["author_id", "lang", "text_hash"], first_ms=FIRST_READING, last_ms=LAST_READING)
+    return fusion.fuse(_records(spark, d), ["metrics", "text"], ["author", "lang"])
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,16 +52,19 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_representatives(spark: SparkSession, d: str) -> DataFrame:
-    """The surviving record of each duplicate group, field by field."""
-    raw = table(spark, d, "ingress")
-    fused = _fused(spark, d)
-    metrics = raw.select(F.col("ingress_seq").alias("metrics_seq"), F.col("metrics.likes").alias("likes"), F.col("metrics.retweets").alias("retweets"), "metrics_at")
-    texts = raw.select(F.col("ingress_seq").alias("text_seq"), "text")
-    return (
-        fused.join(metrics, "metrics_seq", "left")
-        .join(texts, "text_seq")
-        .select(F.col("object").alias("tweet_id"), "n", "likes", "retweets", "metrics_at", "text", "author_id", F.round("author_id_p", 6).alias("author_p"), "lang", F.round("lang_p", 6).alias("lang_p"))
+    """The surviving record of each duplicate group, field by field, with the posterior of each."""
+    fused = materialize(_fused(spark, d), "fused")
+    raw = table(spark, d, "ingress").select(F.col("ingress_seq").alias("seq"), "metrics", "metrics_at", "text", canonical_id("author_id").alias("author"), F.lower("lang").alias("lang"))
+    wanted = fused.select("object", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_seq").alias("seq")) for f in ("metrics", "text", "author", "lang")])).alias("w"))
+    of = lambda field, value: F.max(F.when(F.col("field") == field, F.col(value))).alias(value.split(".")[-1])
+    parts = (
+        wanted.select("object", "w.field", "w.seq")
+        .join(raw, "seq")
+        .groupBy("object")
+        .agg(of("metrics", "metrics.likes"), of("metrics", "metrics.retweets"), of("metrics", "metrics_at"), of("text", "text"), of("author", "author"), of("lang", "lang"))
     )
+    odds = [F.round(f"{f}_p", 6).alias(f"{f}_p") for f in ("metrics", "text", "author", "lang")]
+    return fused.join(parts, "object", "left").select(F.col("object").alias("tweet_id"), "n", "likes", "retweets", "metrics_at", "text", F.col("author").alias("author_id"), "lang", *odds)
 
 
 # ---- p5

@@ -30,33 +30,65 @@ def test_shared_spans_against_brute_force(spark):
 
 # ---- p1
 def test_copied_votes_are_discounted():
-    accuracy, depends = np.full(3, 0.8), np.zeros((3, 3))
-    free = fusion.Votes(accuracy, depends).posterior([0b011, 0b100], [1, 1])
-    depends[0, 1] = depends[1, 0] = 1.0
-    copied = fusion.Votes(accuracy, depends).posterior([0b011, 0b100], [1, 1])
+    sets, pair = [["a", "b"], ["c"]], {("a", "b"): 1.0}
+    free = fusion.Votes([]).posterior("f", sets)
+    copied = fusion.Votes([], depends=pair).posterior("f", sets)
     assert free[0] > copied[0] > copied[1]
 
 
+def test_accuracy_and_copying_decide_a_ladder():
+    """One source's longer text against eight that agree on a shorter one: what is known of the sources decides."""
+    many = list("abcdefgh")
+    sets = [["z"], many]
+    poor = {("t", s): 0.3 for s in many} | {("t", "z"): 0.9}
+    good = {("t", s): 0.95 for s in many} | {("t", "z"): 0.3}
+    copied = {(a, b): 1.0 for a in many for b in many if a < b}
+    place = lambda *known: fusion.Votes(["t"], *known).chosen("t", sets)[0]
+    assert place(poor) == [0] and place(good) == [1] and place(good, copied) == [0]
+    worst = {("t", s): 0.95 for s in many} | {("t", "z"): 0.05}
+    assert fusion.Votes(["t"], worst).chosen("t", [["z"], many[:4]])[0] == [0]  # few sources can't overrule
+
+
+_CLAIM = "seq long, object string, source string, metrics long, text long, f string"
+
+
+def test_votes_choose_the_row(spark):
+    rows = [(0, "o", "z", 9, 9, "x")] + [(i + 1, "o", s, 5, 5, "y") for i, s in enumerate("abcdefgh")]
+    df = spark.createDataFrame(rows, _CLAIM)
+    known = lambda a, z: fusion.Votes(["metrics", "text"], {(f, s): v for f in ("metrics", "text", "f") for s, v in [(_who("z"), z)] + [(_who(s), a) for s in "abcdefgh"]})
+    row = lambda votes: fusion.fuse(df, ["metrics", "text"], ["f"], votes=votes).first()
+    assert (row(known(0.3, 0.9)).metrics_seq, row(known(0.95, 0.3)).text_seq, row(known(0.95, 0.3)).f_seq) == (0, 1, 1)
+    assert fusion.fuse(df, ["metrics", "text"], ["f"]).first().n == 9
+
+
+def _who(source):
+    import base64
+
+    return base64.b64encode(source.encode()).decode()
+
+
 def test_fusion_finds_the_copier(spark):
     rows, seq = [], 0
     rng = np.random.default_rng(1)
     for o in range(300):
-        truth = {s: "t" if rng.random() < 0.8 else f"x{rng.integers(10)}" for s in (0, 1, 2)}
-        truth[3] = truth[2]  # source 3 copies source 2
+        truth = {s: "t" if rng.random() < 0.8 else f"x{rng.integers(10)}" for s in "0123456"[:3]}
+        truth["3"] = truth["2"]  # source 3 copies source 2
         for s, v in truth.items():
-            rows.append((seq, str(o), s, True, 10, False, 3, v))
+            rows.append((seq, str(o), s, 10, 3, v))
             seq += 1
-    rows += [(seq, None, 1, True, 10, False, 3, "x"), (seq + 1, "one", 1, True, 10, False, 3, "x"), (seq + 2, "null", None, False, None, False, 0, None), (seq + 3, "null", None, False, None, False, 0, None)]
-    df = spark.createDataFrame(rows, "seq long, object string, source int, has_metrics boolean, metrics_at long, flagged boolean, text_length int, f string").withColumn("n", F.lit("clash"))
-    sets = fusion.claims_by_source_set(df.filter("object is not null"), ["f"])
-    patterns = sets.groupBy("object", "field").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "mask", "n"))), ",").alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("times"))
-    accuracy, depends = fusion.estimate(patterns, 4)
-    assert depends[2, 3] > 0.9 > 0.5 > depends[0, 1] and accuracy.min() > 0.5
-    out = {r.object: r for r in fusion.fuse(df, ["f"], first_ms=0, last_ms=100).collect()}
-    assert len(out) == 301 and np.mean([r.f == "t" for o, r in out.items() if o != "null"]) > 0.85
-    assert out["null"].metrics_seq is None and out["null"].f is None and out["null"].text_seq == seq + 2
-    assert out["0"].metrics_seq == 0  # ties fall to the earliest
-    assert fusion.fuse(df.limit(0), ["f"], first_ms=0, last_ms=100).count() == 0
+    rows += [(seq, None, "1", 10, 3, "x"), (seq + 1, "one", "1", 10, 3, "x"), (seq + 2, "null", None, None, 0, None), (seq + 3, "null", None, None, 0, None)]
+    rows += [(seq + 4, "long", "1", 7, 10**6, "y" * 10**5), (seq + 5, "long", "1", 7, 10**6, "y" * 10**5)]
+    df = spark.createDataFrame(rows, _CLAIM).withColumns({"n": F.lit("clash"), "who": F.lit(1), "pattern": F.lit(2)})
+    claimed = fusion.claims(df, ["metrics", "text"], ["f"])
+    votes = fusion.estimate(fusion.counted_patterns(claimed, ["metrics", "text", "f"]), ["metrics", "text"])
+    pair = lambda a, b: votes.depends[min(_who(a), _who(b)), max(_who(a), _who(b))]
+    assert pair("2", "3") > 0.9 > 0.5 > pair("0", "1") and min(votes.accuracy.values()) > 0.5
+    out = {r.object: r for r in fusion.fuse(df, ["metrics", "text"], ["f"]).collect()}
+    assert len(out) == 302 and np.mean([rows[r.f_seq][5] == "t" for o, r in out.items() if o not in ("null", "long")]) > 0.85
+    assert out["null"].metrics_seq is None and out["null"].f_seq is None and out["null"].f_p is None and out["null"].text_seq == seq + 2
+    assert out["0"].metrics_seq == 0 and out["0"].n == 4  # rows of one claim: the lowest seq
+    assert out["long"].text_seq == out["long"].metrics_seq == seq + 4
+    assert fusion.fuse(df.limit(0), ["metrics", "text"], ["f"]).count() == 0
 
 
 # ---- p5
