@@ -3,7 +3,11 @@
 Method: tokens are packed into blocks of fixed length per source; each output shard draws multinomial source counts;
 slots are mapped through a per-source pseudorandom permutation of the block indices (a fresh one for each repeat), and
 blocks are joined by index. A source is used at most ``max_repeats`` times; slots beyond that stay empty and show in
-the report as the source's shortfall.
+the report as the source's shortfall. A source is *short* if the walk through its slots placed fewer tokens than it
+should have and, checked exactly, all its repeats hold fewer too: a source that can't reach its share never passes the
+walk, so the check only acquits those the draw left behind by chance.
+
+The tokenizer's vocabulary is read on the driver (at most ``MAX_VOCABULARY`` bytes) and broadcast: executors need no file.
 
 Documents are packed in hashed order with ``prefix_sums``: no task sees a whole source. The number of sources in the
 targets is bounded (``MAX_SOURCES``); everything else is distributed.
@@ -22,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plover.operators.prefix import prefix_sums
 from plover.runtime import materialize
 
+#: Where the vocabulary lies, unless the session sets ``plover.tokenizer``.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+MAX_VOCABULARY = 64_000_000
 #: Fixed value: the splitting pattern that belongs to the public byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_TOKENS = 512
@@ -40,14 +46,23 @@ STRETCH = 100_000
 _encodings: dict = {}
 
 
-def encoding(path: str):
-    if path not in _encodings:
+def vocabulary(path: str) -> bytes:
+    """The lines of a vocabulary file (token in base64, rank)."""
+    with open(path, "rb") as file:
+        held = file.read(MAX_VOCABULARY + 1)
+    if len(held) > MAX_VOCABULARY:
+        raise ValueError(f"{path} is larger than {MAX_VOCABULARY} bytes")
+    return held
+
+
+def encoding(lines: bytes):
+    key = hash(lines)
+    if key not in _encodings:
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encodings[path] = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
+        _encodings[key] = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[key]
 
 
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
@@ -62,11 +77,13 @@ def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
     yield text[start:]
 
 
-def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def count_tokens(documents: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, source, n_tokens."""
+    spark = documents.sparkSession
+    lines = spark.sparkContext.broadcast(vocabulary(tokenizer or spark.conf.get("plover.tokenizer", TOKENIZER)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(tokenizer)
+        enc = encoding(lines.value)
         for batch in batches:
             n = [sum(len(enc.encode_ordinary(s)) for s in stretches(t)) if t else 0 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "n_tokens": n})
@@ -124,12 +141,13 @@ def draw(spark, shares: dict[str, float], slots: int, seed: int, shard_slots: in
     return spark.range(shards).mapInPandas(sample, "shard long, source string, n long")
 
 
-def mix(documents: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER, seed: int = 7, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, *, tokenizer: str | None = None, seed: int = 7, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, DataFrame]:
     """(slots, report) of a mix as large as the corpus.
 
     slots: shard, source, slot, repeat, block, n_tokens, parts (block is joined by index; parts: its at, doc_id,
     from_token, to_token in order, at most ``block_tokens``).
-    report: source, target_share, max_repeats, source_tokens, wanted_tokens, mixed_tokens, actual_share, short.
+    report: source, target_share, max_repeats, source_tokens, wanted_tokens, drawn_slots, filled_slots, mixed_tokens,
+    actual_share (of the mix), reached (mixed of wanted tokens), short.
     """
     spark = documents.sparkSession
     counted = materialize(count_tokens(documents, tokenizer), "tokens")
@@ -160,13 +178,18 @@ def mix(documents: DataFrame, targets: DataFrame, *, tokenizer: str = TOKENIZER,
     mapped = each.withColumn("block", F.pandas_udf(permuted, "long")(F.col("slot") % F.col("n_blocks"), "n_blocks", "key"))
     slots = mapped.join(blocks, ["source", "block"]).select("shard", "source", "slot", "repeat", "block", "n_tokens", "parts")
     have = counted.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
-    taken = slots.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"))
+    asked = drawn.groupBy("source").agg(F.sum("n").alias("drawn_slots"))
+    taken = slots.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.count(F.lit(1)).alias("filled_slots"))
+    counts = ["source_tokens", "drawn_slots", "filled_slots", "mixed_tokens"]
+    all_targets = Window.partitionBy(F.lit(1))  # a row per target: at most MAX_SOURCES
     report = (
         wanted.join(have, "source", "left")
+        .join(asked, "source", "left")
         .join(taken, "source", "left")
-        .fillna(0, ["source_tokens", "mixed_tokens"])
+        .fillna(0, counts)
         .withColumn("wanted_tokens", F.col("target_share") * F.lit(float(total)))
-        .withColumn("short", F.col("wanted_tokens") > F.col("source_tokens") * F.col("max_repeats"))
-        .withColumn("actual_share", F.col("mixed_tokens") / F.lit(float(total or 1)))
+        .withColumn("short", (F.col("mixed_tokens") < F.col("wanted_tokens")) & (F.col("wanted_tokens") > F.col("source_tokens") * F.col("max_repeats")))
+        .withColumn("actual_share", F.col("mixed_tokens") / F.greatest(F.sum("mixed_tokens").over(all_targets), F.lit(1)))
+        .withColumn("reached", F.try_divide("mixed_tokens", "wanted_tokens"))
     )
     return slots, report

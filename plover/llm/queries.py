@@ -108,7 +108,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[1].select("source", "target_share", "max_repeats", "source_tokens", "wanted_tokens", "mixed_tokens", "actual_share", "short")
+    return _mix(spark, d)[1].select("source", "target_share", "max_repeats", "source_tokens", "wanted_tokens", "drawn_slots", "filled_slots", "mixed_tokens", "actual_share", "reached", "short")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -143,7 +143,7 @@ def test_permutation_is_one():
 
 
 def test_pieces_don_t_change_counts():
-    enc = mixing.encoding(mixing.TOKENIZER)
+    enc = mixing.encoding(mixing.vocabulary(mixing.TOKENIZER))
     text = "Ein langer  Text, mit Worten and 123 numbers.\n\n日本語の文 " * 40
     assert sum(len(enc.encode_ordinary(s)) for s in mixing.stretches(text, 50)) == len(enc.encode_ordinary(text))
     assert "".join(mixing.stretches(text, 50)) == text
@@ -156,7 +156,9 @@ def test_mix(spark):
     slots, report = mixing.mix(docs, targets, block_tokens=16, shard_slots=32)
     r = {x.source: x for x in report.collect()}
     assert (r["big"].short, r["small"].short, r["none"].short) == (False, True, True)
-    assert abs(r["big"].actual_share - 0.7) < 0.08 and r["small"].mixed_tokens <= 3 * r["small"].source_tokens
+    assert abs(r["big"].reached - 1) < 0.1 and r["small"].mixed_tokens <= 3 * r["small"].source_tokens
+    assert abs(sum(x.actual_share for x in r.values()) - 1) < 1e-9 and r["none"].filled_slots == 0 < r["none"].drawn_slots
+    assert all(x.short == (x.filled_slots < x.drawn_slots) for x in r.values())
     used = slots.groupBy("source", "block").count().groupBy("source").agg(F.max("count")).collect()
     assert {x[0]: x[1] for x in used} == {"big": 1, "small": 3}
     packed = mixing.pack(mixing.count_tokens(docs), 7, 16).groupBy("doc_id").agg(F.sum(F.col("to_token") - F.col("from_token")).alias("n"))
@@ -164,6 +166,17 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), targets)[1].filter("short").count() == 0
 
 
+def test_short_sources_come_from_the_walk(spark, monkeypatch):
+    """A walk that fills every share leaves nothing short, whatever the capacities say."""
+    docs = spark.createDataFrame([(i, "big", "word " * 50) for i in range(40)] + [(99, "small", "term " * 50)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 1)], "source string, target_share double, max_repeats int")
+    short = lambda: {r.source for r in mixing.mix(docs, targets, block_tokens=8)[1].filter("short").collect()}
+    assert short() == {"small"}
+    whole = mixing.pack
+    monkeypatch.setattr(mixing, "pack", lambda *a: whole(*a).withColumn("to_token", F.col("to_token") * 100))
+    assert short() == set()
+
+
 def test_mix_names_its_records(spark):
     out = queries.p9_mix(spark, SF)
     assert {"doc_id", "from_token", "to_token"} <= set(out.columns)
