@@ -56,6 +56,32 @@ def test_zones_and_orders(spark):
     assert timestamps.normalise(df.limit(0), "value", "feed", "zone", "ord").count() == 0
 
 
+def test_values_overrule_a_wrong_declaration(spark):
+    """Forty dates that can only be month first beat a declared day first; three don't."""
+    schema = "id int, value string, feed int, zone string, ord string"
+    rows = [(f * 100 + i, f"10/{13 + i % 15}/2025 10:00:00", f, "UTC", "dmy") for f, n in ((1, 40), (2, 3)) for i in range(n)]
+    rows += [(f * 100 + 99, "03/04/2025 10:00:00", f, "UTC", "dmy") for f in (1, 2)]
+    out = {r.id: r for r in timestamps.normalise(spark.createDataFrame(rows, schema), "value", "feed", "zone", "ord").collect()}
+    assert (out[199].format, out[299].format) == ("mdy", "dmy")
+    assert timestamps.fit([("dmy|mdy", None, 5)])["dmy|mdy"] == ("dmy", 0.5)
+
+
+def test_abbreviations_mean_what_the_source_says(spark):
+    rows = [
+        (1, "2025-06-01 10:00:00 CST", 1, "Asia/Shanghai", "ymd"),
+        (2, "2025-01-01 10:00:00 CST", 2, "America/Chicago", "ymd"),
+        (3, "2025-01-01 10:00:00 IST", 3, "Asia/Kolkata", "ymd"),
+        (4, "2025-07-01 10:00:00 IST", 4, "Europe/Dublin", "ymd"),
+        (5, "2025-07-01 10:00:00 IST", 5, "No/Where", "ymd"),  # nobody says: the common meaning, marked
+        (6, "2025-07-01 10:00:00 IST" + " " * 500, 5, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, value string, feed int, zone string, ord string")
+    out = {r.id: r for r in timestamps.normalise(df, "value", "feed", "zone", "ord").collect()}
+    hour = lambda i: out[i].utc_ms // 60000 % 1440
+    assert [hour(i) for i in range(1, 7)] == [120, 960, 270, 540, 270, 270]
+    assert {out[i].status for i in (1, 2, 3, 4)} == {"resolved"} and out[5].status == out[6].status == "ambiguous_zone"
+
+
 def test_open_order_is_marked(spark):
     df = spark.createDataFrame([(1, "03/04/2025 10:00:00", 3, "UTC", None)], "id int, value string, feed int, zone string, ord string")
     assert timestamps.normalise(df, "value", "feed", "zone", "ord").first().status == "ambiguous_order"
