@@ -1,15 +1,21 @@
 """Rows that fail to parse (problem 6).
 
-Method: an error-recovering recursive-descent grammar. A record is fields joined by the file's delimiter; a field is
-plain or quoted. After a syntax error the parser resumes at the next validated record-start anchor. Where a table
-delivers one record per row the rows themselves are the anchors; ``parse_stream`` finds them in running text: a line
-start after which a whole record parses and whose first field is the record tag.
+Method: an error-recovering recursive-descent grammar over running text. A record is fields joined by the file's
+delimiter, up to a line end; a field is plain or quoted, and a quoted one may hold line ends. Where a record breaks the
+grammar the fault is located, and parsing resumes at the next validated record-start anchor: a line start where the
+record tag stands and from which a whole record parses.
 
-Parsing is Arrow-batched Python (``mapInPandas``): a grammar with located errors has no built-in form. Rows stream
-through; no group is gathered.
+``load_rejections`` parses each file's delivered lines as running text. As every delivered line starts a record, the
+lines are the places anchors are looked for; a record that doesn't end with its line has lost a quote, and the lines up
+to the anchor are diagnosed one by one. Files are cut into blocks of lines, which are parsed on their own: a file of any
+size is spread over all tasks, and a task holds one block's text. Each record is parsed once, and once more where it is
+broken; so the work is linear in the text, up to the length of a block where quotes are missing.
+
+Parsing is Arrow-batched Python (``mapInPandas``): a grammar with located errors has no built-in form.
 
 Edge cases: null and blank lines and (repeated) headers are no records; an unknown delimiter falls back to comma; a
-header may be missing; very long fields are parsed whole; a byte-order mark and a trailing line end are ignored.
+header may be missing; very long fields are parsed whole; a byte-order mark and a trailing line end are ignored; lines
+without number come first; repeated rows are records of their own; empty table: empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plover.runtime import spread
+
 HEADER = ("kind", "accountUserId", "page", "rawFile", "index", "origin", "parentId", "candidateId", "reasons")
 BLANKS = " \t"
 INT_MAX = 2147483647
@@ -30,18 +38,21 @@ REJECTION_CODES = (
     "invalid_response_shape",
     "missing_tweet_id",
     "empty_text",
+    "invalid_created_at",
+    "missing_metric",
+    "invalid_media",
     "missing_author",
     "missing_author_id",
     "missing_author_handle",
     "missing_author_display_name",
     "missing_author_counts",
-    "missing_author_verification",
     "missing_author_created_at",
-    "invalid_created_at",
-    "missing_metric",
-    "invalid_media",
+    "missing_author_verification",
     "conflicting_tweet_text",
 )
+TAG = "rejection"
+#: Delivered lines of a block, and the characters from which on a block ends earlier.
+BLOCK_LINES, BLOCK_CHARS = 4096, 1_000_000
 
 
 @dataclass
@@ -53,30 +64,42 @@ class SyntaxFault(Exception):
 
 
 class RecordGrammar:
-    """record := field (delimiter field)*;  field := quoted | plain."""
+    """record := field (delimiter field)* (line end | end);  field := quoted | plain."""
 
     def __init__(self, delimiter: str):
         self.delimiter = delimiter
 
-    def record(self, text: str, at: int, end: int) -> tuple[list[str], int]:
-        """The fields of the record at ``at`` and the offset after it; it must reach ``end``."""
+    def record(self, text: str, at: int, end: int | None = None) -> tuple[list[str], int]:
+        """The fields of the record at ``at`` and the offset where it ends: with ``end`` there, without at a line end."""
         fields = []
+        stop = self.next_line(text, at) if end is None else end  # where plain text ends
+        whole = len(text) if end is None else end
         while True:
-            field, at = self.quoted(text, at, end) if text.startswith('"', at, end) else self.plain(text, at, end)
+            if text.startswith('"', at, whole):
+                field, at = self.quoted(text, at, whole, end is None)
+                if end is None and at > stop:
+                    stop = self.next_line(text, at)
+            else:
+                field, at = self.plain(text, at, stop)
             fields.append(field)
-            if at >= end:
+            if at >= stop:
                 return fields, at
             at += 1  # the delimiter
 
-    def plain(self, text: str, at: int, end: int) -> tuple[str, int]:
-        stop = text.find(self.delimiter, at, end)
-        stop = end if stop < 0 else stop
-        quote = text.find('"', at, stop)
+    @staticmethod
+    def next_line(text: str, at: int) -> int:
+        stop = text.find("\n", at)
+        return len(text) if stop < 0 else stop
+
+    def plain(self, text: str, at: int, stop: int) -> tuple[str, int]:
+        to = text.find(self.delimiter, at, stop)
+        to = stop if to < 0 else to
+        quote = text.find('"', at, to)
         if quote >= 0:
             raise SyntaxFault("quote inside an unquoted field", quote)
-        return text[at:stop], stop
+        return text[at:to], to
 
-    def quoted(self, text: str, at: int, end: int) -> tuple[str, int]:
+    def quoted(self, text: str, at: int, end: int, running: bool = False) -> tuple[str, int]:
         parts, start, at = [], at, at + 1
         while True:
             quote = text.find('"', at, end)
@@ -87,9 +110,10 @@ class RecordGrammar:
                 break
             parts.append('"')
             at = quote + 2
-        if quote + 1 < end and not text.startswith(self.delimiter, quote + 1, end):
-            raise SyntaxFault("text after a closing quote", quote + 1)
-        return "".join(parts), quote + 1
+        after = quote + 1
+        if after < end and not text.startswith((self.delimiter, "\n") if running else self.delimiter, after, end):
+            raise SyntaxFault("text after a closing quote", after)
+        return "".join(parts), after
 
 
 def bad_value(fields: list[str]) -> str:
@@ -122,15 +146,12 @@ def strip_line_end(line: str) -> str:
     return line[:-1] if line.endswith("\r") else line
 
 
-def parse_record(line: str, delimiter: str) -> tuple[str | None, str, int, list[str]]:
-    """(kind of row or failure, detail, offset, fields): kind is '' for a loaded record, None for no record at all."""
-    line = strip_line_end(line).removeprefix("\ufeff")
-    if not line.strip():
-        return None, "blank", 0, []
-    try:
-        fields, _ = RecordGrammar(delimiter).record(line, 0, len(line))
-    except SyntaxFault as fault:
-        return "quoting", fault.reason, fault.offset, []
+def cleaned(line: str) -> str:
+    return strip_line_end(line).removeprefix("\ufeff")
+
+
+def judged(fields: list[str]) -> tuple[str | None, str, int, list[str]]:
+    """What a record of sound syntax is worth, as ``parse_record``."""
     if tuple(f.strip(BLANKS) for f in fields) == HEADER:
         return None, "header", 0, []
     if len(fields) != len(HEADER):
@@ -140,70 +161,129 @@ def parse_record(line: str, delimiter: str) -> tuple[str | None, str, int, list[
     return "", "", 0, [f.strip(BLANKS) for f in fields]
 
 
-def parse_stream(text: str, delimiter: str, tag: str = "rejection") -> Iterator[tuple[int, int, str | None, str]]:
-    """(start, end, failure, detail) of the records in running text; after a broken quote it resumes at an anchor.
+def parse_record(line: str, delimiter: str) -> tuple[str | None, str, int, list[str]]:
+    """(kind of row or failure, detail, offset, fields) of one line: '' for a loaded record, None for no record at all."""
+    line = cleaned(line)
+    if not line.strip():
+        return None, "blank", 0, []
+    try:
+        return judged(RecordGrammar(delimiter).record(line, 0, len(line))[0])
+    except SyntaxFault as fault:
+        return "quoting", fault.reason, fault.offset, []
 
-    A record ends at the first line end outside quotes. If its quotes never close, it ends before the first following
-    line start that is an anchor: ``tag`` stands there and a whole record parses; without one it takes the line.
-    """
-    grammar, at, size = RecordGrammar(delimiter), 0, len(text)
-
-    def line_end(start: int) -> int:
-        inside, i = False, start
-        while i < size:
-            quote, line = text.find('"', i), text.find("\n", i)
-            if line < 0 and (quote < 0 or not inside):
-                return size if not inside else -1
-            if inside or (0 <= quote < line):
-                if quote < 0:
-                    return -1
-                inside, i = not inside, quote + 1
-            else:
-                return line
-        return -1 if inside else size
-
-    def parses(start: int) -> int:
-        end = line_end(start)
-        if end < 0:
-            return -1
-        try:
-            fields, _ = grammar.record(text, start, end - (text[end - 1 : end] == "\r"))
-        except SyntaxFault:
-            return -1
-        return end if len(fields) == len(HEADER) else -1
-
-    while at < size:
-        end = line_end(at)
-        if end < 0 or parses(at) < 0:
-            plain_end = text.find("\n", at)
-            plain_end = size if plain_end < 0 else plain_end
-            probe = plain_end
-            while 0 <= probe < size:
-                start = probe + 1
-                if text.startswith((tag, f'"{tag}"'), start) and parses(start) >= 0:
-                    break
-                probe = text.find("\n", start)
-            end = min(e for e in ((end if end >= 0 else size), (probe if probe >= 0 else size)) if e >= plain_end)
-        yield at, end, *parse_record(text[at:end], delimiter)[:2]
-        at = end + 1
+
+class Recovery:
+    """One pass through running text, from line start to line start, with resumption at anchors."""
+
+    def __init__(self, text: str, delimiter: str, starts: list[int], tag: str = TAG):
+        self.text, self.grammar, self.starts = text, RecordGrammar(delimiter), starts
+        self.tags, self.ahead, self.known = (tag, f'"{tag}"'), 0, {}
+
+    def parsed(self, i: int) -> tuple[list[str], int] | SyntaxFault:
+        """The record at line start ``i``; parsed once, as an anchor or in its turn."""
+        if i not in self.known:
+            try:
+                self.known[i] = self.grammar.record(self.text, self.starts[i])
+            except SyntaxFault as fault:
+                self.known[i] = fault
+        return self.known[i]
+
+    def is_anchor(self, i: int) -> bool:
+        if not self.text.startswith(self.tags, self.starts[i]):
+            return False
+        found = self.parsed(i)
+        return not isinstance(found, SyntaxFault) and len(found[0]) == len(HEADER)
+
+    def anchor_after(self, i: int) -> int:
+        """The first validated anchor behind line ``i``; the number of lines if there is none. Looks at each line once."""
+        self.ahead = max(self.ahead, i + 1)
+        while self.ahead < len(self.starts) and not self.is_anchor(self.ahead):
+            self.ahead += 1
+        return self.ahead
+
+    def forget(self, i: int) -> None:
+        self.known.pop(i, None)
+
+
+def parse_stream(text: str, delimiter: str, tag: str = TAG) -> Iterator[tuple[int, int, str | None, str]]:
+    """(start, end, failure, detail) of the records in running text; after a fault it resumes at an anchor, and without
+    one at the next line."""
+    starts = [0] + [i + 1 for i, c in enumerate(text) if c == "\n"]
+    run, i = Recovery(text, delimiter, starts, tag), 0
+    while i < len(starts) and starts[i] < len(text):
+        found, at = run.parsed(i), starts[i]
+        run.forget(i)
+        if isinstance(found, SyntaxFault):
+            after = run.anchor_after(i)
+            after = i + 1 if after == len(starts) else after
+            end = starts[after] - 1 if after < len(starts) else len(text)
+            yield at, end, "quoting", found.reason
+        else:
+            fields, end = found
+            line = cleaned(text[at:end])
+            yield at, end, *((None, "blank") if not line.strip() else judged(fields if line == text[at:end] else parse_fields(line, delimiter))[:2])
+            after = i + 1
+        while after < len(starts) and starts[after] <= end:  # line starts inside quotes
+            after += 1
+        i = after
+
+
+def parse_fields(line: str, delimiter: str) -> list[str]:
+    return RecordGrammar(delimiter).record(line, 0, len(line))[0]
+
+
+def parse_lines(lines: list[str], delimiter: str) -> Iterator[tuple[str | None, str, int, list[str]]]:
+    """The results of ``parse_record`` for delivered lines, parsed as running text: one per line, in order."""
+    rows = [cleaned(line) for line in lines]
+    starts, at = [], 0
+    for row in rows:
+        starts.append(at)
+        at += len(row) + 1
+    run, i = Recovery("\n".join(rows), delimiter, starts), 0
+    while i < len(rows):
+        if not rows[i].strip():
+            yield None, "blank", 0, []
+            i += 1
+            continue
+        found = run.parsed(i)
+        if not isinstance(found, SyntaxFault) and found[1] == starts[i] + len(rows[i]):
+            run.forget(i)
+            yield judged(found[0])
+            i += 1
+            continue
+        run.forget(i)
+        after = run.anchor_after(i)  # the record ran into other lines, or broke: resume there
+        for row in rows[i:after]:
+            yield parse_record(row, delimiter)
+        i = after
 
 
 LOADED = "raw_seq long, failure string, detail string, error_offset int, kind string, account_user_id string, page int, raw_file string, row_index int, origin string, parent_id string, candidate_id string, reasons array<string>"
 
 
 def _load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    names = [c.split()[0] for c in LOADED.split(", ")]
+    held, block, chars = [], None, 0
+
+    def parsed() -> pd.DataFrame:
         rows = []
-        for seq, line, delimiter in zip(batch["raw_seq"], batch["line"], batch["delimiter"], strict=True):
-            failure, detail, offset, f = parse_record(line, delimiter)
-            if failure is None:
-                continue
+        for (seq, _), (failure, detail, offset, f) in zip(held, parse_lines([line for _, line in held], block[2]), strict=True):
             if failure:
                 rows.append((seq, failure, detail, offset, *[None] * 9))
-            else:
+            elif failure is not None:
                 rows.append((seq, None, None, None, f[0], f[1], int(f[2]), f[3], int(f[4]), f[5], f[6] or None, f[7] or None, f[8].split("|")))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in LOADED.split(", ")], dtype=object)
-        yield out
+        return pd.DataFrame(rows, columns=names, dtype=object)
+
+    for batch in batches:
+        for file, number, seq, line, delimiter in zip(batch["load_file"], batch["block"], batch["raw_seq"], batch["line"], batch["delimiter"], strict=True):
+            if held and ((file, number, delimiter) != block or chars > BLOCK_CHARS):
+                yield parsed()
+                held, chars = [], 0
+            block = (file, number, delimiter)
+            held.append((seq, line))
+            chars += len(line)
+    if held:
+        yield parsed()
 
 
 def load_rejections(lines: DataFrame) -> DataFrame:
@@ -214,5 +294,12 @@ def load_rejections(lines: DataFrame) -> DataFrame:
     lines = lines.select("raw_seq", "load_file", "line_no", "line").filter(F.col("line").isNotNull())
     mark = F.regexp_extract("line", '^\\uFEFF?"?kind"?([,;\\t])', 1)
     heads = lines.filter("line_no = 1").groupBy("load_file").agg(F.max(mark).alias("delimiter"))
-    marked = lines.join(heads, "load_file", "left").select("raw_seq", "line", F.when(F.col("delimiter").isin(",", ";", "\t"), F.col("delimiter")).otherwise(",").alias("delimiter"))
-    return marked.mapInPandas(_load, LOADED)
+    marked = lines.join(heads, "load_file", "left").select(
+        "raw_seq",
+        F.coalesce("load_file", F.lit("")).alias("load_file"),
+        F.coalesce("line_no", F.lit(0)).alias("line_no"),
+        "line",
+        F.when(F.col("delimiter").isin(",", ";", "\t"), F.col("delimiter")).otherwise(",").alias("delimiter"),
+    )
+    blocks = marked.withColumn("block", F.expr(f"line_no div {BLOCK_LINES}")).repartition(spread(lines.sparkSession), "load_file", "block")
+    return blocks.sortWithinPartitions("load_file", "block", "line_no", "raw_seq").mapInPandas(_load, LOADED)

@@ -154,6 +154,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return csvload.load_rejections(table(spark, d, "rejection_lines")).filter(F.col("failure").isNotNull()).select("raw_seq", "failure")
 
 
+def p6_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Where and why each refused line broke."""
+    loaded = csvload.load_rejections(table(spark, d, "rejection_lines")).filter(F.col("failure").isNotNull())
+    return loaded.select("raw_seq", "failure", "detail", "error_offset")
+
+
 def p6_loaded(spark: SparkSession, d: str) -> DataFrame:
     loaded = csvload.load_rejections(table(spark, d, "rejection_lines")).filter(F.col("failure").isNull())
     return loaded.select("raw_seq", "kind", "account_user_id", "page", "raw_file", "row_index", "origin", "parent_id", "candidate_id", F.array_join("reasons", "|").alias("reasons"))
@@ -191,4 +197,4 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_references(spark, d), _targets(spark, d), _deletions(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_formats, p3_found, p3_lifespans, p3_unified, p4_found, p4_delivered_once, p6_found, p6_loaded, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_formats, p3_found, p3_lifespans, p3_unified, p4_found, p4_delivered_once, p6_found, p6_errors, p6_loaded, p7_found, p7_report)}

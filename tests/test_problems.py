@@ -196,6 +196,45 @@ def test_stream_resumes_after_a_broken_quote():
     assert got[3][0].endswith('lines",0,timeline,,,empty_text')
 
 
+def test_lines_are_parsed_as_running_text():
+    good, tail = "rejection,1,1,f,0,timeline,,,empty_text", ",0,timeline,,,empty_text"
+    lines = [
+        good,
+        'rejection,1,1,"open' + tail,  # runs on until a quote closes it
+        "no record at all",
+        "rejection,1,1",
+        good + "\r",
+        'rejection,1,1,"two\nlines, ""so""' + '"' + tail,
+        'rejection,1,1,"open' + tail,  # closed by the next line's quote, which is no record's end
+        'rejection,1,1,"shut"' + tail,
+        'rejection,1,1,f,0,timeline,,,"empty_text',  # would take in the next line whole
+        '",x',
+        "",
+        'rejection,1,1,"never closed' + tail,
+    ]
+    assert list(csvload.parse_lines(lines, ",")) == [csvload.parse_record(line, ",") for line in lines]
+    assert [r[0] for r in csvload.parse_lines(lines, ",")] == ["", "quoting", "column_count", "column_count", "", "", "quoting", "", "quoting", "quoting", None, "quoting"]
+
+
+def test_recovery_decides_where_to_resume(monkeypatch):
+    """Without anchors everything behind a broken quote is judged line by line, by them records are parsed once."""
+    good, bad = "rejection,1,1,f,0,timeline,,,empty_text", 'rejection,1,1,"open,0,timeline,,,empty_text'
+    run = csvload.Recovery("\n".join([bad, "x", good]), ",", [0, len(bad) + 1, len(bad) + 3])
+    assert run.anchor_after(0) == 2 and not run.is_anchor(1)
+    text = "\n".join([good, bad, "x", "y", good, good])
+    assert [f for *_, f, _ in csvload.parse_stream(text, ",")] == ["", "quoting", "", ""]
+    monkeypatch.setattr(csvload.Recovery, "is_anchor", lambda *_: False)
+    assert [f for *_, f, _ in csvload.parse_stream(text, ",")] == ["", "quoting", "column_count", "column_count", "", ""]
+
+
+def test_blocks(spark, monkeypatch):
+    rows = [(i, "f", i // 2, ('rejection,1,1,"open' if i % 7 == 0 else "rejection,1,1,f") + ",0,timeline,,,empty_text") for i in range(300)]
+    df = spark.createDataFrame(rows, "raw_seq long, load_file string, line_no int, line string")
+    monkeypatch.setattr(csvload, "BLOCK_LINES", 16)
+    got = {r.raw_seq: r.failure for r in csvload.load_rejections(df).collect()}
+    assert got == {i: "quoting" if i % 7 == 0 else None for i in range(300)}
+
+
 def test_load_without_header(spark):
     df = spark.createDataFrame([(1, "f", 7, "rejection,1,1,f,0,timeline,,,empty_text", "x"), (2, "f", 8, None, "x")], "raw_seq long, load_file string, line_no int, line string, kind string")
     assert [(r.raw_seq, r.failure, r.reasons) for r in csvload.load_rejections(df).collect()] == [(1, None, ["empty_text"])]
