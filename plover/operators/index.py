@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plover.functions import text as X
 from plover.operators import posts as P
+from plover.runtime import spread
 
 #: Read caps: postings per term, seed of a multi-term plan, reranked candidates.
 PER_TERM_CAP = 500
@@ -37,9 +38,25 @@ def build_postings(posts: DataFrame, lexicon: dict | None = None) -> DataFrame:
     return postings_of(analysed(posts, lexicon))
 
 
-def write_postings(postings: DataFrame, path: str, partitions: int) -> None:
-    """Postings in the layout reads expect: a term lies in one file, sorted by impact, so row groups prune by term."""
-    postings.repartition(partitions, "term").sortWithinPartitions("term", F.desc("bucket"), "post_id").write.parquet(path)
+def sorted_postings(postings: DataFrame) -> DataFrame:
+    """Postings in the order reads want: by term, then impact. Ranges split a common term over several files, and files,
+    row groups and pages outside a term's range (or below an impact floor) are skipped by their statistics."""
+    keys = ["term", F.desc("bucket"), "post_id"]
+    return postings.repartitionByRange(spread(postings.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def write_postings(postings: DataFrame, path: str) -> None:
+    sorted_postings(postings).write.option("parquet.block.size", 16 << 20).parquet(path)
+
+
+def term_table(postings: DataFrame) -> DataFrame:
+    """term, df, floors: for each read cap the lowest bucket among the term's first postings by impact, so a capped read
+    needs only those at or above it. Counted over (term, bucket), at most 256 rows a term."""
+    steps = postings.groupBy("term", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    above = Window.partitionBy("term").orderBy(F.desc("bucket"))
+    counted = steps.withColumn("upto", F.sum("n").over(above))
+    floor = lambda cap: F.coalesce(F.max(F.when(F.col("upto") >= cap, F.col("bucket"))), F.min("bucket"))
+    return counted.groupBy("term").agg(F.sum("n").alias("df"), floor(PER_TERM_CAP).alias("floor_read"), floor(SEED_CAP).alias("floor_seed"))
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:
@@ -77,5 +94,5 @@ def time_order() -> list[Column]:
 
 def rarest_first(query_terms: DataFrame, dfs: DataFrame) -> DataFrame:
     """term, df, rnk: unknown terms are rarest; ties by term. The query's few terms are the small side."""
-    joined = query_terms.join(dfs, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    joined = query_terms.join(dfs.select("term", "df"), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     return joined.withColumn("rnk", F.row_number().over(Window.orderBy("df", "term")))

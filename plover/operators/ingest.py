@@ -43,6 +43,20 @@ def gate_reason(text: str, at: list[str], now_ms: int) -> Column:
     return reason
 
 
+def line_gate(lines: DataFrame, line: str) -> DataFrame:
+    """``lines`` plus reason (ok, envelope_too_large, line_too_long; by UTF-8 bytes) and, of lines too long, their sha256."""
+    size = F.coalesce(F.octet_length(line), F.lit(0))
+    reason = F.when(size > LINE_BYTES, "line_too_long").when(size > ENVELOPE_BYTES, "envelope_too_large").otherwise("ok")
+    return lines.withColumn("reason", reason).withColumn("sha256", F.when(size > LINE_BYTES, F.sha2(line, 256)))
+
+
+def window_reason(origin: Column, own: Column, reposted: Column, created_ms: Column, cutoff_ms: int) -> Column:
+    """skipped or kept: what an account itself wrote on its timeline, replies too, is subject to the window; embedded
+    posts, reposts and posts of others aren't."""
+    subject = (origin == "timeline") & own & ~reposted
+    return F.when(F.coalesce(subject & (created_ms < cutoff_ms), F.lit(False)), "skipped").otherwise("kept")
+
+
 def decode_loose(lines: DataFrame, line: str) -> DataFrame:
     """Posts from tolerant JSON: names have aliases, times may be seconds, tombstones and incomplete posts are refused."""
     o = lines.withColumn("o", json_object(line))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plover.functions.ids import canonical_id
+from plover.operators import timestamps
+from plover.operators.ingest import gate_reason
 from plover.runtime import spread
 
 #: 2025-01-01, the start of the static recency term; days it grows, and how many days are one point.
@@ -20,12 +22,27 @@ BOOST = 0.5
 DAY_MS = 86400000
 
 
-def posts_from_ingress(ingress: DataFrame) -> DataFrame:
-    """One row per post id with text: its first record. Ids in canonical spelling, missing counts as 0."""
-    body = F.trim("text")
-    columns = ["ingress_seq", "author_id", "text", "received_at", "metrics", "metrics_at", "media", "lang", "quoted_tweet_id", "retweet_of_tweet_id", "in_reply_to_tweet_id"]
-    keyed = ingress.withColumn("post_id", canonical_id("id")).filter(F.col("post_id").isNotNull() & (body != "")).select("post_id", *columns)
-    keyed = keyed.repartition(spread(ingress.sparkSession), "post_id")  # the one shuffle: aggregate and join below keep it
+EPOCH_MS = r"\A[0-9]{13}\z"
+
+
+def with_created(ingress: DataFrame, feeds: DataFrame) -> DataFrame:
+    """``ingress`` plus created_ms, the instant of ``created_at`` (null where it names none), by the clock and date order of
+    the row's feed (feed_id, zone_name, date_order). Most values are epoch milliseconds already; only the others are read."""
+    at = F.col("created_at").try_cast("long")
+    plain = F.coalesce(F.col("created_at").rlike(EPOCH_MS) & at.between(timestamps.FIRST_MS, timestamps.LAST_MS), F.lit(False))
+    clocks = feeds.select("feed_id", F.col("zone_name").alias("_zone"), F.col("date_order").alias("_order")).dropDuplicates(["feed_id"])
+    mixed = timestamps.normalise(ingress.filter(~plain).join(clocks, "feed_id", "left"), "created_at", "feed_id", "_zone", "_order")
+    real = F.when(F.col("utc_ms").between(timestamps.FIRST_MS, timestamps.LAST_MS), F.col("utc_ms")).alias("created_ms")
+    return ingress.filter(plain).select("*", at.alias("created_ms")).unionByName(mixed.select(*ingress.columns, real))
+
+
+def posts_from_ingress(timed: DataFrame, now_ms: int) -> DataFrame:
+    """One row per post id: its first record that passes the gates (text, possible times). Ids in canonical spelling,
+    missing counts as 0. ``timed``: the columns of ``with_created``."""
+    columns = ["ingress_seq", "author_id", "text", "created_ms", "received_at", "metrics", "metrics_at", "media", "lang", "quoted_tweet_id", "retweet_of_tweet_id", "in_reply_to_tweet_id"]
+    fit = gate_reason("text", ["created_ms", "metrics_at"], now_ms).isNull()
+    keyed = timed.withColumn("post_id", canonical_id("id")).filter(F.col("post_id").isNotNull() & fit).select("post_id", *columns)
+    keyed = keyed.repartition(spread(timed.sparkSession), "post_id", "ingress_seq")  # by row: a post may hold any share of them
     first = keyed.groupBy("post_id").agg(F.min("ingress_seq").alias("ingress_seq"))
     count = lambda name: F.coalesce(F.col(f"metrics.{name}"), F.lit(0)).alias(name)
     kept = keyed.join(first, ["post_id", "ingress_seq"], "left_semi")
@@ -34,7 +51,8 @@ def posts_from_ingress(ingress: DataFrame) -> DataFrame:
         "ingress_seq",
         canonical_id("author_id").alias("author_id"),
         "text",
-        F.unix_millis("received_at").alias("created_ms"),
+        "created_ms",
+        F.unix_millis("received_at").alias("received_ms"),
         count("likes"),
         count("replies"),
         count("retweets"),

@@ -110,7 +110,7 @@ def feedback_terms(tokenized_top: DataFrame, query_terms: list[str], most: int =
 def suggest_terms(dfs: DataFrame, prefix: str, shown: int = 10, probed: int = 50) -> DataFrame:
     """Terms that start so: the first ``probed`` in order, by df. Pairs and aspects are no words."""
     first = dfs.filter(F.col("term").startswith(prefix) & ~F.col("term").startswith(X.BIGRAM) & ~F.col("term").startswith("~")).orderBy("term").limit(probed)
-    return first.orderBy(F.desc("df"), "term").limit(shown)
+    return first.orderBy(F.desc("df"), "term").limit(shown).select("term", "df")
 
 
 def suggest_authors(authors: DataFrame, prefix: str, shown: int = 10, probed: int = 20) -> DataFrame:

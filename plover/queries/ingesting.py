@@ -11,7 +11,7 @@ from plover.operators import collect as C
 from plover.operators import graph, ingest, vectors
 from plover.operators import posts as P
 from plover.operators.drift import json_object
-from plover.queries.searching import NOW, posts
+from plover.queries.store import NOW, posts, timed_ingress
 from plover.queries.sqlparts import AUTHORS, ENGAGEMENT, POSTS, RECENCY, bucket, canon, q
 from plover.sources.tables import table
 
@@ -31,38 +31,20 @@ def query(sql: str | None = None):
 
 
 # ---- decoding and gates
-def _whole_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Ingress posts as JSON lines."""
+@query("SELECT ingress_seq, CASE WHEN id IS NULL THEN 'missing_id' END AS reason, id, metrics.likes AS likes FROM ingress")
+def ingress_parse(spark, d):
+    """Ingress posts written as JSON lines and decoded again."""
     renamed = F.struct("kind", "id", "text", F.col("author_id").alias("authorId"), F.col("created_at").alias("createdAt"), "metrics", F.col("metrics_at").alias("metricsAt"), "lang")
-    return table(spark, d, "ingress").select("ingress_seq", F.to_json(renamed).alias("line"))
-
-
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    """Ingress posts as JSON lines; every 17th line is cut short."""
-    return _whole_lines(spark, d).withColumn("line", F.when(F.col("ingress_seq") % 17 == 0, F.substring("line", 1, 20)).otherwise(F.col("line")))
-
-
-def _decoded(lines: DataFrame) -> DataFrame:
-    out, good = ingest.decode_ingress(lines), F.col("reason").isNull()
+    out, good = ingest.decode_ingress(table(spark, d, "ingress").select("ingress_seq", F.to_json(renamed).alias("line"))), F.col("reason").isNull()
     return out.select("ingress_seq", "reason", F.when(good, F.col("r.id")).alias("id"), F.when(good, F.col("r.metrics.likes")).alias("likes"))
 
 
-@query("SELECT ingress_seq, CASE WHEN ingress_seq % 17 = 0 THEN 'broken' WHEN id IS NULL THEN 'missing_id' END AS reason, CASE WHEN ingress_seq % 17 <> 0 THEN id END AS id, CASE WHEN ingress_seq % 17 <> 0 THEN metrics.likes END AS likes FROM ingress")
-def ingress_parse(spark, d):
-    return _decoded(_lines(spark, d))
-
-
-@query("SELECT ingress_seq, CASE WHEN id IS NULL THEN 'missing_id' END AS reason, id, metrics.likes AS likes FROM ingress")
-def ingress_decoded(spark, d):
-    """Every line of ingress, whole."""
-    return _decoded(_whole_lines(spark, d))
-
-
-@query(f"""WITH r AS (SELECT CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 'empty_text' WHEN NOT coalesce(metrics_at > 1136073600000 AND metrics_at <= {NOW} + 300000, false) THEN 'bad_metrics_at' ELSE 'ok' END AS reason FROM ingress)
+@query(f"""WITH {POSTS}, r AS (SELECT CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 'empty_text' WHEN NOT coalesce(created_ms > 1136073600000 AND created_ms <= {NOW} + 300000, false) THEN 'bad_created_ms'
+ WHEN NOT coalesce(metrics_at > 1136073600000 AND metrics_at <= {NOW} + 300000, false) THEN 'bad_metrics_at' ELSE 'ok' END AS reason FROM keyed)
 SELECT reason, count(*) AS n FROM r GROUP BY reason""")
 def ingress_gates(spark, d):
-    reason = F.coalesce(ingest.gate_reason("text", ["metrics_at"], NOW), F.lit("ok"))
-    return table(spark, d, "ingress").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    reason = F.coalesce(ingest.gate_reason("text", ["created_ms", "metrics_at"], NOW), F.lit("ok"))
+    return timed_ingress(spark, d).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _num(path: str) -> str:
@@ -88,12 +70,11 @@ def archive_digest(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query("SELECT CASE WHEN strlen(properties) > 1000000 THEN 'line_too_long' WHEN strlen(properties) >= 400 THEN 'envelope_too_large' ELSE 'ok' END AS reason, count(*) AS n FROM capture_events GROUP BY 1")
+@query("""SELECT event_seq, CASE WHEN strlen(properties) > 1000000 THEN 'line_too_long' WHEN strlen(properties) > 200000 THEN 'envelope_too_large' ELSE 'ok' END AS reason,
+ CASE WHEN strlen(properties) > 1000000 THEN sha256(properties) END AS sha256 FROM capture_events""")
 def event_line_gate(spark, d):
-    """Size gates of exported lines, with the envelope gate set low enough to bite on these tables."""
-    size = F.octet_length("properties")
-    reason = F.when(size > ingest.LINE_BYTES, "line_too_long").when(size >= 400, "envelope_too_large").otherwise("ok")
-    return table(spark, d, "capture_events").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """Size gates of exported lines; of a line too long to keep there remains its hash."""
+    return ingest.line_gate(table(spark, d, "capture_events"), "properties").select("event_seq", "reason", "sha256")
 
 
 EVENTS = """raw AS (SELECT *, CASE WHEN json_type(properties) = 'VARCHAR' THEN CAST(CAST(properties AS JSON)->>'$' AS JSON) ELSE CAST(properties AS JSON) END AS o FROM capture_events),
@@ -264,10 +245,22 @@ def author_share(spark, d):
     return C.author_share(posts(spark, d))
 
 
-@query(f"WITH {POSTS} SELECT post_id, CASE WHEN retweet_of_id IS NULL AND reply_to_id IS NULL AND created_ms < {CUTOFF} THEN 'skipped' ELSE 'kept' END AS reason FROM posts")
+TOLD = f"""told AS (SELECT again_seq AS ingress_seq, min(again.origin) AS origin, min({canon('again.account_user_id')}) AS account FROM duplicates WHERE again_seq IS NOT NULL GROUP BY ALL)"""
+
+
+def _told(spark, d):
+    """ingress_seq, origin, account of the records ``duplicates`` tells about."""
+    told = table(spark, d, "duplicates").filter(F.col("again_seq").isNotNull()).groupBy(F.col("again_seq").alias("ingress_seq"))
+    return told.agg(F.min("again.origin").alias("origin"), F.min(canonical_id("again.account_user_id")).alias("account"))
+
+
+@query(f"""WITH {POSTS}, {TOLD} SELECT post_id, CASE WHEN coalesce(origin, 'timeline') = 'timeline' AND coalesce(account, author_id) = author_id AND retweet_of_id IS NULL AND created_ms < {CUTOFF} THEN 'skipped' ELSE 'kept' END AS reason
+FROM posts LEFT JOIN told USING (ingress_seq)""")
 def history_window(spark, d):
-    authored = F.col("retweet_of_id").isNull() & F.col("reply_to_id").isNull()
-    return posts(spark, d).select("post_id", F.when(authored & (F.col("created_ms") < CUTOFF), "skipped").otherwise("kept").alias("reason"))
+    """Old posts the history leaves out. A record nothing is told about stood on its author's own timeline."""
+    rows = posts(spark, d).join(_told(spark, d), "ingress_seq", "left")
+    origin, account = F.coalesce("origin", F.lit("timeline")), F.coalesce("account", "author_id")
+    return rows.select("post_id", ingest.window_reason(origin, account == F.col("author_id"), F.col("retweet_of_id").isNotNull(), F.col("created_ms"), CUTOFF).alias("reason"))
 
 
 @query(f"""WITH r AS (SELECT ingress_seq, unnest([CASE WHEN {canon('id')} IS NULL THEN 'missing_tweet_id' END, CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 'empty_text' END, CASE WHEN {canon('author_id')} IS NULL THEN 'missing_author_id' END,

@@ -1,10 +1,10 @@
-"""SQL twins (DuckDB) of the general problems' queries. p2 has none: it needs time zone rules and format mixtures, and is
-tested against a plain Python version instead."""
+"""SQL twins (DuckDB) of the general problems' queries. That of p2 takes a source's declared order and zone as they are, as
+the mixture must find them on these tables."""
 
 from __future__ import annotations
 
 from plover.operators.csvload import REJECTION_CODES
-from plover.queries.sqlparts import canon
+from plover.queries.sqlparts import canon, instants
 
 _FILES = """src AS (SELECT 'loose_posts' AS record_table, stream_id, file_no, source_file, raw_line AS line FROM loose_posts UNION ALL SELECT 'capture_events', stream_id, file_no, source_file, properties FROM capture_events),
 j AS (SELECT * EXCLUDE line, CASE WHEN json_valid(line) THEN CASE WHEN json_type(line) = 'VARCHAR' THEN CASE WHEN json_valid(CAST(line AS JSON)->>'$') THEN CAST(CAST(line AS JSON)->>'$' AS JSON) END ELSE CAST(line AS JSON) END END AS o FROM src),
@@ -60,7 +60,14 @@ gone AS (SELECT entity, {canon('entity_id')} AS key, max(deleted_at) AS deleted_
 st AS (SELECT refs.*, CASE WHEN deleted_at IS NOT NULL AND (last_at IS NULL OR deleted_at >= last_at) THEN 'deleted' WHEN last_at IS NULL THEN 'missing' WHEN first_at > received_at THEN 'late' END AS ref_state
   FROM refs LEFT JOIN seen USING (entity, key) LEFT JOIN gone USING (entity, key) WHERE key IS NOT NULL)"""
 
+_P2 = f"""WITH src AS (SELECT 'ingress' AS record_table, ingress_seq AS record_seq, feed_id, created_at AS v FROM ingress UNION ALL SELECT 'capture_events', event_seq, feed_id, event_timestamp FROM capture_events
+  UNION ALL SELECT 'loose_posts', loose_seq, feed_id, coalesce(CAST(raw_line AS JSON)->>'$.created_at', CAST(raw_line AS JSON)->>'$.createdAt') FROM loose_posts WHERE json_valid(raw_line) AND json_type(raw_line) = 'OBJECT'),
+timed AS (SELECT src.*, zone_name, date_order FROM src LEFT JOIN feeds USING (feed_id) WHERE v IS NOT NULL AND NOT (regexp_matches(v, '^[0-9]{{13}}$') AND TRY_CAST(v AS BIGINT) BETWEEN 1136073600000 AND 1798761599999)),
+{instants('timed')}
+SELECT record_table, record_seq, ms AS utc_ms FROM resolved WHERE ms BETWEEN 1136073600000 AND 1798761599999"""
+
 SQL = {
+    "p2_found": _P2,
     "p3_found": _P3,
     "p3_lifespans": _P3_LIVES,
     "p4_found": _P4,

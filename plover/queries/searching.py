@@ -15,10 +15,10 @@ from plover.plans import plan
 from plover.plans.ir import query_key as key_of
 from plover.plans.parse import parse
 from plover.queries.sqlparts import ANALYSED, AUTHORS, ENGAGEMENT, POSTINGS, POSTS, RECENCY, TOKENS, bucket, q
+from plover.queries.store import NOW, analysed, latest_authors, postings, posts, term_table
 from plover.runtime import materialize
 from plover.sources.tables import table
 
-NOW = 1788782400000  # 2026-09-07T12:00:00Z, the clock of all queries
 FROM = 1767225600000  # 2026-01-01
 TERMS = ["security", "leaks", "changelog", "twice", "update", "hot"]
 MUST = ["security", "leaks"]
@@ -51,23 +51,6 @@ def inn(xs) -> str:
     return "(" + ", ".join(q(x) for x in xs) + ")"
 
 
-def posts(spark: SparkSession, d: str) -> DataFrame:
-    return P.posts_from_ingress(table(spark, d, "ingress"))
-
-
-def postings(spark: SparkSession, d: str) -> DataFrame:
-    return I.build_postings(posts(spark, d))
-
-
-def analysed(spark: SparkSession, d: str) -> DataFrame:
-    """Posts with their token streams, written once: a filter on them must not be pushed below the tokenizer."""
-    return materialize(I.analysed(posts(spark, d)), "analysed")
-
-
-def latest_authors(spark: SparkSession, d: str) -> DataFrame:
-    return A.latest_authors(table(spark, d, "authors"))
-
-
 # ---- text
 @query(f"WITH {TOKENS} SELECT post_id, unnest(tokens) AS term, CAST(unnest(range(1, len(tokens) + 1)) AS INTEGER) AS pos FROM tok")
 def tokenize_docs(spark, d):
@@ -81,14 +64,8 @@ def term_frequency(spark, d):
     return t.groupBy("post_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-@query(f"WITH {ANALYSED}, t AS (SELECT DISTINCT post_id, unnest(pairs) AS pair FROM ana) SELECT replace(pair, chr(2), ' ') AS pair, count(*) AS df FROM t GROUP BY ALL HAVING count(*) >= 2")
-def adjacent_bigrams(spark, d):
-    """The pairs of ``adjacent_pairs`` that stand in two posts or more."""
-    return adjacent_pairs(spark, d).filter("df >= 2")
-
-
 @query(f"WITH {ANALYSED}, t AS (SELECT DISTINCT post_id, unnest(pairs) AS pair FROM ana) SELECT replace(pair, chr(2), ' ') AS pair, count(*) AS df FROM t GROUP BY ALL")
-def adjacent_pairs(spark, d):
+def adjacent_bigrams(spark, d):
     t = X.exploded(X.tokenized(posts(spark, d)), F.array_distinct(X.adjacent_bigrams(F.col("tokens"))), name="pair")
     return t.groupBy(F.regexp_replace("pair", X.BIGRAM, " ").alias("pair")).agg(F.count(F.lit(1)).alias("df"))
 
@@ -126,7 +103,7 @@ def query_plans(spark, d):
     """The first plan of each query: level, read order, gates and unions, from the data's document frequencies."""
     parsed = {raw: parse(raw, NOW) for raw in QUERIES_RAW}
     words = sorted({t for x in parsed.values() for t in [*x.must, *x.should, *x.aspects, *plan.phrase_terms(x)]})
-    df = {r["term"]: r["df"] for r in I.document_frequencies(postings(spark, d)).filter(F.col("term").isin(words)).collect()}
+    df = {r["term"]: r["df"] for r in term_table(spark, d).filter(F.col("term").isin(words)).collect()}
     rows = [(raw, p.level, p.read, " ".join(p.gates), " ".join(p.unions)) for raw, x in parsed.items() for p in [plan.first_plan(x, df)]]
     return spark.createDataFrame(rows, "raw string, level string, read string, gates string, unions string")
 
@@ -136,12 +113,12 @@ NEAR = plan.repair_neighbours(TYPO)
 
 @query(f"WITH {POSTINGS} SELECT term AS neighbor, df FROM dfs WHERE term IN {inn(NEAR)}")
 def repair_neighbors(spark, d):
-    return I.document_frequencies(postings(spark, d)).filter(F.col("term").isin(NEAR)).select(F.col("term").alias("neighbor"), "df")
+    return term_table(spark, d).filter(F.col("term").isin(NEAR)).select(F.col("term").alias("neighbor"), "df")
 
 
 @query(f"WITH {POSTINGS} SELECT {q(TYPO)} AS typed, arg_max(term, df * 1000000000 - (SELECT count(*) FROM dfs x WHERE x.term < dfs.term)) AS suggestion FROM dfs WHERE term IN {inn(NEAR)} HAVING count(*) > 0")
 def did_you_mean(spark, d):
-    known = I.document_frequencies(postings(spark, d)).filter(F.col("term").isin(NEAR))
+    known = term_table(spark, d).filter(F.col("term").isin(NEAR))
     return known.orderBy(F.desc("df"), "term").limit(1).select(F.lit(TYPO).alias("typed"), F.col("term").alias("suggestion"))
 
 
@@ -224,7 +201,7 @@ def df_fold(spark, d):
 @query(f"WITH {POSTINGS}, qt AS (SELECT unnest({lst([*TERMS, 'zzz'])}) AS term) SELECT term, coalesce(df, 0) AS df, CAST(row_number() OVER (ORDER BY coalesce(df, 0), term) AS INTEGER) AS rnk FROM qt LEFT JOIN dfs USING (term)")
 def rarest_first(spark, d):
     terms = spark.createDataFrame([(t,) for t in [*TERMS, "zzz"]], "term string")
-    return I.rarest_first(terms, I.document_frequencies(postings(spark, d)))
+    return I.rarest_first(terms, term_table(spark, d))
 
 
 def _topk(order: str, where: str = "true") -> str:
@@ -265,8 +242,8 @@ def author_timeline(spark, d):
 @query(f"WITH {POSTINGS} SELECT post_id, term, tf, posts.text, posts.likes FROM postings JOIN posts USING (post_id) WHERE term IN {inn(MUST)}")
 def hydrate_posts(spark, d):
     p = posts(spark, d)
-    hits = I.terms_of_posts(I.analysed(p)).filter(F.col("term").isin(MUST))
-    return hits.join(p.select("post_id", "text", "likes"), "post_id").select("post_id", "term", "tf", "text", "likes")
+    hits = postings(spark, d).filter(F.col("term").isin(MUST))
+    return hits.select("post_id", "term", "tf").join(p.select("post_id", "text", "likes"), "post_id").select("post_id", "term", "tf", "text", "likes")
 
 
 @query(f"WITH {POSTS}, {AUTHORS} SELECT post_id, author_id, display_name, verified FROM posts LEFT JOIN latest_authors USING (author_id)")
@@ -298,9 +275,9 @@ REL = f"rel AS (SELECT post_id, sum({IDF} * tf * 1.3 / (tf + 0.3)) AS rel FROM p
 @query(f"WITH {POSTINGS}, {N_}, {REL} SELECT post_id, round(rel, 6) AS rel FROM rel")
 def bm25_rank(spark, d):
     p = analysed(spark, d)
-    terms = I.terms_of_posts(p)
+    terms = postings(spark, d).select("post_id", "term", "tf")
     wanted = [*MUST, *SOFT]
-    return R.relevance(terms.filter(F.col("term").isin(wanted)), I.document_frequencies(terms), p.count()).withColumn("rel", F.round("rel", 6))
+    return R.relevance(terms.filter(F.col("term").isin(wanted)), term_table(spark, d), p.count()).withColumn("rel", F.round("rel", 6))
 
 
 @query(f"WITH {POSTINGS}, lists AS (SELECT post_id, row_number() OVER (PARTITION BY term ORDER BY bucket DESC, post_id) AS rnk FROM postings WHERE term IN {inn(TERMS)} QUALIFY rnk <= 500) SELECT post_id, round(sum(1.0 / (60 + rnk)), 6) AS rrf FROM lists GROUP BY post_id")
@@ -364,8 +341,8 @@ SELECT CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rnk, post_id, 'L
 def _search(spark, d, sort: str) -> DataFrame:
     """L0 of ``MUST`` with a soft term, ranked: one batch plan, no driver loop."""
     p = analysed(spark, d)
-    rows = materialize(I.postings_of(p), "postings")
-    dfs = I.document_frequencies(rows)
+    rows = postings(spark, d)
+    dfs = term_table(spark, d)
     pair = f"{X.BIGRAM}{MUST[0]}{X.BIGRAM}{MUST[1]}"
     known = {r["term"]: r["df"] for r in dfs.filter(F.col("term").isin([*MUST, pair])).collect()}
     first = plan.Plan("L0", plan.rarest_first(MUST, known), (pair,) if known.get(pair) else (), "impact" if sort == "top" else "time")
@@ -404,8 +381,8 @@ hit AS (SELECT post_id, count(*) AS n, count(*) FILTER (g = 1) AS g1, count(*) F
 SELECT post_id, CASE WHEN n = 3 THEN 'L0' WHEN g2 = 2 OR g1 = 1 THEN 'L1' ELSE 'L2' END AS level FROM hit""")
 def ladder_search(spark, d):
     """Each level as a relation, uncapped: all gates; then without the commonest gate, twice; then any term."""
-    terms = I.terms_of_posts(I.analysed(posts(spark, d)))
-    gates = I.rarest_first(spark.createDataFrame([(t,) for t in LADDER], "term string"), I.document_frequencies(terms))
+    terms = postings(spark, d)
+    gates = I.rarest_first(spark.createDataFrame([(t,) for t in LADDER], "term string"), term_table(spark, d))
     hits = terms.join(F.broadcast(gates.select("term", "rnk")), "term")  # one row per query term
     n = hits.groupBy("post_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rnk") == 1).alias("g1"), F.count_if(F.col("rnk") <= 2).alias("g2"))
     level = F.when(F.col("n") == len(LADDER), "L0").when((F.col("g2") == 2) | (F.col("g1") == 1), "L1").otherwise("L2")
@@ -417,30 +394,16 @@ w AS (SELECT DISTINCT post_id, unnest(tokens) AS term FROM tok JOIN top USING (p
 SELECT term, count(*) AS n FROM w WHERE term <> 'security' AND length(term) >= 3 AND NOT starts_with(term, '~') GROUP BY term HAVING count(*) >= 2 ORDER BY n DESC, term LIMIT 5""")
 def prf_terms(spark, d):
     p = analysed(spark, d)
-    top = I.postings_of(p).filter("term = 'security'").orderBy(*I.impact_order()).limit(20).select("post_id")
+    top = postings(spark, d).filter("term = 'security'").orderBy(*I.impact_order()).limit(20).select("post_id")
     return S.feedback_terms(p.join(top, "post_id", "left_semi"), ["security"])
 
 
-@query(f"""WITH {CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY {CAND_ORDER}) AS rnk FROM scored), k AS (SELECT min(query_key) AS query_key FROM candidates),
-one AS (SELECT * FROM r JOIN k USING (query_key)), pin AS (SELECT candidate_id AS post_id, chain, row_number() OVER (ORDER BY rnk DESC) AS pos FROM one WHERE rnk IN (3, 7, 11)),
-tail AS (SELECT candidate_id AS post_id, rnk FROM one WHERE candidate_id NOT IN (SELECT post_id FROM pin) AND chain NOT IN (SELECT chain FROM pin))
-SELECT post_id, 'pinned' AS section, CAST(pos AS INTEGER) AS pos FROM pin UNION ALL SELECT post_id, 'tail', CAST(row_number() OVER (ORDER BY rnk) + (SELECT count(*) FROM pin) AS INTEGER) FROM tail""")
-def pinned_paging(spark, d):
-    """Three rows of one query's page stay where they were shown (in another order than the ranking's)."""
-    scored = _scored_candidates(spark, d)
-    first = scored.agg(F.min("query_key")).first()[0]
-    r = scored.filter(F.col("query_key") == first).withColumn("rnk", F.row_number().over(_window(R.final_order("candidate_id"))))
-    r = r.select(F.col("candidate_id").alias("post_id"), "chain", "rnk")
-    pinned = r.filter(F.col("rnk").isin(3, 7, 11)).select("post_id", "chain", (-F.col("rnk")).alias("shown"))
-    return R.merge_pinned(pinned, r)
-
-
 @query(f"""WITH {CAND}, r AS (SELECT query_key, candidate_id AS post_id, chain, row_number() OVER (PARTITION BY query_key ORDER BY {CAND_ORDER}) AS rnk FROM scored), pin AS (SELECT * FROM r WHERE rnk IN (3, 7, 11)),
 tail AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM pin WHERE pin.query_key = r.query_key AND (pin.post_id = r.post_id OR pin.chain = r.chain)))
 SELECT query_key, post_id, 'pinned' AS section, CAST(row_number() OVER (PARTITION BY query_key ORDER BY rnk DESC) AS INTEGER) AS pos FROM pin UNION ALL
 SELECT query_key, post_id, 'tail', CAST(row_number() OVER (PARTITION BY query_key ORDER BY rnk) + (SELECT count(*) FROM pin WHERE pin.query_key = tail.query_key) AS INTEGER) FROM tail""")
-def pinned_pages(spark, d):
-    """The page of every query, each with three rows that stay where they were shown; ``pinned_paging`` is the first query's."""
+def pinned_paging(spark, d):
+    """The page of every query, each with three rows that stay where they were shown."""
     ranked = Window.partitionBy("query_key").orderBy(*R.final_order("candidate_id"))
     r = _scored_candidates(spark, d).select("query_key", F.col("candidate_id").alias("post_id"), "chain", F.row_number().over(ranked).alias("rnk"))
     pinned = r.filter(F.col("rnk").isin(3, 7, 11)).select("query_key", "post_id", "chain", (-F.col("rnk")).alias("shown"))
@@ -449,7 +412,7 @@ def pinned_pages(spark, d):
 
 @query(f"WITH {POSTINGS}, f AS (SELECT term, df FROM dfs WHERE starts_with(term, 'se') ORDER BY term LIMIT 50) SELECT term, df, 'term' AS kind FROM f ORDER BY df DESC, term LIMIT 10")
 def suggest_terms(spark, d):
-    return S.suggest_terms(I.document_frequencies(postings(spark, d)), "se").withColumn("kind", F.lit("term"))
+    return S.suggest_terms(term_table(spark, d), "se").withColumn("kind", F.lit("term"))
 
 
 @query(f"WITH {AUTHORS}, f AS (SELECT author_id, handle, ln(1 + coalesce(follower_count, 0)) AS authority FROM latest_authors WHERE starts_with(handle, 's') ORDER BY handle, author_id LIMIT 20) SELECT handle, author_id, 'author' AS kind FROM f ORDER BY authority DESC, handle, author_id LIMIT 10")

@@ -166,16 +166,16 @@ def test_pinned_rows_of_several_pages(spark):
 
 def test_every_query_has_its_page(spark):
     queries = spark.read.parquet(f"{SMALL}/candidates.parquet").select("query_key").distinct().count()
-    assert entry.queries()["pinned_pages"](spark, SMALL).select("query_key").distinct().count() == queries > 1
+    assert entry.queries()["pinned_paging"](spark, SMALL).select("query_key").distinct().count() == queries > 1
 
 
 def test_pairs_of_one_post_stay(spark):
-    n = {r.one: r.n for r in entry.queries()["adjacent_pairs"](spark, SMALL).groupBy((F.col("df") == 1).alias("one")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = {r.one: r.n for r in entry.queries()["adjacent_bigrams"](spark, SMALL).groupBy((F.col("df") == 1).alias("one")).agg(F.count(F.lit(1)).alias("n")).collect()}
     assert n[True] > 0 and n[False] == entry.queries()["adjacent_bigrams"](spark, SMALL).count()
 
 
 def test_whole_and_cut_ingress_lines(spark):
-    rows = entry.queries()["ingress_decoded"](spark, SMALL)
+    rows = entry.queries()["ingress_parse"](spark, SMALL)
     assert rows.filter("ingress_seq % 17 = 0 AND id IS NOT NULL").count() > 0 and rows.filter("reason = 'broken'").count() == 0
     line = '{"kind": "tweet", "id": "7", "metrics": {"likes": 3}}'
     cut = spark.createDataFrame([(1, line), (2, line[:20])], "seq int, line string")
