@@ -69,10 +69,11 @@ def fold_deltas(terms: DataFrame, deltas: DataFrame) -> DataFrame:
     return terms.select("term", F.col("df").alias("delta")).unionByName(each).groupBy("term").agg(F.greatest(F.sum("delta"), F.lit(0)).alias("df"))
 
 
-def check_posting_cap(terms: DataFrame, cap: int = MAX_POSTINGS_PER_POST) -> DataFrame:
-    """Fails the job if a post has more postings than the cap: a batch is taken whole or not at all."""
-    sizes = terms.groupBy("post_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.filter(F.assert_true(F.col("n") <= cap, F.concat(F.lit("too many postings: "), F.col("post_id"))).isNull())
+def check_posting_cap(analysed: DataFrame, cap: int = MAX_POSTINGS_PER_POST) -> None:
+    """Raises if a post has more index terms than the cap: a batch is taken whole or not at all."""
+    over = analysed.filter(F.size("present") > cap).select("post_id").first()
+    if over is not None:
+        raise ValueError(f"post {over[0]} has more than {cap} postings")
 
 
 def ranked_reads(postings: DataFrame, order: list[Column], cap: int = PER_TERM_CAP, by: str = "term") -> DataFrame:

@@ -19,6 +19,7 @@ BUCKETS = 255
 #: Weights of likes, replies, reposts and quotes.
 W_LIKE, W_REPLY, W_REPOST, W_QUOTE = 1, 2, 3, 4
 BOOST = 0.5
+COUNTS = ("likes", "replies", "retweets", "quotes")
 DAY_MS = 86400000
 
 

@@ -36,7 +36,7 @@ def rrf(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
     return ranked.groupBy("post_id").agg(F.sum(1.0 / (F.lit(k) + F.col("rnk"))).alias("rrf"))
 
 
-def six_signals(candidates: DataFrame, now_ms: int, sort: str = "top", by: list[str] | None = None) -> DataFrame:
+def six_signals(candidates: DataFrame, now_ms: int | Column, sort: str = "top", by: list[str] | None = None, tau: Column | None = None) -> DataFrame:
     """The parts and the score of each candidate, normalised by the maximum within its query (``by``).
 
     candidates: rel, like_count, reply_count, retweet_count, quote_count, propagated_boost, author_authority,
@@ -47,8 +47,9 @@ def six_signals(candidates: DataFrame, now_ms: int, sort: str = "top", by: list[
     raw = candidates.withColumn("_eng", F.log1p(weighted + F.greatest(F.lit(0.0), zero("propagated_boost")))).withColumn("_auth", F.greatest(F.lit(0.0), zero("author_authority")))
     whole = Window.partitionBy(*(by or [F.lit(1)]))
     top = lambda c: F.greatest(F.max(c).over(whole), F.lit(1e-9))
-    tau = TAU_LATEST_MS if sort == "latest" else TAU_TOP_MS
-    age = F.greatest(F.lit(0), F.lit(now_ms) - F.coalesce("created_at", F.lit(now_ms))).cast("double")
+    tau = tau if tau is not None else F.lit(TAU_LATEST_MS if sort == "latest" else TAU_TOP_MS)
+    now = now_ms if isinstance(now_ms, Column) else F.lit(now_ms)
+    age = F.greatest(F.lit(0), now - F.coalesce("created_at", now)).cast("double")
     votes = F.least(F.greatest(zero("feedback_votes"), F.lit(-float(VOTE_CLAMP))), F.lit(float(VOTE_CLAMP))) / VOTE_CLAMP
     parts = {
         "p_rel": W_REL * F.col("rel") / top("rel"),

@@ -45,61 +45,6 @@ def text_predicate(*, gates=(), exclude=(), phrases=(), any_terms=(), any_phrase
     return F.coalesce(keep, F.lit(False))
 
 
-def capped_reads(postings: DataFrame, terms, read: str, filters: dict, cap: int) -> DataFrame:
-    """The postings a plan may look at: the order and the pushed-down range depend on the read's shape; what that shape
-    can't push is filtered after the cap, on purpose: a capped index read would do the same."""
-    rows = postings.filter(F.col("term").isin(list(terms)))
-    f = {k: filters.get(k) for k in ("authorId", "since", "until", "media")}
-    if read in ("author", "time"):
-        rows = rows.filter(hard_filters({k: f[k] for k in ("since", "until")} | ({"authorId": f["authorId"]} if read == "author" else {})))
-        order = I.time_order()
-    else:
-        if read == "media":
-            rows = rows.filter(F.col("media_type") == f["media"])
-        order = I.impact_order()
-    return I.ranked_reads(rows, order, cap).filter(hard_filters({k: f[k] for k in ("since", "until", "media")}))
-
-
-def plan_candidates(postings: DataFrame, plan) -> DataFrame:
-    """post_id, rrf of a plan: seed of the rarest gate, union lists fused by reciprocal rank."""
-    parts = []
-    if plan.gates:
-        cap = I.SEED_CAP if len(plan.gates) > 1 else I.PER_TERM_CAP
-        parts.append(capped_reads(postings, plan.gates[:1], plan.read, plan.filters, cap).select("post_id", F.lit(0.0).alias("w")))
-    if plan.unions:
-        lists = capped_reads(postings, plan.unions, plan.read, plan.filters, I.PER_TERM_CAP)
-        renumbered = lists.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy("rnk")))
-        parts.append(renumbered.select("post_id", (1.0 / (R.RRF_K + F.col("r"))).alias("w")))
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return both.groupBy("post_id").agg(F.sum("w").alias("rrf"))
-
-
-def scored(candidates: DataFrame, query_terms: list[str], dfs: DataFrame, total: int, *, now_ms: int, sort: str, must: list[str], should: list[str], phrases: list[list[str]], media: str | None, intent: str) -> DataFrame:
-    """Signals, coverage and chain of candidates (posts with ``present``, ``tokens``, follower_count, votes, boost, matched_via)."""
-    matched = [t for t in query_terms if not t.startswith(X.BIGRAM)]
-    hits = X.exploded(candidates, F.filter("tokens", lambda t: t.isin(matched)), "post_id").groupBy("post_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    aspects = candidates.select("post_id", F.explode(F.filter("present", lambda t: t.isin([m for m in matched if m.startswith("~")]))).alias("term"), F.lit(1).cast("long").alias("tf"))
-    rel = R.relevance(hits.unionByName(aspects), dfs.filter(F.col("term").isin(matched)), total)
-    has = lambda t: F.array_contains("present", t)
-    every = lambda ts: F.lit(bool(ts)) & F.array_size(F.array_intersect("present", F.array(*[F.lit(t) for t in ts] or [F.lit("")]))).eqNullSafe(len(set(ts)))
-    pairs = [t for t in query_terms if t.startswith(X.BIGRAM)]
-    pair_hit = F.arrays_overlap("present", F.array(*[F.lit(p) for p in pairs])) if pairs else F.lit(False)
-    near = pair_hit | (every(must) if len(must) >= 2 else F.lit(False))
-    if phrases:
-        near = near | every([w for p in phrases for w in p])
-    fits_media = (F.col("media_type") == media) if media else (F.col("media_type") != "none") if intent == "media" else F.lit(False)
-    soft = F.arrays_overlap("present", F.array(*[F.lit(s) for s in should])) if should else F.lit(False)
-    fit = F.when(fits_media, R.FIT_MEDIA).otherwise(0.0) + F.when(near, R.FIT_PHRASE).otherwise(0.0) + F.when(soft, R.FIT_SHOULD).otherwise(0.0)
-    cover = sum((F.when(has(t), 1).otherwise(0) for t in must), F.lit(0)) / len(must) if must else F.lit(1.0)
-    ready = (
-        candidates.join(rel, "post_id", "left")
-        .withColumns({"rel": F.coalesce("rel", F.lit(0.0)), "fit": fit, "cover": cover})
-        .withColumnsRenamed({"likes": "like_count", "replies": "reply_count", "retweets": "retweet_count", "quotes": "quote_count", "created_ms": "created_at"})
-        .withColumn("chain", R.chain_key("post_id", "retweet_of_id", "quoted_id"))
-    )
-    return R.six_signals(ready, now_ms, sort)
-
-
 def feedback_terms(tokenized_top: DataFrame, query_terms: list[str], most: int = 5) -> DataFrame:
     """term, n: the words that most of the top posts share, beyond the query's own."""
     words = X.exploded(tokenized_top, F.array_distinct("tokens"), "post_id")
@@ -118,17 +63,21 @@ def suggest_authors(authors: DataFrame, prefix: str, shown: int = 10, probed: in
     return first.orderBy(F.desc("authority"), "handle", "author_id").limit(shown)
 
 
-def second_lane(posts_tokens: DataFrame, must: list[str], limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """post_id, score, total: plain BM25 over posts that hold every word; the number of all hits beside the first ``limit``.
+def second_lane(posts: DataFrame, words: list[str], limit: int, k1: float = 1.2, b: float = 0.75, keep: Column | None = None) -> DataFrame:
+    """post_id, score, total: plain BM25 over posts that hold every word and fit ``keep``; the number of all hits beside the
+    first ``limit``. Without words all fitting posts score alike.
 
-    posts_tokens: post_id, tokens.
+    posts: post_id, tokens and what ``keep`` reads. One pass counts the corpus, the words' frequencies and the hits (numbers
+    only), one scores; nothing is exploded or shuffled but the first rows.
     """
-    n, mean = posts_tokens.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
-    wanted = F.array(*[F.lit(m) for m in must])
-    hold = posts_tokens.filter(F.arrays_overlap("tokens", wanted)).select("post_id", F.size("tokens").alias("length"), F.explode(F.filter("tokens", lambda t: t.isin(must))).alias("term"))
-    tf = hold.groupBy("post_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    per = tf.join(F.broadcast(df), "term")  # a row per query word
-    score = R.bm25(F.col("tf"), F.col("df"), n, k1, b, F.col("length"), mean or 1.0)
-    hits = per.groupBy("post_id").agg(F.sum(score).alias("score"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(set(must)))
-    return hits.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy())).orderBy(F.desc("score"), "post_id").limit(limit).select("post_id", "score", "total")
+    words, keep = list(dict.fromkeys(words)), F.lit(True) if keep is None else keep
+    holds = lambda w: F.array_contains("tokens", w)
+    hit = F.coalesce(keep, F.lit(False))
+    for w in words:
+        hit &= holds(w)
+    n, mean, total, *dfs = posts.agg(F.count(F.lit(1)), F.avg(F.size("tokens")), F.count_if(hit), *[F.count_if(holds(w)) for w in words]).first()
+    score = F.lit(0.0)
+    for w, df in zip(words, dfs, strict=True):
+        tf = F.size("tokens") - F.size(F.array_remove("tokens", w))
+        score = score + R.bm25(tf, F.lit(df), n, k1, b, F.size("tokens"), mean or 1.0)
+    return posts.filter(hit).select("post_id", score.alias("score"), F.lit(total).cast("long").alias("total")).orderBy(F.desc("score"), "post_id").limit(limit)

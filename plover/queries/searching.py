@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from plover.functions import text as X
 from plover.operators import authors as A
+from plover.operators import batch as B
 from plover.operators import index as I
 from plover.operators import posts as P
 from plover.operators import rank as R
 from plover.operators import search as S
 from plover.plans import plan
+from plover.plans.engine import Search, SearchEngine
+from plover.plans.ir import Query
 from plover.plans.ir import query_key as key_of
 from plover.plans.parse import parse
 from plover.queries.sqlparts import ANALYSED, AUTHORS, ENGAGEMENT, POSTINGS, POSTS, RECENCY, TOKENS, bucket, q
-from plover.queries.store import NOW, analysed, latest_authors, postings, posts, term_table
-from plover.runtime import materialize
+from plover.queries.store import NOW, analysed, kept, latest_authors, postings, posts, term_table
 from plover.sources.tables import table
 
 FROM = 1767225600000  # 2026-01-01
@@ -338,23 +340,31 @@ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY chain ORDE
 SELECT CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS rnk, post_id, 'L0' AS level, round(score, 6) AS score FROM best"""
 
 
+def engine(spark, d) -> SearchEngine:
+    """The engine over the kept tables, with authors' authority and boosts."""
+    known = latest_authors(spark, d).withColumn("authority", F.log1p(F.coalesce("follower_count", F.lit(0)).cast("double")))
+    built = lambda name, table: kept(spark, d, name, lambda: table)
+    authors = built("authority", known.select("author_id", "handle", "authority"))
+    return SearchEngine(analysed(spark, d), postings(spark, d), term_table(spark, d), authors, boosts=built("boosts", P.propagated_boosts(posts(spark, d))))
+
+
 def _search(spark, d, sort: str) -> DataFrame:
-    """L0 of ``MUST`` with a soft term, ranked: one batch plan, no driver loop."""
-    p = analysed(spark, d)
-    rows = postings(spark, d)
-    dfs = term_table(spark, d)
-    pair = f"{X.BIGRAM}{MUST[0]}{X.BIGRAM}{MUST[1]}"
-    known = {r["term"]: r["df"] for r in dfs.filter(F.col("term").isin([*MUST, pair])).collect()}
-    first = plan.Plan("L0", plan.rarest_first(MUST, known), (pair,) if known.get(pair) else (), "impact" if sort == "top" else "time")
-    kept = p.join(S.plan_candidates(rows, first), "post_id").filter(S.text_predicate(gates=MUST)).orderBy(F.desc("rrf"), "post_id").limit(I.RERANK_CAP)
-    kept = materialize(kept, "candidates")  # at most 200 rows
-    authority = latest_authors(spark, d).select("author_id", F.log1p(F.coalesce("follower_count", F.lit(0)).cast("double")).alias("author_authority"))
-    boosts = P.propagated_boosts(p).withColumnRenamed("boost", "propagated_boost")
-    ready = kept.join(authority, "author_id", "left").join(boosts, "post_id", "left").withColumns({"matched_via": F.lit("L0"), "feedback_votes": F.lit(0)})
-    scored = S.scored(ready, [*MUST, *SOFT, pair], dfs, p.count(), now_ms=NOW, sort=sort, must=MUST, should=SOFT, phrases=[], media=None, intent="topic")
-    best = R.best_of_chains(scored, "post_id", [], sort)
-    w = F.row_number().over(_window(R.final_order("post_id", sort)))
-    return best.select(w.alias("rnk"), "post_id", F.col("matched_via").alias("level"), F.round("score", 6).alias("score"))
+    """L0 of ``MUST`` with a soft term, ranked."""
+    e = engine(spark, d)
+    df, floors = e._frequencies({*MUST, *SOFT, f"{X.BIGRAM}{MUST[0]}{X.BIGRAM}{MUST[1]}"})
+    q = Query(must=MUST, should=SOFT, sort=sort)
+    one = Search(0, q, plan.first_plan(q, df), df)
+    e.climb([one], floors, steps=1)
+    best = B.ranked(e._ranked([one], NOW, {}).drop("rnk"))
+    return best.select("rnk", "post_id", F.col("matched_via").alias("level"), F.round("score", 6).alias("score"))
+
+
+@query()
+def engine_search(spark, d):
+    """A batch of typed queries through the whole engine: parsed, planned, widened level by level, ranked."""
+    results, pages = engine(spark, d).search_many(QUERIES_RAW, NOW)
+    raws = B.local_rows(spark, [{"qid": i, "raw": raw, "ladder": " ".join(r.ladder)} for i, (raw, r) in enumerate(zip(QUERIES_RAW, results, strict=True))], "qid int, raw string, ladder string")
+    return pages.join(F.broadcast(raws), "qid").select("raw", "ladder", "rnk", "post_id", F.col("matched_via").alias("level"), F.round("score", 6).alias("score"))
 
 
 def _window(order):
@@ -431,9 +441,9 @@ SELECT post_id, round(score, 6) AS score, count(*) OVER () AS total FROM h WHERE
 
 @query(_lane_sql(["changelog"], 20))
 def baseline_search(spark, d):
-    return S.second_lane(X.tokenized(posts(spark, d)).select("post_id", "tokens"), ["changelog"], 20).withColumn("score", F.round("score", 6))
+    return S.second_lane(analysed(spark, d), ["changelog"], 20).withColumn("score", F.round("score", 6))
 
 
 @query(_lane_sql(["security", "leaks"], 50))
 def bm25_second_lane(spark, d):
-    return S.second_lane(X.tokenized(posts(spark, d)).select("post_id", "tokens"), MUST, 50).withColumn("score", F.round("score", 6))
+    return S.second_lane(analysed(spark, d), MUST, 50).withColumn("score", F.round("score", 6))
