@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plover.functions import text as X
 from plover.operators import index as I
 from plover.operators import rank as R
 
@@ -43,12 +42,9 @@ def _columns(schema: str) -> list[str]:
     return [*parts, schema[start:].strip()]
 
 
-def _in_time() -> Column:
-    return (F.col("since").isNull() | (F.col("created_ms") >= F.col("since"))) & (F.col("until").isNull() | (F.col("created_ms") < F.col("until")))
-
-
-def _in_media() -> Column:
-    return F.col("media").isNull() | (F.col("media_type") == F.col("media"))
+# Expressions are SQL text here: building them call by call would take longer than running them.
+_IN_TIME = "(since IS NULL OR created_ms >= since) AND (until IS NULL OR created_ms < until)"
+_IN_MEDIA = "(media IS NULL OR media_type = media)"
 
 
 def index_slice(postings: DataFrame, floors: dict[str, int | None]) -> DataFrame:
@@ -67,59 +63,41 @@ def candidates(postings: DataFrame, specs: DataFrame) -> DataFrame:
     What a read's order can push (author, time range, media) is filtered before the cap, the rest after it, on purpose: a
     capped index read would do the same.
     """
-    reads = specs.select("qid", "authorId", "since", "until", "media", F.inline("reads")).withColumnRenamed("term", "read_term")
-    rows = postings.join(F.broadcast(reads), F.col("term") == F.col("read_term"))
-    timed = F.col("read").isin("author", "time")
-    before = (
-        F.when(F.col("read") == "author", (F.col("author_id") == F.col("authorId")) & _in_time())
-        .when(F.col("read") == "time", _in_time())
-        .when(F.col("read") == "media", F.col("media_type") == F.col("media"))
-        .otherwise(F.col("bucket") >= F.coalesce("floor", F.lit(0)))
+    reads = specs.selectExpr("qid", "authorId", "since", "until", "media", "inline(reads)").withColumnRenamed("term", "read_term")
+    kept = (
+        postings.join(F.broadcast(reads), F.expr("term = read_term"))
+        .filter(
+            f"CASE read WHEN 'author' THEN author_id = authorId AND {_IN_TIME} WHEN 'time' THEN {_IN_TIME} WHEN 'media' THEN media_type = media ELSE bucket >= coalesce(floor, 0) END"
+        )
+        .selectExpr("*", "row_number() OVER (PARTITION BY qid, role, term ORDER BY CASE WHEN read IN ('author', 'time') THEN created_ms ELSE CAST(bucket AS BIGINT) END DESC, post_id) AS rnk")
+        .filter(f"rnk <= {I.SEED_CAP}")
+        .filter(f"rnk <= cap AND {_IN_TIME} AND {_IN_MEDIA}")
+        .selectExpr("qid", "post_id", "role", "row_number() OVER (PARTITION BY qid, role, term ORDER BY rnk) AS r")
     )
-    order = F.when(timed, F.col("created_ms")).otherwise(F.col("bucket").cast("long"))
-    by = Window.partitionBy("qid", "role", "term")
-    capped = rows.filter(before).withColumn("rnk", F.row_number().over(by.orderBy(F.desc(order), "post_id"))).filter(F.col("rnk") <= I.SEED_CAP).filter(F.col("rnk") <= F.col("cap"))
-    kept = capped.filter(_in_time() & _in_media()).withColumn("r", F.row_number().over(by.orderBy("rnk")))
-    weight = F.when(F.col("role") == "gate", F.lit(0.0)).otherwise(1.0 / (R.RRF_K + F.col("r")))
-    return kept.groupBy("qid", "post_id").agg(F.sum(weight).alias("rrf"))
+    return kept.groupBy("qid", "post_id").agg(F.expr(f"sum(CASE role WHEN 'gate' THEN 0D ELSE 1D / ({R.RRF_K} + r) END) AS rrf"))
 
 
 def timelines(posts: DataFrame, specs: DataFrame) -> DataFrame:
     """qid, post_id, rrf of queries that name an author and no term: the newest posts, newest first."""
     wanted = specs.filter("size(reads) = 0 AND authorId IS NOT NULL").select("qid", "authorId", "since", "until")
-    rows = posts.select("post_id", "author_id", "created_ms").join(F.broadcast(wanted), F.col("author_id") == F.col("authorId")).filter(_in_time())
+    rows = posts.select("post_id", "author_id", "created_ms").join(F.broadcast(wanted), F.col("author_id") == F.col("authorId")).filter(_IN_TIME)
     newest = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("created_ms"), "post_id"))
     return rows.withColumn("n", newest).filter(F.col("n") <= I.PER_TERM_CAP).select("qid", "post_id", (-F.col("n")).cast("double").alias("rrf"))
 
 
-def _has_phrase(phrase: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.size("tokens_all") - F.size(phrase) + 1, F.lit(1)))
-    return F.exists(starts, lambda i: F.slice("tokens_all", i, F.size(phrase)) == phrase)
-
-
-def predicate() -> Column:
-    """The one predicate that verifies a post (tokens_all, present) against its query's filters, gates, words and phrases."""
-    f = lambda name, test: F.col(name).isNull() | test
-    filters = (
-        f("authorId", F.col("author_id") == F.col("authorId"))
-        & _in_time()
-        & _in_media()
-        & f("minLikes", F.col("likes") >= F.col("minLikes"))
-        & f("lang", F.col("posts_lang") == F.col("lang"))
-    )
-    gated = F.size(F.array_except("gates", "present")) == 0
-    excluded = F.arrays_overlap("tokens_all", "exclude")
-    any_of = F.arrays_overlap("tokens_all", "should") | F.exists("phrases", _has_phrase)
-    said = F.when(F.col("union"), (F.size("should") + F.size("phrases") == 0) | any_of).otherwise(F.forall("phrases", _has_phrase))
-    return F.coalesce(filters & gated & ~excluded & said, F.lit(False))
+_HAS_PHRASE = "p -> exists(sequence(1, greatest(size(tokens_all) - size(p) + 1, 1)), i -> slice(tokens_all, i, size(p)) = p)"
+#: The one predicate that verifies a post (tokens_all, present, its language as posts_lang) against its query's filters, gates, words and phrases.
+PREDICATE = f"""coalesce((authorId IS NULL OR author_id = authorId) AND {_IN_TIME} AND {_IN_MEDIA} AND (minLikes IS NULL OR likes >= minLikes) AND (lang IS NULL OR posts_lang = lang)
+ AND size(array_except(gates, present)) = 0 AND NOT arrays_overlap(tokens_all, exclude)
+ AND CASE WHEN union THEN size(should) + size(phrases) = 0 OR arrays_overlap(tokens_all, should) OR exists(phrases, {_HAS_PHRASE}) ELSE forall(phrases, {_HAS_PHRASE}) END, false)"""
 
 
 def verified(posts: DataFrame, found: DataFrame, specs: DataFrame) -> DataFrame:
     """qid, post_id, place of the found posts that pass, in reading order, as many as there is ``room`` for."""
     rows = posts.withColumnRenamed("lang", "posts_lang").join(found, "post_id").join(F.broadcast(specs.drop("reads", "terms")), "qid")
-    passed = rows.filter(predicate() & ~F.array_contains("have", F.col("post_id"))).select("qid", "post_id", "rrf", "room")
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rrf"), "post_id"))
-    return passed.withColumn("place", place).filter(F.col("place") <= I.RERANK_CAP).filter(F.col("place") <= F.col("room")).select("qid", "post_id", "place")
+    passed = rows.filter(PREDICATE).filter("NOT array_contains(have, post_id)")
+    placed = passed.selectExpr("qid", "post_id", "room", "row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, post_id) AS place")
+    return placed.filter(f"place <= {I.RERANK_CAP}").filter("place <= room").select("qid", "post_id", "place")
 
 
 def feedback(posts: DataFrame, top: DataFrame, specs: DataFrame, most: int = 5) -> DataFrame:
@@ -134,31 +112,28 @@ def feedback(posts: DataFrame, top: DataFrame, specs: DataFrame, most: int = 5)
 def scored(candidates: DataFrame) -> DataFrame:
     """Candidates (posts with the columns of their query's specification, author_authority, propagated_boost, feedback_votes,
     matched_via) with relevance, coverage, fit, chain, the six signals and the score."""
-    tf = lambda t: F.get("tf", F.array_position("present", t) - 1)
-    one = lambda x: F.when(F.array_contains("present", x["term"]), x["idf"] * tf(x["term"]) * (R.K1 + 1) / (tf(x["term"]) + R.K1 * (1 - R.B))).otherwise(0.0)
-    rel = F.aggregate(F.filter("terms", lambda x: ~x["term"].startswith(X.BIGRAM)), F.lit(0.0), lambda acc, x: acc + one(x))
-    every = lambda c: (F.size(c) > 0) & (F.size(F.array_except(c, "present")) == 0)
-    near = F.arrays_overlap("present", "pairs") | ((F.size("must") >= 2) & every("must")) | every("phrase_words")
-    fits_media = F.when(F.col("media").isNotNull(), F.col("media_type") == F.col("media")).otherwise((F.col("intent") == "media") & (F.col("media_type") != "none"))
-    add = lambda test, amount: F.when(F.coalesce(test, F.lit(False)), amount).otherwise(0.0)
-    fit = add(fits_media, R.FIT_MEDIA) + add(near, R.FIT_PHRASE) + add(F.arrays_overlap("present", "should"), R.FIT_SHOULD)
-    met = F.size(F.filter("must", lambda t: F.array_contains("present", t)))
-    cover = F.when(F.size("must") > 0, met / F.size("must")).otherwise(1.0)
-    ready = candidates.withColumns({"rel": rel, "fit": fit, "cover": cover, "chain": R.chain_key("post_id", "retweet_of_id", "quoted_id")}).withColumnsRenamed(
-        {"likes": "like_count", "replies": "reply_count", "retweets": "retweet_count", "quotes": "quote_count", "created_ms": "created_at"}
+    ready = candidates.selectExpr(
+        "* EXCEPT (likes, replies, retweets, quotes, created_ms)",
+        "likes AS like_count",
+        "replies AS reply_count",
+        "retweets AS retweet_count",
+        "quotes AS quote_count",
+        "created_ms AS created_at",
+        f"aggregate(filter(terms, x -> array_contains(present, x.term)), 0D, (acc, x) -> acc + x.idf * get(tf, CAST(array_position(present, x.term) AS INT) - 1) * {R.K1 + 1}D / (get(tf, CAST(array_position(present, x.term) AS INT) - 1) + {R.K1 * (1 - R.B)}D)) AS rel",
+        f"CASE WHEN CASE WHEN media IS NOT NULL THEN media_type = media ELSE intent = 'media' AND media_type <> 'none' END THEN {R.FIT_MEDIA}D ELSE 0D END"
+        f" + CASE WHEN arrays_overlap(present, pairs) OR (size(must) >= 2 AND size(array_except(must, present)) = 0) OR (size(phrase_words) > 0 AND size(array_except(phrase_words, present)) = 0) THEN {R.FIT_PHRASE}D ELSE 0D END"
+        f" + CASE WHEN arrays_overlap(present, should) THEN {R.FIT_SHOULD}D ELSE 0D END AS fit",
+        "CASE WHEN size(must) > 0 THEN size(filter(must, t -> array_contains(present, t))) / size(must) ELSE 1D END AS cover",
+        "coalesce(retweet_of_id, quoted_id, post_id) AS chain",
     )
-    tau = F.when(F.col("sort") == "latest", R.TAU_LATEST_MS).otherwise(R.TAU_TOP_MS)
-    return R.six_signals(ready, F.col("now_ms"), by=["qid"], tau=tau)
+    return R.six_signals(ready, "now_ms", by=["qid"], tau=f"CASE sort WHEN 'latest' THEN {R.TAU_LATEST_MS} ELSE {R.TAU_TOP_MS} END")
 
 
-def page_order() -> list[Column]:
-    """``rank.final_order`` with the sort as a column."""
-    exact = F.when(F.col("matched_via") == "L0", 0).otherwise(1)
-    second = F.when(F.col("sort") == "latest", F.col("created_at").cast("double")).otherwise(F.col("cover"))
-    return [exact, F.desc(second), F.desc("score"), F.asc("post_id")]
+PAGE_ORDER = "CASE matched_via WHEN 'L0' THEN 0 ELSE 1 END, CASE sort WHEN 'latest' THEN CAST(created_at AS DOUBLE) ELSE cover END DESC, score DESC, post_id"
+PLACE = f"row_number() OVER (PARTITION BY qid ORDER BY {PAGE_ORDER})"
 
 
 def ranked(scored: DataFrame) -> DataFrame:
-    """One row per query and chain, the one the order puts first, with its place ``rnk``."""
-    best = scored.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "chain").orderBy(*page_order()))).filter("_n = 1").drop("_n")
-    return best.withColumn("rnk", F.row_number().over(Window.partitionBy("qid").orderBy(*page_order())))
+    """One row per query and chain, the one the order puts first (as ``rank.final_order``), with its place ``rnk``."""
+    best = scored.selectExpr("*", f"row_number() OVER (PARTITION BY qid, chain ORDER BY {PAGE_ORDER}) AS _n").filter("_n = 1").drop("_n")
+    return best.selectExpr("*", f"{PLACE} AS rnk")

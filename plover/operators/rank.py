@@ -36,31 +36,29 @@ def rrf(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
     return ranked.groupBy("post_id").agg(F.sum(1.0 / (F.lit(k) + F.col("rnk"))).alias("rrf"))
 
 
-def six_signals(candidates: DataFrame, now_ms: int | Column, sort: str = "top", by: list[str] | None = None, tau: Column | None = None) -> DataFrame:
+def six_signals(candidates: DataFrame, now_ms: int | str, sort: str = "top", by: list[str] | None = None, tau: str | None = None) -> DataFrame:
     """The parts and the score of each candidate, normalised by the maximum within its query (``by``).
 
     candidates: rel, like_count, reply_count, retweet_count, quote_count, propagated_boost, author_authority,
-    created_at, feedback_votes, fit. Missing counts, boosts, authority and votes are 0, a missing time is now.
+    created_at, feedback_votes, fit. Missing counts, boosts, authority and votes are 0, a missing time is now. ``now_ms`` and
+    ``tau`` may be SQL text over the candidates.
     """
-    zero = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
-    weighted = zero("like_count") + 2 * zero("reply_count") + 3 * zero("retweet_count") + 4 * zero("quote_count")
-    raw = candidates.withColumn("_eng", F.log1p(weighted + F.greatest(F.lit(0.0), zero("propagated_boost")))).withColumn("_auth", F.greatest(F.lit(0.0), zero("author_authority")))
-    whole = Window.partitionBy(*(by or [F.lit(1)]))
-    top = lambda c: F.greatest(F.max(c).over(whole), F.lit(1e-9))
-    tau = tau if tau is not None else F.lit(TAU_LATEST_MS if sort == "latest" else TAU_TOP_MS)
-    now = now_ms if isinstance(now_ms, Column) else F.lit(now_ms)
-    age = F.greatest(F.lit(0), now - F.coalesce("created_at", now)).cast("double")
-    votes = F.least(F.greatest(zero("feedback_votes"), F.lit(-float(VOTE_CLAMP))), F.lit(float(VOTE_CLAMP))) / VOTE_CLAMP
+    zero = lambda c: f"coalesce(nanvl(CAST({c} AS DOUBLE), 0D), 0D)"
+    weighted = f"{zero('like_count')} + 2 * {zero('reply_count')} + 3 * {zero('retweet_count')} + 4 * {zero('quote_count')}"
+    whole = f"OVER (PARTITION BY {', '.join(by or ['1'])})"
+    top = lambda c: f"greatest(max({c}) {whole}, 1e-9D)"
+    tau = tau or str(TAU_LATEST_MS if sort == "latest" else TAU_TOP_MS)
     parts = {
-        "p_rel": W_REL * F.col("rel") / top("rel"),
-        "p_eng": W_ENG * F.col("_eng") / top("_eng"),
-        "p_auth": W_AUTH * F.col("_auth") / top("_auth"),
-        "p_rec": W_REC * F.exp(-age / tau),
-        "p_fb": W_FB * votes,
-        "p_fit": W_FIT * F.col("fit"),
+        "p_rel": f"{W_REL}D * rel / {top('rel')}",
+        "p_eng": f"{W_ENG}D * _eng / {top('_eng')}",
+        "p_auth": f"{W_AUTH}D * _auth / {top('_auth')}",
+        "p_rec": f"{W_REC}D * exp(-CAST(greatest(0, {now_ms} - coalesce(created_at, {now_ms})) AS DOUBLE) / ({tau}))",
+        "p_fb": f"{W_FB}D * least(greatest({zero('feedback_votes')}, -{VOTE_CLAMP}D), {VOTE_CLAMP}D) / {VOTE_CLAMP}",
+        "p_fit": f"{W_FIT}D * fit",
     }
-    out = raw.withColumns(parts).drop("_eng", "_auth")
-    return out.withColumn("score", sum((F.col(p) for p in parts), F.lit(0.0)))
+    raw = candidates.selectExpr("*", f"log1p({weighted} + greatest(0D, {zero('propagated_boost')})) AS _eng", f"greatest(0D, {zero('author_authority')}) AS _auth")
+    out = raw.selectExpr("* EXCEPT (_eng, _auth)", *[f"{e} AS {c}" for c, e in parts.items()])
+    return out.selectExpr("*", f"{' + '.join(parts)} AS score")
 
 
 def chain_key(item: str, *links: str) -> Column:

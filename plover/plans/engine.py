@@ -263,7 +263,7 @@ class SearchEngine:
         rows = fetched(rows, self.votes.withColumnRenamed("query_key", "key") if self.votes is not None else None, ["key", "post_id"], "total", "feedback_votes")
         scored = B.scored(rows)
         keep = ["qid", "post_id", "text", "author_id", "created_at", "matched_via", "sort", "cover", "score", "chain", *[c for c in scored.columns if c.startswith("p_")]]
-        return scored.select(*keep, F.row_number().over(B.Window.partitionBy("qid").orderBy(*B.page_order())).alias("rnk"))
+        return scored.selectExpr(*keep, f"{B.PLACE} AS rnk")
 
     @staticmethod
     def _neighbours(s: Search) -> dict[str, list[str]]:
