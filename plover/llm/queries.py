@@ -121,11 +121,15 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.linked_pairs(table(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_classes(table(spark, d, "documents"))
+
+
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_representatives, p5_found, p5_projection, p8_found, p8_items, p9_found, p9_report, p9_mix, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_representatives, p5_found, p5_projection, p8_found, p8_items, p9_found, p9_report, p9_mix, p10_found, p10_classes, p10_shares)}
 
 #: White space at either end, as Unicode has it.
 _TRIM = r"'^[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$'"
@@ -146,6 +150,11 @@ c AS (SELECT query_key, candidate_id, {_CLEAN} FROM o), r AS (SELECT query_key,
 SELECT query_key, candidate_id FROM r QUALIFY row_number() OVER (PARTITION BY query_key ORDER BY r0 + r1 + r2 + r3 DESC, candidate_id) <= 5""",
     "p9_found": """WITH s AS (SELECT source, sum(length(text)) AS n FROM documents GROUP BY source)
 SELECT source FROM mix_targets LEFT JOIN s USING (source) WHERE target_share * (SELECT sum(n) FROM s) > coalesce(n, 0) * max_repeats""",
+    "p10_shares": """WITH w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+m AS (SELECT h, min(doc_id) AS lo, max(doc_id) AS hi FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)), v AS (SELECT doc_id, i, lo < doc_id AS later FROM w JOIN m USING (h)),
+s AS (SELECT doc_id, sum(least(200, i - coalesce(p, i - 200))) AS n FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM v) GROUP BY doc_id),
+l AS (SELECT doc_id, sum(least(200, i - coalesce(p, i - 200))) AS n FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM v WHERE later) GROUP BY doc_id)
+SELECT doc_id, length(text) AS n_chars, CAST(s.n AS BIGINT) AS shared_chars, CAST(coalesce(l.n, 0) AS BIGINT) AS later_chars FROM documents JOIN s USING (doc_id) LEFT JOIN l USING (doc_id)""",
     "p10_found": """WITH c AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents WHERE length(text) >= 200),
 w AS (SELECT DISTINCT doc_id, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM c WHERE doc_id = rep)),
 m AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), v AS (SELECT w.* FROM w SEMI JOIN m USING (h))

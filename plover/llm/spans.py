@@ -8,7 +8,8 @@ consecutive segments, is hashed; spans are joined globally by hash; what two tex
 With WINDOW + GRAM - 1 + SPAN <= ``LEAST`` every common stretch of LEAST characters holds a whole span: none is lost.
 
 Exact copies are one class: its representative (lowest doc_id) is compared for all, and each copy is reported with it.
-Of a run of shared spans only the first gives a candidate pair: the following ones see that their predecessors match.
+A stretch that stands in n texts means n (n - 1) / 2 pairs, which ``linked_pairs`` must give; ``shared_classes`` has one
+row per text instead. Of a run of shared spans only the first gives a candidate pair: the following ones see that their predecessors match.
 
 Edge cases: null and short texts share nothing; repeats inside one text aren't sharing; repeated rows of a
 doc_id are one record if equal and must not differ; very long texts are read whole, in pieces that overlap; surrogates and any code point count
@@ -25,7 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plover.runtime import materialize
+from plover.operators.components import connected_components
+from plover.runtime import materialize, spread
 
 LEAST = 200
 SPAN = 150
@@ -88,7 +90,7 @@ def cuts_and_spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _fingerprint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["doc_id", "pos", "span", "prev_span", "gap"]
+    names = ["doc_id", "pos", "nth", "span"]
     for batch in batches:
         ids, parts = [], []
         for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -102,14 +104,12 @@ def _fingerprint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             span = span[first].view(np.int64)
             if not len(pos):
                 continue
-            prev, gap = np.concatenate([[0], span[:-1]]), np.diff(pos, prepend=-1)
-            gap[0] = -1  # no predecessor
             ids.append(np.full(len(pos), doc_id))
-            parts.append((pos, span, prev, gap))
+            parts.append((pos.astype(np.int32), np.arange(len(pos), dtype=np.int32), span))
         if ids:
             yield pd.DataFrame(dict(zip(names, [np.concatenate(ids), *(np.concatenate(x) for x in zip(*parts, strict=True))], strict=True)))
         else:
-            yield pd.DataFrame({n: np.empty(0, np.int64) for n in names})
+            yield pd.DataFrame({n: np.empty(0, np.int32 if n in ("pos", "nth") else np.int64) for n in names})
 
 
 def copy_classes(documents: DataFrame) -> DataFrame:
@@ -120,10 +120,21 @@ def copy_classes(documents: DataFrame) -> DataFrame:
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
-    """doc_id, pos, span, prev_span, gap of the spans that occur in more than one text."""
-    spans = materialize(documents.select("doc_id", "text").mapInPandas(_fingerprint, "doc_id long, pos long, span long, prev_span long, gap long"), "spans")
-    shared = spans.groupBy("span").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("span")
-    return spans.join(shared, "span")
+    """doc_id, pos, nth, span of the spans that occur in more than one text; ``nth`` counts all cuts of the text.
+
+    All spans are shuffled once, by their hash: counting and the join back use that one exchange.
+    """
+    spans = documents.select("doc_id", "text").mapInPandas(_fingerprint, "doc_id long, pos int, nth int, span long")
+    placed = spans.repartition(spread(documents.sparkSession), "span")
+    shared = placed.groupBy("span").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("span")
+    return placed.join(shared, "span", "left_semi")
+
+
+def with_predecessors(shared: DataFrame) -> DataFrame:
+    """``shared`` plus prev_span and gap: hash and distance of the cut just before, if it is shared too (else null)."""
+    by = Window.partitionBy("doc_id").orderBy("nth")
+    near = F.lag("nth").over(by) == F.col("nth") - 1
+    return shared.withColumn("prev_span", F.when(near, F.lag("span").over(by))).withColumn("gap", F.when(near, F.col("pos") - F.lag("pos").over(by)))
 
 
 def _long_enough(left: pd.Series, lcut: pd.Series, right: pd.Series, rcut: pd.Series) -> pd.Series:
@@ -148,9 +159,9 @@ def linked_pairs(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", "text").filter(F.length("text") >= LEAST)
     copies = materialize(copy_classes(docs), "copies")
     reps = docs.join(copies.select("doc_id"), "doc_id", "left_anti")
-    rows = materialize(repeated_spans(reps), "shared")
+    rows = materialize(with_predecessors(repeated_spans(reps)), "shared")
     other = rows.select(*[F.col(c).alias(f"{c}_b") for c in ("doc_id", "pos", "prev_span", "gap")], F.col("span"))
-    new = ~((F.col("prev_span") == F.col("prev_span_b")) & (F.col("gap") == F.col("gap_b")) & (F.col("gap") > 0))
+    new = ~F.coalesce((F.col("prev_span") == F.col("prev_span_b")) & (F.col("gap") == F.col("gap_b")), F.lit(False))
     pairs = rows.join(other, "span").filter((F.col("doc_id") < F.col("doc_id_b")) & new).select(
         F.col("doc_id").alias("doc_a"), F.col("pos").alias("pos_a"), F.col("doc_id_b").alias("doc_b"), F.col("pos_b")
     )
@@ -201,6 +212,28 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame()
 
 
+def common_windows(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(texts of LEAST characters and more, exact copies, common windows): doc_id, rep of the copies; doc_id, pos, owner of
+    every window of LEAST characters of a representative that another one holds too, owner being the lowest that does."""
+    docs = documents.select("doc_id", "text").filter(F.length("text") >= LEAST)
+    copies = materialize(copy_classes(docs).distinct(), "copies")
+    reps = docs.join(copies.select("doc_id"), "doc_id", "left_anti")
+    places = repeated_spans(reps).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))  # at most one per character
+    windows = materialize(reps.join(places, "doc_id").mapInPandas(_windows, "doc_id long, pos long, high long, low long"), "windows")
+    held = windows.groupBy("high", "low").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last")
+    return docs, copies, windows.join(held, ["high", "low"]).select("doc_id", "pos", "owner")
+
+
+def shared_classes(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_members: the texts that hang together by common stretches, each class named by its lowest doc_id.
+    Every window links to one owner, so a stretch in n texts costs n rows, not n²; texts that share nothing aren't listed."""
+    _, copies, common = common_windows(documents)
+    links = common.filter(F.col("owner") < F.col("doc_id")).select(F.col("doc_id").alias("src"), F.col("owner").alias("dst")).distinct()
+    classes = connected_components(links.unionByName(copies.select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))))
+    sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("n_members"))
+    return classes.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("class_id"), "n_members")
+
+
 def shared_shares(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, shared_chars, later_chars: characters in stretches of LEAST or more that other texts hold too, and
     those of them a lower doc_id holds (what removing every non-first repeated stretch would take). No pairs are formed.
@@ -209,13 +242,8 @@ def shared_shares(documents: DataFrame) -> DataFrame:
     windows is the union of the common stretches, up to their true ends. Windows without a shared span can't be common,
     so only those around one are compared, by digests of 128 bits. Documents without a shared stretch aren't listed.
     """
-    docs = documents.select("doc_id", "text").filter(F.length("text") >= LEAST)
-    copies = materialize(copy_classes(docs).distinct(), "copies")
-    reps = docs.join(copies.select("doc_id"), "doc_id", "left_anti")
-    places = repeated_spans(reps).groupBy("doc_id").agg(F.collect_set("pos").alias("places"))  # at most one per character
-    windows = materialize(reps.join(places, "doc_id").mapInPandas(_windows, "doc_id long, pos long, high long, low long"), "windows")
-    held = windows.groupBy("high", "low").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last")
-    marked = windows.join(held, ["high", "low"]).select("doc_id", "pos", (F.col("owner") < F.col("doc_id")).alias("later"))
+    docs, copies, common = common_windows(documents)
+    marked = common.select("doc_id", "pos", (F.col("owner") < F.col("doc_id")).alias("later"))
     order = Window.partitionBy("doc_id").orderBy("pos")
     later = F.when(F.col("later"), F.col("pos"))
 

@@ -263,6 +263,27 @@ def test_shares_against_brute_force(spark):
     assert spans.shared_shares(df.limit(0)).count() == 0
 
 
+def test_classes_against_brute_force(spark):
+    texts = {r["doc_id"]: r["text"] for r in brute.rows(SF, "documents")}
+    root, owner = {i: i for i in texts}, {}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, t in texts.items():
+        for a in range(len(t or "") - 199):
+            j = owner.setdefault(t[a : a + 200], i)
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    members = {}
+    for i in texts:
+        members.setdefault(find(i), set()).add(i)
+    want = {(i, c, len(of)) for c, of in members.items() if len(of) > 1 for i in of}
+    assert {tuple(r) for r in spans.shared_classes(spark.read.parquet(f"{SF}/documents.parquet")).collect()} == want
+
+
 def test_shares_of_the_tables(spark):
     got = {r.doc_id: (r.n_chars, r.shared_chars, r.later_chars) for r in queries.p10_shares(spark, SF).collect()}
     assert got == brute_shares({r["doc_id"]: r["text"] for r in brute.rows(SF, "documents")})
