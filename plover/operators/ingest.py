@@ -19,19 +19,63 @@ LINE_BYTES, ENVELOPE_BYTES = 1_000_000, 200_000
 VOTES_PER_WINDOW, WINDOW_S = 30, 60
 
 INGRESS = (
-    "kind string, id string, text string, authorId string, createdAt string, metrics struct<likes: long, retweets: long, quotes: long, replies: long>, metricsAt long, "
-    "media array<struct<type: string, url: string>>, quotedTweetId string, retweetOfTweetId string, inReplyToTweetId string, lang string, handle string, displayName string, "
+    "kind string, id string, text string, authorId string, createdAt long, metrics struct<likes: long, retweets: long, quotes: long, replies: long>, metricsAt long, "
+    "media array<struct<type: string, url: string>>, quotedTweetId string, retweetOfTweetId string, inReplyToTweetId string, lang string, "
+    "entities struct<hashtags: array<string>, mentions: array<string>, urls: array<string>>, handle string, displayName string, "
     "followerCount long, followingCount long, verified boolean, bio string, avatarUrl string"
 )
+#: The contract of each kind of line: key -> what it must hold (a ? allows null; keys with ! may be absent).
+_TEXT, _WHOLE, _COUNT = "STRING", "BIGINT", "COUNT"
+CONTRACT = {
+    "tweet": {
+        "kind": _TEXT, "id": _TEXT, "text": _TEXT, "authorId": _TEXT, "createdAt": _WHOLE, "metrics": "METRICS", "metricsAt": _WHOLE, "media": "MEDIA",
+        "quotedTweetId": "STRING?", "retweetOfTweetId": "STRING?", "inReplyToTweetId": "STRING?", "lang": "STRING?!", "entities": "OBJECT?!",
+    },
+    "author": {
+        "kind": _TEXT, "id": _TEXT, "handle": _TEXT, "displayName": _TEXT, "followerCount": _COUNT, "followingCount": _COUNT, "verified": "BOOLEAN", "createdAt": _WHOLE,
+        "bio": "STRING?!", "avatarUrl": "STRING?!",
+    },
+}
+
+
+def json_kind(path: str) -> str:
+    """SQL text: the JSON type at a path of the variant ``o`` (STRING, BIGINT, OBJECT<..>, ...; VOID for null; null if absent)."""
+    return f"schema_of_variant(try_variant_get(o, '{path}', 'variant'))"
+
+
+def _count(path: str) -> str:
+    return f"coalesce({json_kind(path)} = 'BIGINT' AND try_variant_get(o, '{path}', 'bigint') >= 0, false)"
+
+
+def _holds(key: str, rule: str) -> str:
+    kind, base = json_kind(f"$.{key}"), rule.rstrip("?!")
+    if base == "COUNT":
+        test = _count(f"$.{key}")
+    elif base == "METRICS":
+        test = " AND ".join(_count(f"$.{key}.{m}") for m in ("likes", "retweets", "quotes", "replies"))
+    elif base == "MEDIA":
+        items = f"try_variant_get(o, '$.{key}', 'array<struct<type: string, url: string>>')"
+        test = f"coalesce({kind} LIKE 'ARRAY%' AND forall({items}, m -> coalesce(m.type IN ('image', 'video', 'gif') AND m.url IS NOT NULL, false)), false)"
+    else:
+        test = f"coalesce({kind} LIKE '{base}%', false)"
+    if "?" in rule:
+        test = f"({test} OR coalesce({kind} = 'VOID', false))"
+    if "!" in rule:
+        test = f"({test} OR {kind} IS NULL)"
+    return test
 
 
 def decode_ingress(lines: DataFrame, line: str = "line") -> DataFrame:
-    """The tagged union of post and author lines, decoded with its fixed schema; ``reason`` says why a line is refused."""
-    parsed = lines.withColumn("r", F.from_json(line, INGRESS + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
-    reason = (
-        F.when(F.trim(line) == "", "blank").when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "broken").when(F.coalesce(~F.col("r.kind").isin("tweet", "author"), F.lit(True)), "unknown_kind").when(F.col("r.id").isNull(), "missing_id")
-    )
-    return parsed.withColumn("reason", reason)
+    """The tagged union of post and author lines, decoded with its fixed schema (``r``); ``reason`` says why a line is refused:
+    blank, broken, unknown_kind, unknown_key, or bad_<key> for the first key that is missing or of a wrong type."""
+    parsed = lines.withColumn("o", json_object(line)).withColumn("r", F.from_json(line, INGRESS))
+    kind = F.expr("try_variant_get(o, '$.kind', 'string')")
+    reason = F.when(F.trim(line) == "", "blank").when(F.col("o").isNull(), "broken").when(F.coalesce(~kind.isin(*CONTRACT), F.lit(True)), "unknown_kind")
+    for name, keys in CONTRACT.items():
+        reason = reason.when((kind == name) & (F.size(F.array_except(F.json_object_keys(line), F.array(*[F.lit(k) for k in keys]))) > 0), "unknown_key")
+        for key, rule in keys.items():
+            reason = reason.when((kind == name) & ~F.expr(_holds(key, rule)), f"bad_{key}")
+    return parsed.withColumn("reason", reason).drop("o")
 
 
 def gate_reason(text: str, at: list[str], now_ms: int) -> Column:
@@ -57,30 +101,77 @@ def window_reason(origin: Column, own: Column, reposted: Column, created_ms: Col
     return F.when(F.coalesce(subject & (created_ms < cutoff_ms), F.lit(False)), "skipped").otherwise("kept")
 
 
+#: What the known keys of a tolerant line may hold beside null; unknown keys are fine.
+_LOOSE_TEXT = ("type", "id", "text", "author_id", "authorId", "author_handle", "authorHandle", "lang", "quoted_tweet_id", "quotedTweetId", "retweet_of_tweet_id", "retweetOfTweetId", "in_reply_to_tweet_id", "inReplyToTweetId",
+    "author.id", "author.screen_name", "author.name", "author.description", "author.avatar_url", "quote.id", "reposted_status.id", "replying_to.status")
+_LOOSE_COUNT = ("likes", "reposts", "retweets", "quotes", "replies", "metrics.likes", "metrics.retweets", "metrics.quotes", "metrics.replies", "author.followers", "author.following")
+_LOOSE_WHOLE = ("created_timestamp", "metrics_at", "metricsAt", "author.joined_ms")
+_LOOSE_OBJECT = ("metrics", "author", "media", "quote", "reposted_status", "replying_to", "author.verification")
+
+
 def decode_loose(lines: DataFrame, line: str) -> DataFrame:
-    """Posts from tolerant JSON: names have aliases, times may be seconds, tombstones and incomplete posts are refused."""
+    """Posts from tolerant JSON: names have aliases, counts the first that is given, times may be seconds; an author record if
+    one is nested. ``reason``: broken, strict (the line has a kind: ``decode_ingress`` reads it), bad_type, missing_post_id,
+    empty_text, tombstone, missing_author_id, missing_created_ms."""
     o = lines.withColumn("o", json_object(line))
-    text = lambda *paths: "coalesce(" + ", ".join(f"try_variant_get(o, '{p}', 'string')" for p in paths) + ")"
-    kind = lambda p: f"schema_of_variant(try_variant_get(o, '{p}', 'variant'))"
-    whole = lambda p: f"CASE WHEN {kind(p)} = 'BIGINT' THEN try_variant_get(o, '{p}', 'bigint') END"
-    number = lambda *paths: "coalesce(" + ", ".join(whole(p) for p in paths) + ")"
-    created = F.expr(number("$.created_at", "$.createdAt", "$.created_timestamp"))
+    first = lambda kind, *paths: "coalesce(" + ", ".join(f"try_variant_get(o, '$.{p}', '{kind}')" for p in paths) + ")"
+    text = lambda *paths: F.expr(first("string", *paths))
+    whole = lambda p: f"CASE WHEN {json_kind('$.' + p)} = 'BIGINT' THEN try_variant_get(o, '$.{p}', 'bigint') END"
+    number = lambda *paths: F.expr("coalesce(" + ", ".join(map(whole, paths)) + ")")
+    given = lambda c: F.when(c != "", c)
+    ms = lambda c: F.when((c > 0) & (c < SECONDS_BELOW), c * 1000).otherwise(c)
+    count = lambda *paths: F.coalesce(number(*paths), F.lit(0)).alias(paths[0])
+    fits = lambda p, ok: f"coalesce({json_kind('$.' + p)} RLIKE '^({ok}|VOID)', true)"
+    sound = [fits(p, "STRING") for p in _LOOSE_TEXT] + [fits(p, "BIGINT") for p in _LOOSE_WHOLE] + [fits(p, "OBJECT") for p in _LOOSE_OBJECT]
+    sound += [f"({json_kind('$.' + p)} IS NULL OR {json_kind('$.' + p)} = 'VOID' OR {_count('$.' + p)})" for p in _LOOSE_COUNT]
+    sound += [fits("media.all", "ARRAY"), fits("author.verification.verified", "BOOLEAN")]
+    media = F.expr("try_variant_get(o, '$.media.all', 'array<struct<type: string, url: string>>')")
+    kind = lambda t: F.when(F.lower(t).isin("image", "photo"), "image").when(F.lower(t) == "video", "video").when(F.lower(t).isin("gif", "animated_gif"), "gif")
+    typed = F.transform(media, lambda m: F.struct(kind(m["type"]).alias("type"), m["url"].alias("url")))
+    created = ms(number("created_at", "createdAt", "created_timestamp"))
+    author_id, handle = given(text("author_id", "authorId", "author.id")), text("author_handle", "authorHandle", "author.screen_name")
     out = o.withColumns(
         {
-            "type": F.expr("try_variant_get(o, '$.type', 'string')"),
-            "post_id": canonical_id(F.expr(text("$.id"))),
-            "text": F.expr(text("$.text", "$.full_text")),
-            "author_id": canonical_id(F.expr(text("$.author_id", "$.authorId", "$.author.id"))),
-            "created_ms": F.when((created > 0) & (created < SECONDS_BELOW), created * 1000).when(created > 0, created),
-            "likes": F.coalesce(F.expr(number("$.likes", "$.metrics.likes")), F.lit(0)),
-            "reposts": F.coalesce(F.expr(number("$.reposts", "$.retweets", "$.metrics.retweets")), F.lit(0)),
-            "media_type": F.coalesce(F.expr("try_variant_get(o, '$.media.all[0].type', 'string')"), F.lit("none")),
+            "post_id": canonical_id(text("id")),
+            "text": F.trim(text("text")),
+            "author_id": canonical_id(author_id),
+            "handle": F.coalesce(handle, author_id),
+            "created_ms": created,
+            "likes": count("likes", "metrics.likes"),
+            "reposts": count("reposts", "retweets", "metrics.retweets"),
+            "quotes": count("quotes", "metrics.quotes"),
+            "replies": count("replies", "metrics.replies"),
+            "metrics_at": F.coalesce(ms(number("metrics_at", "metricsAt")), created),
+            "media": F.coalesce(F.filter(typed, lambda m: m["type"].isNotNull() & (m["url"] != "")), F.array().cast("array<struct<type: string, url: string>>")),
+            "quoted_id": canonical_id(text("quoted_tweet_id", "quotedTweetId", "quote.id")),
+            "retweet_of_id": canonical_id(text("retweet_of_tweet_id", "retweetOfTweetId", "reposted_status.id")),
+            "reply_to_id": canonical_id(text("in_reply_to_tweet_id", "inReplyToTweetId", "replying_to.status")),
+            "lang": text("lang"),
         }
     )
-    reason = F.when(F.col("o").isNull(), "broken").when(F.col("type") == "tombstone", "tombstone")
-    for c in ("post_id", "text", "author_id", "created_ms"):
-        reason = reason.when(F.col(c).isNull(), f"missing_{c}")
-    return out.withColumn("reason", reason).drop("o", "type")
+    nested = F.struct(
+        "author_id",
+        "handle",
+        F.coalesce(text("author.name"), "handle").alias("display_name"),
+        F.coalesce(number("author.followers"), F.lit(0)).alias("follower_count"),
+        F.coalesce(number("author.following"), F.lit(0)).alias("following_count"),
+        F.coalesce(F.expr("try_variant_get(o, '$.author.verification.verified', 'boolean')"), F.lit(False)).alias("verified"),
+        F.coalesce(number("author.joined_ms"), "created_ms").alias("created_ms"),
+        text("author.description").alias("bio"),
+        text("author.avatar_url").alias("avatar_url"),
+    )
+    out = out.withColumn("author", F.when(F.expr(f"coalesce({json_kind('$.author')} LIKE 'OBJECT%', false)"), nested))
+    reason = (
+        F.when(F.col("o").isNull(), "broken")
+        .when(F.expr(f"{json_kind('$.kind')} IS NOT NULL"), "strict")
+        .when(~F.expr(" AND ".join(sound)), "bad_type")
+        .when(F.col("post_id").isNull(), "missing_post_id")
+        .when(F.coalesce("text", F.lit("")) == "", "empty_text")
+        .when(F.coalesce(text("type") == "tombstone", F.lit(False)), "tombstone")
+        .when(F.col("author_id").isNull(), "missing_author_id")
+        .when(F.col("created_ms").isNull(), "missing_created_ms")
+    )
+    return out.withColumn("media_type", F.coalesce(F.get("media", F.lit(0))["type"], F.lit("none"))).withColumn("reason", reason).drop("o")
 
 
 def upsert_actions(rows: DataFrame, key: str, seq: str, at: str) -> DataFrame:

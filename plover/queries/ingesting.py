@@ -31,12 +31,15 @@ def query(sql: str | None = None):
 
 
 # ---- decoding and gates
-@query("SELECT ingress_seq, CASE WHEN id IS NULL THEN 'missing_id' END AS reason, id, metrics.likes AS likes FROM ingress")
+@query(f"""WITH {POSTS} SELECT ingress_seq, CASE WHEN id IS NULL THEN 'bad_id' WHEN text IS NULL THEN 'bad_text' WHEN author_id IS NULL THEN 'bad_authorId' WHEN created_ms IS NULL THEN 'bad_createdAt'
+ WHEN NOT coalesce(metrics.likes >= 0 AND metrics.retweets >= 0 AND metrics.quotes >= 0 AND metrics.replies >= 0, false) THEN 'bad_metrics' WHEN metrics_at IS NULL THEN 'bad_metricsAt'
+ WHEN media IS NULL OR len(list_filter(media, lambda m: m.url IS NULL OR NOT coalesce(m.type IN ('image', 'video', 'gif'), false))) > 0 THEN 'bad_media' END AS reason, id, metrics.likes AS likes FROM keyed""")
 def ingress_parse(spark, d):
-    """Ingress posts written as JSON lines and decoded again."""
-    renamed = F.struct("kind", "id", "text", F.col("author_id").alias("authorId"), F.col("created_at").alias("createdAt"), "metrics", F.col("metrics_at").alias("metricsAt"), "lang")
-    out, good = ingest.decode_ingress(table(spark, d, "ingress").select("ingress_seq", F.to_json(renamed).alias("line"))), F.col("reason").isNull()
-    return out.select("ingress_seq", "reason", F.when(good, F.col("r.id")).alias("id"), F.when(good, F.col("r.metrics.likes")).alias("likes"))
+    """Ingress posts written as the contract's JSON lines and decoded again."""
+    named = {"authorId": "author_id", "createdAt": "created_ms", "metricsAt": "metrics_at", "quotedTweetId": "quoted_tweet_id", "retweetOfTweetId": "retweet_of_tweet_id", "inReplyToTweetId": "in_reply_to_tweet_id"}
+    keys = [k for k in ingest.CONTRACT["tweet"] if k != "kind"]
+    line = F.to_json(F.struct(F.lit("tweet").alias("kind"), *[F.col(named.get(k, k)).alias(k) for k in keys]), {"ignoreNullFields": "false"})
+    return ingest.decode_ingress(timed_ingress(spark, d).select("ingress_seq", line.alias("line"))).select("ingress_seq", "reason", "r.id", "r.metrics.likes")
 
 
 @query(f"""WITH {POSTS}, r AS (SELECT CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 'empty_text' WHEN NOT coalesce(created_ms > 1136073600000 AND created_ms <= {NOW} + 300000, false) THEN 'bad_created_ms'
@@ -47,22 +50,32 @@ def ingress_gates(spark, d):
     return timed_ingress(spark, d).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _num(path: str) -> str:
-    return f"CASE WHEN json_type(o, '{path}') IN ('UBIGINT', 'BIGINT') THEN CAST(o->>'{path}' AS BIGINT) END"
+def _num(*paths: str) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN json_type(o, '$.{p}') IN ('UBIGINT', 'BIGINT') THEN CAST(o->>'$.{p}' AS BIGINT) END" for p in paths) + ")"
 
 
+def _txt(*paths: str) -> str:
+    return "coalesce(" + ", ".join(f"o->>'$.{p}'" for p in paths) + ")"
+
+
+_SOUND = " AND ".join(
+    f"coalesce(json_type(o, '$.{p}') IN ({kinds}, 'NULL'), true)"
+    for kinds, paths in (("'VARCHAR'", ingest._LOOSE_TEXT), ("'UBIGINT'", ingest._LOOSE_COUNT), ("'UBIGINT', 'BIGINT'", ingest._LOOSE_WHOLE), ("'OBJECT'", ingest._LOOSE_OBJECT), ("'ARRAY'", ["media.all"]), ("'BOOLEAN'", ["author.verification.verified"]))
+    for p in paths
+)
 LOOSE = f"""j AS (SELECT loose_seq, CASE WHEN json_valid(raw_line) AND json_type(raw_line) = 'OBJECT' THEN CAST(raw_line AS JSON) END AS o FROM loose_posts),
-f AS (SELECT loose_seq, o, o->>'$.type' AS type, {canon("(o->>'$.id')")} AS post_id, coalesce(o->>'$.text', o->>'$.full_text') AS text,
- {canon("coalesce(o->>'$.author_id', o->>'$.authorId', CASE WHEN json_type(o, '$.author') = 'OBJECT' THEN o->>'$.author.id' END)")} AS author_id,
- coalesce({_num('$.created_at')}, {_num('$.createdAt')}, {_num('$.created_timestamp')}) AS c,
- coalesce({_num('$.likes')}, 0) AS likes FROM j),
-g AS (SELECT *, CASE WHEN c > 0 AND c < 1000000000000 THEN c * 1000 WHEN c > 0 THEN c END AS created_ms FROM f)"""
+f AS (SELECT loose_seq, o, o->>'$.type' AS type, {_SOUND} AS sound, {canon(_txt('id'))} AS post_id, trim(o->>'$.text', ' ') AS text, {canon(_txt('author_id', 'authorId', 'author.id'))} AS author_id,
+ {_num('created_at', 'createdAt', 'created_timestamp')} AS c, {_num('metrics_at', 'metricsAt')} AS m, coalesce({_num('likes', 'metrics.likes')}, 0) AS likes, coalesce({_num('reposts', 'retweets', 'metrics.retweets')}, 0) AS reposts,
+ {canon(_txt('quoted_tweet_id', 'quotedTweetId', 'quote.id'))} AS quoted_id, {canon(_txt('in_reply_to_tweet_id', 'inReplyToTweetId', 'replying_to.status'))} AS reply_to_id,
+ CASE WHEN json_type(o, '$.author') = 'OBJECT' THEN coalesce(o->>'$.author.name', {_txt('author_handle', 'authorHandle', 'author.screen_name', 'author_id', 'authorId', 'author.id')}) END AS author_name FROM j),
+g AS (SELECT *, CASE WHEN c > 0 AND c < 1000000000000 THEN c * 1000 ELSE c END AS created_ms, coalesce(CASE WHEN m > 0 AND m < 1000000000000 THEN m * 1000 ELSE m END, CASE WHEN c > 0 AND c < 1000000000000 THEN c * 1000 ELSE c END) AS metrics_at FROM f)"""
 
 
-@query(f"""WITH {LOOSE} SELECT loose_seq, post_id, created_ms, likes, CASE WHEN o IS NULL THEN 'broken' WHEN type = 'tombstone' THEN 'tombstone' WHEN post_id IS NULL THEN 'missing_post_id'
- WHEN text IS NULL THEN 'missing_text' WHEN author_id IS NULL THEN 'missing_author_id' WHEN created_ms IS NULL THEN 'missing_created_ms' END AS reason FROM g""")
+@query(f"""WITH {LOOSE} SELECT loose_seq, post_id, created_ms, metrics_at, likes, reposts, quoted_id, reply_to_id, author_name, CASE WHEN o IS NULL THEN 'broken' WHEN json_type(o, '$.kind') IS NOT NULL THEN 'strict' WHEN NOT sound THEN 'bad_type' WHEN post_id IS NULL THEN 'missing_post_id'
+ WHEN coalesce(text, '') = '' THEN 'empty_text' WHEN type = 'tombstone' THEN 'tombstone' WHEN author_id IS NULL THEN 'missing_author_id' WHEN created_ms IS NULL THEN 'missing_created_ms' END AS reason FROM g""")
 def loose_ingest(spark, d):
-    return ingest.decode_loose(table(spark, d, "loose_posts"), "raw_line").select("loose_seq", "post_id", "created_ms", "likes", "reason")
+    rows = ingest.decode_loose(table(spark, d, "loose_posts"), "raw_line")
+    return rows.select("loose_seq", "post_id", "created_ms", "metrics_at", "likes", "reposts", "quoted_id", "reply_to_id", F.col("author.display_name").alias("author_name"), "reason")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents")

@@ -21,14 +21,14 @@ def split(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_ingress(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(posts, authors, quarantined) of strict JSON lines."""
     valid, bad = split(decode_ingress(read_lines(spark, folder)))
-    of = lambda kind: valid.filter(F.col("r.kind") == kind).select("source_file", "r.*").drop("_bad")
+    of = lambda kind: valid.filter(F.col("r.kind") == kind).select("source_file", "r.*")
     return of("tweet"), of("author"), bad.select("reason", "line", "source_file")
 
 
 def read_loose(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(posts, quarantined) of tolerant JSON lines."""
+    """(posts, quarantined) of tolerant JSON lines. Lines of the strict contract among them are read by ``read_ingress``."""
     valid, bad = split(decode_loose(read_lines(spark, folder), "line"))
-    return valid.drop("reason"), bad.select("reason", "line", "source_file")
+    return valid.drop("reason"), bad.filter("reason <> 'strict'").select("reason", "line", "source_file")
 
 
 def write_quarantine(bad: DataFrame, path: str) -> None:

@@ -162,11 +162,14 @@ def test_replaying_a_batch_changes_nothing(spark):
 
 
 def test_files(spark, tmp_path):
-    good = {"kind": "tweet", "id": "1", "text": "hi", "authorId": "2", "metrics": {"likes": 1}, "metricsAt": NOW}
+    counts = {"likes": 1, "retweets": 0, "quotes": 0, "replies": 0}
+    good = {"kind": "tweet", "id": "1", "text": "hi", "authorId": "2", "createdAt": NOW, "metrics": counts, "metricsAt": NOW, "media": [], "quotedTweetId": None, "retweetOfTweetId": None, "inReplyToTweetId": None}
+    ann = {"kind": "author", "id": "2", "handle": "ann", "displayName": "Ann", "followerCount": 1, "followingCount": 0, "verified": False, "createdAt": NOW}
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.jsonl").write_text(json.dumps(good) + "\n\n{broken\n" + json.dumps({**good, "kind": "author", "handle": "ann"}) + "\n")
+    (tmp_path / "in" / "a.jsonl").write_text(json.dumps(good) + "\n\n{broken\n" + json.dumps(ann) + "\n" + json.dumps({**good, "x": 1}) + "\n" + json.dumps({k: v for k, v in good.items() if k != "quotedTweetId"}) + "\n")
     posts, authors, bad = ingress.read_ingress(spark, str(tmp_path / "in"))
     assert posts.count() == 1 and authors.first().handle == "ann" and bad.filter("reason = 'broken'").count() == 1
+    assert {r.reason for r in bad.collect()} == {"blank", "broken", "unknown_key", "bad_quotedTweetId"}
     ingress.write_quarantine(bad, str(tmp_path / "q"))
     assert spark.read.json(str(tmp_path / "q")).count() == bad.count()
     manifest = ingress.archive_manifest(spark, str(tmp_path / "in"))
@@ -234,9 +237,15 @@ def test_pairs_of_one_post_stay(spark):
     assert n[True] > 0 and n[True] + n[False] == entry.queries()["adjacent_bigrams"](spark, SMALL).count()
 
 
-def test_whole_and_cut_ingress_lines(spark):
-    rows = entry.queries()["ingress_parse"](spark, SMALL)
-    assert rows.filter("ingress_seq % 17 = 0 AND id IS NOT NULL").count() > 0 and rows.filter("reason = 'broken'").count() == 0
-    line = '{"kind": "tweet", "id": "7", "metrics": {"likes": 3}}'
-    cut = spark.createDataFrame([(1, line), (2, line[:20])], "seq int, line string")
-    assert {r.seq: r.reason for r in ingest.decode_ingress(cut).collect()} == {1: None, 2: "broken"}
+def test_cut_and_loose_lines(spark):
+    line = '{"kind": "author", "id": "7", "handle": "a", "displayName": "A", "followerCount": 3, "followingCount": 0, "verified": true, "createdAt": 5}'
+    cut = spark.createDataFrame([(1, line), (2, line[:20]), (3, line.replace("3", "-3")), (4, None)], "seq int, line string")
+    assert {r.seq: r.reason for r in ingest.decode_ingress(cut).collect()} == {1: None, 2: "broken", 3: "bad_followerCount", 4: "broken"}
+    full = {"id": "5", "text": " hi ", "author": {"id": "9", "screen_name": "Ann", "followers": 4, "verification": {"verified": True}}, "created_at": "Mon Sep 01", "created_timestamp": 1756700000, "reposts": 2, "metrics": {"likes": 7, "retweets": 3}}
+    full |= {"media": {"all": [{"type": "Photo", "url": "u"}, {"type": "video"}, {"type": "odd", "url": "v"}]}, "quote": {"id": "6"}, "replying_to": {"status": "8"}}
+    rows = [full, {**full, "likes": "7"}, {**full, "kind": "tweet"}, {**full, "type": "tombstone"}, {**full, "text": "  "}, {**full, "author": None}, {"id": "5", "text": "x", "author_id": "1"}]
+    got = ingest.decode_loose(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "i int, line string"), "line").orderBy("i").collect()
+    assert [r.reason for r in got] == [None, "bad_type", "strict", "tombstone", "empty_text", "missing_author_id", "missing_created_ms"]
+    r = got[0]
+    assert (r.text, r.created_ms, r.metrics_at, r.likes, r.reposts, r.quoted_id, r.reply_to_id, r.media_type) == ("hi", 1756700000000, 1756700000000, 7, 2, "6", "8", "image")
+    assert len(r.media) == 1 and (r.author.handle, r.author.display_name, r.author.follower_count, r.author.verified, r.author.created_ms) == ("Ann", "Ann", 4, True, 1756700000000)
