@@ -126,8 +126,9 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     """
     spans = documents.select("doc_id", "text").mapInPandas(_fingerprint, "doc_id long, pos int, nth int, span long")
     placed = spans.repartition(spread(documents.sparkSession), "span")
-    shared = placed.groupBy("span").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("span")
-    return placed.join(shared, "span", "left_semi")
+    every = [F.max(c).alias(f"max_{c}") for c in ("pos", "nth")]  # both sides must read all columns to share the exchange
+    shared = placed.groupBy("span").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), *every).filter("a < b AND max_pos >= 0 AND max_nth >= 0").select("span")
+    return placed.join(shared, "span")  # inner: a semi join would be pushed below the exchange
 
 
 def with_predecessors(shared: DataFrame) -> DataFrame:
