@@ -17,7 +17,7 @@ def latest_authors(authors: DataFrame) -> DataFrame:
     """One row per author id: the latest snapshot, of equally late ones the first. A max over a struct: no window, no sort of a hot author."""
     keyed = authors.withColumn("author_id", canonical_id("id")).filter(F.col("author_id").isNotNull())
     order = F.struct(F.coalesce(F.unix_micros("received_at"), F.lit(-(1 << 62))).alias("t"), (-F.col("author_seq")).alias("s"))
-    kept = keyed.groupBy("author_id").agg(F.max_by(F.struct(handle("handle").alias("handle"), "display_name", "follower_count", "verified", "received_at"), order).alias("a"))
+    kept = keyed.groupBy("author_id").agg(F.max_by(F.struct(handle("handle").alias("handle"), "display_name", "follower_count", "following_count", "verified", "created_at", "received_at"), order).alias("a"))
     return kept.select("author_id", "a.*")
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plover.functions.ids import canonical_id
 from plover.operators.drift import json_object
+from plover.operators.prefix import running
 
 FIRST_MS = 1136073600000
 AHEAD_MS = 5 * 60000
@@ -175,12 +176,10 @@ def decode_loose(lines: DataFrame, line: str) -> DataFrame:
 
 
 def upsert_actions(rows: DataFrame, key: str, seq: str, at: str) -> DataFrame:
-    """Per row, in order of ``seq``: inserted, updated (strictly newer than all before) or skipped."""
-    before = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    newest = F.max(at).over(before)
-    first = F.row_number().over(Window.partitionBy(key).orderBy(seq)) == 1
-    action = F.when(first, "inserted").when(F.col(at) > F.coalesce(newest, F.lit(-(1 << 62))), "updated").otherwise("skipped")
-    return rows.withColumn("action", action)
+    """Per row, in order of ``seq``: inserted, updated (strictly newer than all before) or skipped. A key may hold any share of the rows."""
+    before = running(rows, [key], [seq], {"_n": ("sum", F.lit(1)), "_newest": ("max", F.col(at))})
+    action = F.when(F.col("_n") == 0, "inserted").when(F.col("_newest").isNull() & F.col(at).isNotNull() | (F.col(at) > F.col("_newest")), "updated").otherwise("skipped")
+    return before.withColumn("action", action).drop("_n", "_newest")
 
 
 def latest_by(rows: DataFrame, key: str, at: str, seq: str, columns: list[str]) -> DataFrame:
@@ -193,14 +192,15 @@ def latest_by(rows: DataFrame, key: str, at: str, seq: str, columns: list[str])
 def dedup_with_refresh(rows: DataFrame, key: str, seq: str, text: str, at: str) -> DataFrame:
     """Per row: first, conflict (another text than the first), refreshed (newer than all agreeing rows before) or duplicate.
 
-    A conflicting row counts for nothing: it neither refreshes nor moves the newest time.
+    A conflicting row counts for nothing: it neither refreshes nor moves the newest time. The first text of a key is one
+    aggregate, the newest time before a row a running maximum: a key may hold any share of the rows.
     """
-    by = Window.partitionBy(key).orderBy(seq)
-    same = F.coalesce(F.col(text), F.lit("")) == F.first(F.coalesce(F.col(text), F.lit(""))).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    marked = rows.withColumn("_same", same).withColumn("_n", F.row_number().over(by))
-    newest = F.max(F.when(F.col("_same"), F.col(at))).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    outcome = F.when(F.col("_n") == 1, "first").when(~F.col("_same"), "conflict").when(F.col(at) > newest, "refreshed").otherwise("duplicate")
-    return marked.withColumn("outcome", outcome).drop("_same", "_n")
+    said = F.coalesce(F.col(text), F.lit(""))
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min(seq).alias("_first"), F.min_by(F.sha2(said, 256), seq).alias("_said"))
+    joined = rows.join(first, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").withColumn("_same", F.sha2(said, 256) == F.col("_said"))
+    before = running(joined.drop("_said"), [key], [seq], {"_newest": ("max", F.when(F.col("_same"), F.col(at)))})
+    outcome = F.when(F.col(seq) == F.col("_first"), "first").when(~F.col("_same"), "conflict").when(F.col(at) > F.col("_newest"), "refreshed").otherwise("duplicate")
+    return before.withColumn("outcome", outcome).drop("_same", "_first", "_newest")
 
 
 def vote_totals(votes: DataFrame) -> DataFrame:

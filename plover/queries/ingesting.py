@@ -9,9 +9,11 @@ from plover.functions.ids import canonical_id, canonical_uuid
 from plover.operators import authors as A
 from plover.operators import collect as C
 from plover.operators import graph, ingest, vectors
+from plover.operators import normalize as N
 from plover.operators import posts as P
 from plover.operators.drift import json_object
-from plover.queries.store import NOW, posts, timed_ingress
+from plover.operators.prefix import running
+from plover.queries.store import NOW, latest_authors, posts, timed_ingress
 from plover.queries.sqlparts import AUTHORS, ENGAGEMENT, POSTS, RECENCY, bucket, canon, q
 from plover.sources.tables import table
 
@@ -291,6 +293,47 @@ def rejection_codes(spark, d):
     return table(spark, d, "ingress").select("ingress_seq", F.explode(C.rejection_reasons(tests)).alias("reason"))
 
 
+_RUN = f"""{POSTS}, {AUTHORS}, full_authors AS (SELECT {canon('id')} AS author_id, following_count, created_at AS joined FROM authors WHERE {canon('id')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {canon('id')} ORDER BY received_at DESC NULLS LAST, author_seq) = 1),
+run AS (SELECT k.ingress_seq, feed_id, post_id, text, created_ms, epoch_ms(k.received_at) AS seen_at, {canon('k.author_id')} AS aid, line_no, source_file, quoted_tweet_id IS NOT NULL AS q,
+ list_filter([CASE WHEN post_id IS NULL THEN 'missing_tweet_id' END, CASE WHEN trim(coalesce(text, ''), ' ') = '' THEN 'empty_text' END, CASE WHEN created_ms IS NULL THEN 'invalid_created_at' END,
+  CASE WHEN metrics.likes IS NULL OR metrics.retweets IS NULL OR metrics.quotes IS NULL OR metrics.replies IS NULL OR metrics.likes < 0 OR metrics.retweets < 0 OR metrics.quotes < 0 OR metrics.replies < 0 THEN 'missing_metric' END,
+  CASE WHEN len(list_filter(coalesce(media, []), lambda m: m.url IS NULL OR trim(m.url, ' ') = '' OR coalesce(m.type, '') NOT IN ('image', 'video', 'gif'))) > 0 THEN 'invalid_media' END,
+  CASE WHEN a.author_id IS NULL THEN 'missing_author' END, CASE WHEN a.author_id IS NOT NULL AND coalesce(trim(handle, ' '), '') = '' THEN 'missing_author_handle' END,
+  CASE WHEN a.author_id IS NOT NULL AND coalesce(trim(display_name, ' '), '') = '' THEN 'missing_author_display_name' END, CASE WHEN a.author_id IS NOT NULL AND (follower_count IS NULL OR following_count IS NULL) THEN 'missing_author_counts' END,
+  CASE WHEN a.author_id IS NOT NULL AND joined IS NULL THEN 'missing_author_created_at' END, CASE WHEN a.author_id IS NOT NULL AND verified IS NULL THEN 'missing_author_verification' END], lambda x: x IS NOT NULL) AS reasons
+ FROM keyed k LEFT JOIN latest_authors a ON {canon('k.author_id')} = a.author_id LEFT JOIN full_authors f ON {canon('k.author_id')} = f.author_id),
+good AS (SELECT *, row_number() OVER (ORDER BY feed_id, source_file, line_no, ingress_seq) AS seq FROM run WHERE len(reasons) = 0),
+same AS (SELECT *, text = first_value(text) OVER w AS same, row_number() OVER w AS r FROM good WINDOW w AS (PARTITION BY post_id ORDER BY seq)),
+newer AS (SELECT *, max(CASE WHEN same THEN seen_at END) OVER (PARTITION BY post_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM same),
+oc AS (SELECT *, CASE WHEN r = 1 THEN 'first' WHEN NOT same THEN 'conflict' WHEN seen_at > newest THEN 'refreshed' ELSE 'duplicate' END AS outcome FROM newer)"""
+
+
+@query(f"""WITH {_RUN} SELECT 'candidates' AS section, 'timeline' AS key, count(*) AS n FROM run UNION ALL SELECT 'rejected_reason', r, count(*) FROM (SELECT unnest(reasons) AS r FROM run) GROUP BY r
+UNION ALL SELECT 'rejected_reason', 'conflicting_tweet_text', count(*) FROM oc WHERE outcome = 'conflict' HAVING count(*) > 0 UNION ALL SELECT 'rejected', 'timeline', (SELECT count(*) FROM run WHERE len(reasons) > 0) + (SELECT count(*) FROM oc WHERE outcome = 'conflict')
+UNION ALL SELECT 'accepted', 'timeline', count(*) FROM oc WHERE outcome = 'first' UNION ALL SELECT 'author', aid, count(*) FROM oc WHERE outcome = 'first' GROUP BY aid UNION ALL SELECT 'duplicates', outcome, count(*) FROM oc WHERE outcome IN ('refreshed', 'duplicate') GROUP BY outcome
+UNION ALL SELECT 'skipped', '', 0 UNION ALL SELECT 'tombstone_quotes', '', 0 UNION ALL SELECT 'repeated_rows', '', (SELECT count(*) - count(DISTINCT feed_id || ' ' || post_id) FROM good)
+UNION ALL SELECT 'oldest', '', min(created_ms) FROM oc WHERE outcome = 'first' UNION ALL SELECT 'newest', '', max(created_ms) FROM oc WHERE outcome = 'first'""")
+def normalize_run(spark, d):
+    """A whole run over the rows of ingress, written as a provider's pages (a feed is an account, a file a page)."""
+    a = latest_authors(spark, d)
+    person = F.struct(
+        F.col("a_id").alias("id"), F.col("handle").alias("screen_name"), F.col("display_name").alias("name"), F.col("follower_count").alias("followers"), F.col("following_count").alias("following"),
+        F.date_format(F.timestamp_millis("joined"), "EEE MMM dd HH:mm:ss Z yyyy").alias("joined"), F.struct("verified").alias("verification"),
+    )
+    media = F.transform("media", lambda m: F.struct(F.when(m["type"] == "image", "photo").otherwise(m["type"]).alias("type"), m["url"].alias("url")))
+    row = F.struct(
+        F.lit("status").alias("type"), "id", "text", F.col("created_ms").alias("created_timestamp"), "metrics.likes", F.col("metrics.retweets").alias("reposts"), "metrics.quotes", "metrics.replies",
+        F.struct(media.alias("all")).alias("media"), F.when(F.col("a_id").isNotNull(), person).alias("author"),
+    )
+    known = a.select(F.col("author_id").alias("a_id"), "handle", "display_name", "follower_count", "following_count", "verified", F.col("created_at").alias("joined"))
+    rows = timed_ingress(spark, d).join(known, canonical_id("author_id") == F.col("a_id"), "left")
+    pages = rows.select(
+        F.lpad(F.col("feed_id").cast("string"), 4, "0").alias("account"), F.col("source_file").alias("page"), F.unix_millis("received_at").alias("received_at"), F.col("source_file").alias("raw_file"), F.struct("line_no", "ingress_seq").alias("position"), F.to_json(row).alias("row")
+    )
+    accounts = table(spark, d, "feeds").select(F.lpad(F.col("feed_id").cast("string"), 4, "0").alias("account"), F.col("feed_id").alias("place"))
+    return N.normalise_run(pages, accounts, cutoff_ms=ingest.FIRST_MS).counts
+
+
 # ---- reports
 @query("SELECT count(value) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS max FROM events")
 def latency_stats(spark, d):
@@ -302,30 +345,59 @@ def run_report(spark, d):
     return C.latency_report(table(spark, d, "events"), "value", ["event_type"])
 
 
-PAGES = "pages AS (SELECT user_id AS account, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS page, CASE WHEN CAST(props->>'$.k' AS BIGINT) % 3 = 0 THEN 0 ELSE CAST(props->>'$.k' AS BIGINT) END AS n_rows FROM events)"
-OUTCOMES = f"""{PAGES}, m AS (SELECT *, CAST(n_rows = 0 AS INT) AS empty, sum(CAST(n_rows <> 0 AS INT)) OVER (PARTITION BY account ORDER BY page) AS island FROM pages),
+_K = "CAST(props->>'$.k' AS BIGINT)"
+PAGES = f"""pages AS (SELECT user_id AS account, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS page, CASE WHEN {_K} % 3 = 0 THEN 0 ELSE {_K} END AS n_rows,
+ CASE WHEN {_K} % 50 <> 1 THEN concat(event_type, '-', {_K}) END AS cursor, CASE WHEN {_K} % 3 <> 0 THEN epoch_ms(ts) - {_K} * 86400000 END AS authored_ms, CASE WHEN {_K} % 47 = 5 THEN 'provider_error' END AS error FROM events)"""
+PAGES_CUTOFF = 1704067200000
+OUTCOMES = f"""{PAGES}, m AS (SELECT *, CAST(n_rows = 0 AS INT) AS empty, sum(CAST(n_rows <> 0 AS INT)) OVER (PARTITION BY account ORDER BY page) AS island,
+  row_number() OVER (PARTITION BY account, cursor ORDER BY page) > 1 AND cursor IS NOT NULL AS again FROM pages),
 c AS (SELECT *, sum(empty) OVER (PARTITION BY account, island ORDER BY page) AS k FROM m),
-o AS (SELECT account, count(*) AS pages, CAST(min(CASE WHEN empty = 1 AND k >= 3 THEN page END) AS INTEGER) AS stop_page FROM c GROUP BY account),
-outcomes AS (SELECT *, CASE WHEN stop_page IS NULL THEN 'active' ELSE 'completed' END AS outcome FROM o)"""
+e AS (SELECT *, CASE WHEN error IS NOT NULL THEN error WHEN cursor IS NULL OR (empty = 1 AND k >= 3) THEN 'cursor_exhausted' WHEN empty = 1 AND again THEN 'cursor_stalled' WHEN empty = 0 AND authored_ms < {PAGES_CUTOFF} THEN 'history_cutoff' WHEN again THEN 'cursor_stalled' END AS reason FROM c),
+o AS (SELECT account, arg_min(reason, page) FILTER (reason IS NOT NULL) AS reason, CAST(coalesce(min(page) FILTER (reason IS NOT NULL), max(page)) AS BIGINT) AS pages FROM e GROUP BY account),
+outcomes AS (SELECT account, CASE WHEN reason IS NULL THEN 'active' WHEN reason IN ('history_cutoff', 'cursor_exhausted') THEN 'completed' ELSE 'paused' END AS state, reason, pages FROM o)"""
 
 
 def _pages(spark, d):
-    from pyspark.sql import Window
-
+    """Events as fetched pages of their users: no rows where k is divisible by 3, no next cursor or an error for some k."""
     k = F.get_json_object("props", "$.k").cast("long")
-    page = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, d, "events").select(F.col("user_id").alias("account"), page.alias("page"), F.when(k % 3 == 0, 0).otherwise(k).alias("n_rows"))
+    rows = running(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], {"earlier": ("sum", F.lit(1))})
+    return rows.select(
+        F.col("user_id").alias("account"),
+        (F.col("earlier") + 1).alias("page"),
+        F.when(k % 3 == 0, 0).otherwise(k).alias("n_rows"),
+        F.when(k % 50 != 1, F.concat_ws("-", "event_type", k.cast("string"))).alias("cursor"),
+        F.when(k % 3 != 0, F.unix_millis(F.col("ts").cast("timestamp")) - k * 86400000).alias("authored_ms"),
+        F.when(k % 47 == 5, "provider_error").alias("error"),
+    )
 
 
 @query(f"WITH {OUTCOMES} SELECT * FROM outcomes")
 def acquire_outcome(spark, d):
-    """Events as fetched pages of their users; a page with k divisible by 3 counts as empty."""
-    return C.acquisition_outcomes(_pages(spark, d))
+    return C.acquisition_outcomes(_pages(spark, d), cutoff_ms=PAGES_CUTOFF)
 
 
-@query(f"WITH {OUTCOMES} SELECT CASE WHEN bool_or(outcome IN ('pending', 'active', 'paused')) THEN 'in_progress' WHEN bool_and(outcome = 'completed') THEN 'completed' ELSE 'partial' END AS status, count(*) AS accounts FROM outcomes")
+@query(f"WITH {OUTCOMES} SELECT CASE WHEN bool_or(state IN ('pending', 'active', 'paused')) THEN 'in_progress' WHEN bool_and(state = 'completed') THEN 'completed' ELSE 'partial' END AS status, count(*) AS accounts FROM outcomes")
 def acquisition_status(spark, d):
-    return C.run_status(C.acquisition_outcomes(_pages(spark, d)))
+    return C.run_status(C.acquisition_outcomes(_pages(spark, d), cutoff_ms=PAGES_CUTOFF))
+
+
+@query(f"""WITH {OUTCOMES}, p AS (SELECT pages.*, row_number() OVER (PARTITION BY pages.account ORDER BY page DESC) = 1 AND state = 'completed' AS terminal FROM pages JOIN outcomes o ON pages.account = o.account AND page <= o.pages),
+v AS (SELECT (SELECT round(avg(n_rows), 4) FROM p WHERE NOT terminal AND n_rows > 0) AS rows_mean, (SELECT CAST(count(*) FILTER (state = 'paused') AS DOUBLE) FROM outcomes) AS paused, (SELECT quantile_disc(value, 0.95) FROM events) AS p95)
+SELECT 'mean rows per non-terminal page' AS name, rows_mean AS value, '10..40' AS bound, rows_mean BETWEEN 10 AND 40 AS passed FROM v
+UNION ALL SELECT 'p95 latency ms', round(p95, 4), '<= 5000', p95 <= 5000 FROM v UNION ALL SELECT 'paused accounts', paused, '0', paused = 0 FROM v""")
+def run_checks(spark, d):
+    """The thresholds of a run that these tables can tell."""
+    pages = _pages(spark, d)
+    outcomes = C.acquisition_outcomes(pages, cutoff_ms=PAGES_CUTOFF)
+    last = outcomes.select("account", F.col("pages").alias("_last"), "state")
+    counted = pages.join(last, "account").filter((F.col("page") < F.col("_last")) | ((F.col("page") == F.col("_last")) & (F.col("state") != "completed"))).filter("n_rows > 0")
+    mean = counted.agg(F.avg("n_rows")).first()[0]
+    paused = outcomes.filter("state = 'paused'").count()
+    p95 = C.latency_report(table(spark, d, "events"), "value").first()["p95"]
+    known = {"rows_mean": mean, "paused": paused, "latency_p95": p95}
+    names = ["requests", "retries", "latency_mean", "latency_p95", "rows_mean", "timeline", "timeline_rejected", "embedded", "embedded_rejected", "repeated_rows", "paused"]
+    values = spark.range(1).select(*[F.lit(known.get(n)).cast("double").alias(n) for n in names], F.lit(None).cast("string").alias("status"))
+    return C.report_checks(values).filter("name IN ('mean rows per non-terminal page', 'p95 latency ms', 'paused accounts')")
 
 
 @query(f"""WITH {KEYED}, f AS (SELECT post_id, min(ingress_seq) AS first FROM k GROUP BY post_id)
@@ -335,11 +407,23 @@ def probe_page_stats(spark, d):
     return C.page_stats(_keyed(spark, d), "source_file", "post_id", "ingress_seq", missing)
 
 
-@query(f"""WITH {POSTS}, e AS (SELECT author_id AS seed, 'reply' AS kind, reply_to_id AS t FROM posts UNION ALL SELECT author_id, 'quote', quoted_id FROM posts UNION ALL SELECT author_id, 'repost', retweet_of_id FROM posts),
+@query(f"""WITH {POSTS}, {AUTHORS}, e AS (SELECT author_id AS seed, 'reply' AS kind, reply_to_id AS t FROM posts UNION ALL SELECT author_id, 'quote', quoted_id FROM posts UNION ALL SELECT author_id, 'repost', retweet_of_id FROM posts),
 s AS (SELECT seed, kind, p.author_id AS account FROM e JOIN posts p ON e.t = p.post_id WHERE seed <> p.author_id)
-SELECT account, count(DISTINCT seed) AS seeds, count(*) FILTER (kind = 'reply') AS replies, count(*) FILTER (kind = 'quote') AS quotes, count(*) FILTER (kind = 'repost') AS reposts, count(*) AS total FROM s GROUP BY account HAVING count(DISTINCT seed) >= 2""")
+SELECT account, handle, count(DISTINCT seed) AS seeds, array_to_string(list_sort(list(DISTINCT seed))[1:{C.SEEDS_LISTED}], ',') AS seed_list, count(*) FILTER (kind = 'reply') AS replies, count(*) FILTER (kind = 'quote') AS quotes, count(*) FILTER (kind = 'repost') AS reposts, count(*) AS total
+FROM s LEFT JOIN latest_authors ON account = latest_authors.author_id GROUP BY account, handle HAVING count(DISTINCT seed) >= 2""")
 def discover_accounts(spark, d):
-    return C.discover_accounts(posts(spark, d))
+    return C.discover_accounts(posts(spark, d), authors=latest_authors(spark, d))
+
+
+@query(f"""WITH {AUTHORS}, h AS (SELECT {canon('id')} AS author_id, lower(regexp_replace(trim(handle, ' '), '^@', '')) AS handle, author_seq FROM authors),
+learnt AS (SELECT handle, arg_max(author_id, author_seq) AS known FROM h WHERE author_id IS NOT NULL AND handle IS NOT NULL GROUP BY handle),
+n AS (SELECT NULL AS author_id, lower(m) AS handle FROM (SELECT unnest(entities.mentions) AS m FROM ingress) WHERE m IS NOT NULL)
+SELECT coalesce(known, '@' || handle) AS key, count(*) AS mentions FROM n LEFT JOIN learnt USING (handle) GROUP BY ALL""")
+def mention_accounts(spark, d):
+    """How often each account is mentioned, by id where the handle is known."""
+    known = table(spark, d, "authors").select(canonical_id("id").alias("author_id"), A.handle("handle").alias("handle"), F.col("author_seq").alias("seq"))
+    named = table(spark, d, "ingress").select(F.explode("entities.mentions").alias("m")).filter("m IS NOT NULL").select(F.lit(None).cast("string").alias("author_id"), F.lower("m").alias("handle"))
+    return C.resolve_handles(known, named).groupBy("key").agg(F.count(F.lit(1)).alias("mentions"))
 
 
 @query(f"""WITH {EVENTS} SELECT request_id, count(DISTINCT chunk_index) AS received, max(chunk_count) AS expected, min(chunk_count) = max(chunk_count) AS consistent,

@@ -1,4 +1,4 @@
-"""Provider timeline pages: a fixture-backed data source and the mapping of its rows to posts.
+"""Provider timeline pages: a fixture-backed data source; ``operators.normalize`` maps its rows to posts.
 
 There is no network client here: ``PageSource`` reads saved pages (JSON files), one partition per file, and stands where
 a live reader would.
@@ -10,15 +10,10 @@ import json
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from plover.functions.ids import canonical_id
-from plover.operators.collect import rejection_reasons
-from plover.operators.ingest import SECONDS_BELOW
-
-SCHEMA = "account string, page int, received_at long, position int, row string"
+SCHEMA = "account string, page int, received_at long, raw_file string, position int, row string"
 
 
 class PageReader(DataSourceReader):
@@ -31,7 +26,7 @@ class PageReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         page = json.loads(Path(partition.value).read_text("utf-8"))
         for i, row in enumerate(page["results"]):
-            yield page["accountUserId"], int(page["page"]), int(page["receivedAt"]), i, json.dumps(row, ensure_ascii=False)
+            yield page["accountUserId"], int(page["page"]), int(page["receivedAt"]), partition.value, i, json.dumps(row, ensure_ascii=False)
 
 
 class PageSource(DataSource):
@@ -49,58 +44,3 @@ class PageSource(DataSource):
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     spark.dataSource.register(PageSource)
     return spark.read.format("timeline_pages").load(folder)
-
-
-def with_quotes(rows: DataFrame) -> DataFrame:
-    """Timeline rows followed by the post each quotes: origin is timeline or embedded, depth orders a parent before it."""
-    v = rows.withColumn("o", F.expr("try_parse_json(row)"))
-    quoted = F.expr("try_variant_get(o, '$.quote', 'variant')")
-    top = v.select("*", F.lit("timeline").alias("origin"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_id"))
-    inner = v.withColumn("parent_id", F.expr("try_variant_get(o, '$.id', 'string')")).withColumn("o", quoted).filter("o IS NOT NULL AND schema_of_variant(o) <> 'VOID'")
-    return top.unionByName(inner.select("*", F.lit("embedded").alias("origin"), F.lit(1).alias("depth")).select(top.columns))
-
-
-def map_rows(rows: DataFrame) -> DataFrame:
-    """Posts of provider rows with ``reasons``: every rule a row breaks (empty: accepted)."""
-    text = lambda p: F.expr(f"try_variant_get(o, '$.{p}', 'string')")
-    big = lambda p: F.expr(f"try_variant_get(o, '$.{p}', 'bigint')")
-    raw = big("created_timestamp")
-    human = F.unix_millis(F.try_to_timestamp(F.substring(text("created_at"), 5, 40), F.lit("MMM dd HH:mm:ss Z yyyy")))
-    created: Column = F.coalesce(F.when(raw > 0, F.when(raw < SECONDS_BELOW, raw * 1000).otherwise(raw)), human)
-    media = F.expr("try_variant_get(o, '$.media.all', 'array<struct<type: string, url: string>>')")
-    kind = lambda t: F.when(t.isin("photo", "mosaic_photo", "image"), "image").when(t.isin("video", "gif"), t)
-    out = rows.withColumns(
-        {
-            "post_id": canonical_id(text("id")),
-            "text": text("text"),
-            "author_id": canonical_id(text("author.id")),
-            "handle": F.lower(F.regexp_replace(text("author.screen_name"), "^@", "")),
-            "display_name": text("author.name"),
-            "follower_count": big("author.followers"),
-            "verified": F.expr("try_variant_get(o, '$.author.verification.verified', 'boolean')"),
-            "created_ms": created,
-            "likes": big("likes"),
-            "reposts": big("reposts"),
-            "quotes": big("quotes"),
-            "replies": big("replies"),
-            "media": F.transform(media, lambda m: F.struct(kind(m["type"]).alias("type"), m["url"].alias("url"))),
-            "type": text("type"),
-        }
-    )
-    no_author = F.col("author_id").isNull() & F.col("handle").isNull()
-    tests = {
-        "invalid_response_shape": F.col("o").isNull(),
-        "missing_tweet_id": F.col("post_id").isNull(),
-        "empty_text": F.trim(F.coalesce("text", F.lit(""))) == "",
-        "missing_author": no_author,
-        "missing_author_id": ~no_author & F.col("author_id").isNull(),
-        "missing_author_handle": ~no_author & F.col("handle").isNull(),
-        "missing_author_display_name": ~no_author & F.col("display_name").isNull(),
-        "missing_author_counts": ~no_author & F.col("follower_count").isNull(),
-        "missing_author_verification": ~no_author & F.col("verified").isNull(),
-        "invalid_created_at": F.col("created_ms").isNull(),
-        "missing_metric": F.col("likes").isNull() | F.col("reposts").isNull() | F.col("replies").isNull(),
-        "invalid_media": F.exists("media", lambda m: m["type"].isNull() | m["url"].isNull()),
-    }
-    mapped = out.withColumn("reasons", F.when(F.col("type") == "tombstone", F.array(F.lit("tombstone"))).otherwise(rejection_reasons(tests)))
-    return mapped.drop("o", "type", "row")

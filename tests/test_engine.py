@@ -7,7 +7,9 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
+from plover.operators import collect as C
 from plover.operators import graph, ingest
+from plover.operators import normalize as N
 from plover.operators import rank as R
 from plover.plans.engine import SearchEngine
 from plover.sources import ingress, pages
@@ -178,15 +180,77 @@ def test_files(spark, tmp_path):
     assert [r.problem for r in ingress.verify_archive(frozen, ingress.archive_manifest(spark, str(tmp_path / "in"))).collect()] == ["changed"]
 
 
-def test_pages(spark, tmp_path):
-    author = {"id": "7", "screen_name": "@Ann", "name": "Ann", "followers": 3, "verification": {"verified": False}}
-    row = {"type": "status", "id": "11", "text": "hello", "created_timestamp": 1756700000, "likes": 1, "reposts": 0, "replies": 0, "quotes": 0, "author": author, "media": {"all": [{"type": "photo", "url": "https://x.example/1"}]}}
-    results = [{**row, "quote": {**row, "id": "12", "likes": None}}, {**row, "id": "13", "text": "", "author": {}}, {"type": "tombstone", "id": "14"}]
-    (tmp_path / "p1.json").write_text(json.dumps({"accountUserId": "7", "page": 1, "receivedAt": NOW, "results": results}))
-    out = {r.post_id: r for r in pages.map_rows(pages.with_quotes(pages.read_pages(spark, str(tmp_path)))).collect()}
-    assert out["11"].reasons == [] and out["11"].created_ms == 1756700000000 and out["11"].media[0].type == "image" and out["11"].handle == "ann"
-    assert out["12"].reasons == ["missing_metric"] and out["12"].origin == "embedded" and out["12"].parent_id == "11"
-    assert out["13"].reasons == ["empty_text", "missing_author"] and out["14"].reasons == ["tombstone"]
+PERSON = {"id": "100", "screen_name": "@Seed", "name": "Seed", "followers": 3, "following": 2, "joined": "Mon Sep 01 05:05:29 -0700 2014", "verification": {"verified": False}}
+
+
+def status(i, text="hello", **k):
+    base = {"type": "status", "id": str(i), "text": text, "created_timestamp": 1700000000 + i, "likes": 1, "reposts": 0, "replies": 0, "quotes": 0, "author": PERSON, "media": {"all": [{"type": "photo", "url": "https://x.example/1"}] * 2}}
+    return {key: v for key, v in {**base, **k}.items() if v != "gone"}
+
+
+def by_code(run):
+    return {(r.section, r.key): r.n for r in run.counts.collect()}
+
+
+def test_a_run(spark, tmp_path):
+    other = {**PERSON, "id": "300", "screen_name": "Quoted"}
+    old, deep = 1500000000, status(31, author=other, quote=status(32, author={**PERSON, "id": "400"}))
+    pages_ = {
+        ("100", 1, 10): [
+            status(1, quote=status(30, author=other)),
+            status(2, likes="gone"),
+            status(3, text=" ", author={k: v for k, v in PERSON.items() if k != "followers"} | {"verification": {}}),
+            status(4, likes="1"),
+            {"type": "tombstone", "id": "5"},
+            status(6, quote={"type": "tombstone", "id": "60"}, replying_to={"screen_name": "x", "status": "61"}),
+            status(7, created_timestamp=old),
+            status(8, created_timestamp=old, reposted_by={"id": "1"}),
+            status(9, quote=deep),
+        ],
+        ("100", 2, 20): [status(1, likes=9), status(2, text="late"), status(10, media={"all": [{"type": "odd", "url": "u"}]}), status(11, author=None), status(12, author={**PERSON, "joined": "never"})],
+        ("200", 1, 15): [status(1, text="other words"), status(1), status(30, author=other, raw_text={"facets": [{"type": "hashtag", "original": "#a"}, {"type": "hashtag", "original": "#a"}, {"type": "url", "replacement": "r"}]})],
+    }
+    for n, ((account, page, at), results) in enumerate(pages_.items()):
+        (tmp_path / f"p{n}.json").write_text(json.dumps({"accountUserId": account, "page": page, "receivedAt": at, "results": results}))
+    accounts = spark.createDataFrame([("100", 0), ("200", 1)], "account string, place int")
+    run = N.normalise_run(pages.read_pages(spark, str(tmp_path)), accounts, cutoff_ms=1600000000000)
+    n = by_code(run)
+    assert (n["candidates", "timeline"], n["candidates", "embedded"]) == (17, 3)
+    assert (n["accepted", "timeline"], n["accepted", "embedded"]) == (5, 3)
+    reasons = {k[1]: v for k, v in n.items() if k[0] == "rejected_reason"}
+    assert reasons == {"missing_metric": 1, "empty_text": 1, "missing_author_counts": 1, "missing_author_verification": 1, "invalid_response_shape": 2, "invalid_media": 1, "missing_author": 1, "missing_author_created_at": 1, "conflicting_tweet_text": 1}
+    assert (n["skipped", ""], n["tombstone_quotes", ""], n["repeated_rows", ""]) == (1, 1, 2)
+    assert (n["duplicates", "refreshed"], n["duplicates", "duplicate"]) == (2, 1)
+    posts = {r.post_id: r for r in run.posts.collect()}
+    assert (posts["1"].likes, posts["1"].metrics_at, posts["1"].origin, posts["1"].quoted_id) == (9, 20, "timeline", "30")
+    assert posts["30"].origin == "embedded" and posts["32"].author_id == "400" and len(posts["1"].media) == 1 and posts["6"].reply_to_id == "61"
+    assert {r.author_id: r.accepted for r in run.authors.collect()} == {"100": 5, "300": 2, "400": 1}
+    order = [(r.kind, r.id) for r in N.emission(run).collect()]
+    assert order[:4] == [("author", "100"), ("tweet", "1"), ("author", "300"), ("tweet", "30")]
+    assert order.index(("author", "400")) + 1 == order.index(("tweet", "32"))
+    assert run.rejections.filter("candidate_id = '1'").first().account == "200"
+    empty = N.normalise_run(pages.read_pages(spark, str(tmp_path)).limit(0), accounts, cutoff_ms=0)
+    assert empty.posts.count() == 0
+
+
+def test_states_of_accounts(spark):
+    rows = [
+        ("null", 1, 5, None, 9, None),
+        ("empty", 1, 0, "a", None, None), ("empty", 2, 0, "b", None, None), ("empty", 3, 0, "c", None, None), ("empty", 4, 3, "d", 9, None),
+        ("broken run", 1, 0, "a", None, None), ("broken run", 2, 1, "b", 9, None), ("broken run", 3, 0, "c", None, None), ("broken run", 4, 0, "d", None, None),
+        ("stalled", 1, 3, "a", 9, None), ("stalled", 2, 3, "a", 9, None),
+        ("old", 1, 3, "a", 9, None), ("old", 2, 3, "a", 1, None),
+        ("gone", 1, 3, "a", 9, None), ("gone", 2, 0, None, None, "profile_not_found"),
+    ]
+    pages_ = spark.createDataFrame(rows, "account string, page int, n_rows long, cursor string, authored_ms long, error string")
+    accounts = spark.createDataFrame([(a, a == "stalled") for a in {r[0] for r in rows} | {"later"}], "account string, abandoned boolean")
+    got = {r.account: (r.state, r.reason, r.pages) for r in C.acquisition_outcomes(pages_, cutoff_ms=5).collect()}
+    assert got == {
+        "null": ("completed", "cursor_exhausted", 1), "empty": ("completed", "cursor_exhausted", 3), "broken run": ("active", None, 4),
+        "stalled": ("paused", "cursor_stalled", 2), "old": ("completed", "history_cutoff", 2), "gone": ("paused", "profile_not_found", 2),
+    }
+    whole = C.acquisition_outcomes(pages_, accounts, cutoff_ms=5)
+    assert {r.account: r.state for r in whole.collect()}["stalled"] == "abandoned" and C.run_status(whole).first().status == "in_progress"
 
 
 def test_streams_equal_batches(spark, tmp_path):
