@@ -441,25 +441,44 @@ def event_uuids(spark, d):
 ITERATIONS = 8
 
 
-def _pagerank_sql() -> str:
-    base = """e AS (SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_quantity) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL HAVING sum(l_quantity) > 0),
-t AS (SELECT src, sum(w) AS total FROM e GROUP BY src), l AS (SELECT src, dst, w / total AS share FROM e JOIN t USING (src)),
+_EDGES = f"""{POSTS}, {AUTHORS}, links AS (SELECT author_id AS src, quoted_id AS t, 3.0 AS w FROM posts UNION ALL SELECT author_id, retweet_of_id, 2.0 FROM posts UNION ALL SELECT author_id, reply_to_id, 1.5 FROM posts),
+names AS (SELECT handle, min(author_id) AS dst FROM latest_authors WHERE handle IS NOT NULL GROUP BY handle), said AS (SELECT {canon('author_id')} AS src, lower(unnest(entities.mentions)) AS handle FROM ingress),
+every AS (SELECT src, p.author_id AS dst, w FROM links JOIN posts p ON t = p.post_id UNION ALL SELECT src, dst, 1.0 FROM said JOIN names USING (handle)),
+e AS (SELECT src, dst, CAST(sum(w) AS DOUBLE) AS w FROM every WHERE src <> dst GROUP BY ALL)"""
+
+
+def _ranks_sql() -> str:
+    base = f"""{_EDGES}, t AS (SELECT src, sum(w) AS total FROM e GROUP BY src), l AS MATERIALIZED (SELECT src, dst, w / total AS share FROM e JOIN t USING (src)),
 nodes AS (SELECT node, node NOT IN (SELECT src FROM e) AS dangling FROM (SELECT src AS node FROM e UNION SELECT dst FROM e)), k AS (SELECT count(*) AS n FROM nodes),
-r0 AS (SELECT node, dangling, 1.0 / n AS rank FROM nodes, k)"""
+r0 AS MATERIALIZED (SELECT node, dangling, 1.0::DOUBLE / n AS rank FROM nodes, k)"""
     for i in range(ITERATIONS):
         base += f""",
 r{i + 1} AS MATERIALIZED (SELECT r.node, r.dangling, 0.1 / n + 0.9 * (coalesce(g.got, 0) + (SELECT coalesce(sum(rank) FILTER (dangling), 0) FROM r{i}) / n) AS rank
  FROM r{i} r LEFT JOIN (SELECT dst AS node, sum(rank * share) AS got FROM l JOIN r{i} ON src = node GROUP BY dst) g USING (node), k)"""
-    return f"WITH {base} SELECT node, round(rank, 6) AS rank FROM r{ITERATIONS}"
+    return base
+
+
+def _edges(spark, d):
+    mentions = graph.mention_edges(table(spark, d, "ingress").select("author_id", F.col("entities.mentions").alias("mentions")), latest_authors(spark, d))
+    return graph.interaction_edges(posts(spark, d), mentions)
 
 
-@query(_pagerank_sql())
+@query(f"WITH {_EDGES} SELECT src, dst, w FROM e")
+def interaction_edges(spark, d):
+    return _edges(spark, d)
+
+
+@query(f"WITH {_ranks_sql()} SELECT node, round(rank * 1000, 6) AS rank FROM r{ITERATIONS}")
 def pagerank(spark, d):
-    """Trade between nations: who buys from whom, weighted by quantity."""
-    t = lambda n: table(spark, d, n)
-    buys = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    edges = buys.groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.sum("l_quantity").alias("w"))
-    return graph.pagerank(edges, ITERATIONS, stop=0.0).select("node", F.round("rank", 6).alias("rank"))
+    """Rank of authors by who quotes, reposts, answers and mentions them; in thousandths, after a fixed number of rounds."""
+    return graph.pagerank(_edges(spark, d), ITERATIONS, stop=0.0).select("node", F.round(F.col("rank") * 1000, 6).alias("rank"))
+
+
+@query(f"""WITH {_ranks_sql()}, f AS (SELECT {canon('id')} AS node, follower_count, following_count FROM authors WHERE {canon('id')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {canon('id')} ORDER BY received_at DESC NULLS LAST, author_seq) = 1)
+SELECT node, round(rank * 1000 * coalesce(least(greatest(follower_count::DOUBLE / greatest(following_count, 1), 0.1), 1.0), 1.0), 6) AS authority FROM r{ITERATIONS} LEFT JOIN f USING (node)""")
+def author_authority(spark, d):
+    known = latest_authors(spark, d).select(F.col("author_id").alias("node"), "follower_count", "following_count")
+    return graph.authority(graph.pagerank(_edges(spark, d), ITERATIONS, stop=0.0), known).select("node", F.round(F.col("authority") * 1000, 6).alias("authority"))
 
 
 @query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS c FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
