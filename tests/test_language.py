@@ -126,7 +126,14 @@ def test_repair():
 
 
 def test_posting_cap(spark):
-    df = spark.createDataFrame([("p", str(i), 1) for i in range(5)], "post_id string, term string, tf long")
-    assert I.check_posting_cap(df, 5).count() == 1
-    with pytest.raises(Exception, match="too many postings"):
-        I.check_posting_cap(df, 4).collect()
+    df = spark.createDataFrame([("p", ["a", "b", "c"])], "post_id string, present array<string>")
+    I.check_posting_cap(df, 3)
+    with pytest.raises(ValueError, match="more than 2 postings"):
+        I.check_posting_cap(df, 2)
+
+
+def test_notes_tell_what_became_of_the_words():
+    q = parse("cheap laptop vs tablet not mac last week from:ann", NOW, {"ann": "7"}.get)
+    assert q.consumed["cheap"] == "soft" and q.consumed["vs"] == "glue" and q.consumed["not mac"] == "negation" and q.consumed["last week"] == "time"
+    assert q.consumed["from:ann"] == "author" and parse("sort:latest x", NOW).consumed == {"sort:latest": "sort"}
+    assert parse("sort:oddly x", NOW).consumed == {}
