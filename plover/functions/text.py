@@ -165,6 +165,12 @@ def has_phrase(tokens_all: Column, phrase: list[str]) -> Column:
     return F.exists(starts, lambda i: F.slice(tokens_all, i, F.lit(len(phrase))) == wanted)
 
 
+def highlighted(text: Column, terms: list[str], mark: tuple[str, str] = ("[", "]")) -> Column:
+    """The text with every whole-word occurrence of the terms marked; longer terms first, case ignored."""
+    words = "|".join(re.escape(t) for t in sorted(set(terms), key=lambda t: (-len(t), t)))
+    return F.regexp_replace(text, rf"(?iu)(?<![\p{{L}}\p{{N}}])({words})(?![\p{{L}}\p{{N}}])", f"{mark[0]}$1{mark[1]}") if words else text
+
+
 # ---- the same tokenizer for one string (query side)
 def _for_re(pattern: str) -> str:
     return re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", pattern)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -231,24 +232,43 @@ def ordered_fold(rows: DataFrame, key: list[str], order: list[str], schema: str,
     return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
 
 
+@dataclass
+class Voter:
+    """A voter's standing votes and the window their writes are counted in."""
+
+    standing: dict[str, int] = field(default_factory=dict)
+    opened: int | None = None
+    n: int = 0
+
+    def cast(self, subject: str, vote: int, at_s: int, limit: int = VOTES_PER_WINDOW, window_s: int = WINDOW_S) -> bool:
+        """Whether a vote gets through. A repeat of the standing vote changes nothing and is free; a window opens with the
+        first write and lasts ``window_s``."""
+        if self.standing.get(subject) == vote:
+            return True
+        if self.opened is None or at_s - self.opened >= window_s:
+            self.opened, self.n = at_s, 0
+        if self.n >= limit:
+            return False
+        self.n += 1
+        self.standing[subject] = vote
+        return True
+
+
+def vote_subject(votes: DataFrame) -> Column:
+    """What a vote is on: a post under a query, or a post alone."""
+    return F.concat_ws("|", *[F.col(c).cast("string") for c in ("query_key", "post_id") if c in votes.columns])
+
+
 def rate_limited_votes(votes: DataFrame, limit: int = VOTES_PER_WINDOW, window_s: int = WINDOW_S) -> DataFrame:
-    """voter, seq, accepted. A window opens with the first write and lasts ``window_s``; repeats of the standing vote are free.
+    """voter, seq, accepted. votes: voter, post_id (and query_key), vote, at_s (seconds), seq. A voter's votes are sequential by
+    nature: they stream in order through one task, which keeps their standing votes."""
 
-    votes: voter, post_id, vote, at_s (seconds), seq.
-    """
+    def step(voter: Voter, row) -> tuple[Voter, tuple]:
+        ok = voter.cast(row.subject, row.vote, row.at_s, limit, window_s)
+        return voter, (row.voter, row.seq, ok)
 
-    def step(state: dict, row) -> tuple[dict, tuple]:
-        if state["votes"].get(row.post_id) == row.vote:
-            return state, (row.voter, row.seq, True)
-        if state["opened"] is None or row.at_s - state["opened"] >= window_s:
-            state["opened"], state["n"] = row.at_s, 0
-        ok = state["n"] < limit
-        if ok:
-            state["n"] += 1
-            state["votes"][row.post_id] = row.vote
-        return state, (row.voter, row.seq, ok)
-
-    return ordered_fold(votes, ["voter"], ["at_s", "seq"], "voter long, seq long, accepted boolean", lambda: {"opened": None, "n": 0, "votes": {}}, step)
+    rows = votes.select("voter", vote_subject(votes).alias("subject"), "vote", "at_s", "seq")
+    return ordered_fold(rows, ["voter"], ["at_s", "seq"], "voter long, seq long, accepted boolean", Voter, step)
 
 
 def ledger(snapshots: DataFrame) -> DataFrame:

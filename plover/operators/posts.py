@@ -95,3 +95,20 @@ def static_scores(posts: DataFrame) -> DataFrame:
     out = scored.select("post_id", engagement().alias("engagement"), "boost", static_recency().alias("recency"))
     total = F.col("engagement") + F.col("boost") + F.col("recency")
     return out.withColumn("static_score", total).withColumn("bucket", score_bucket(total))
+
+
+#: Ages at which a young post's metrics are read again, in hours.
+RECRAWL_HOURS = (1, 6, 24, 48)
+
+
+def recrawl_due(posts: DataFrame, now_ms: int) -> DataFrame:
+    """post_id, due_ms of posts whose metrics are older than the last age they should have been read again at."""
+    age = [F.when(F.col("created_ms") + h * 3600000 <= now_ms, F.col("created_ms") + h * 3600000) for h in RECRAWL_HOURS]
+    due = F.greatest(*age)
+    young = F.col("created_ms") > now_ms - (RECRAWL_HOURS[-1] + 24) * 3600000
+    return posts.filter(young).select("post_id", due.alias("due_ms"), "metrics_at").filter(F.coalesce(F.col("metrics_at") < F.col("due_ms"), F.col("due_ms").isNotNull())).select("post_id", "due_ms")
+
+
+def sample_posts(posts: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` posts drawn by a seed: those whose seeded hash is lowest, the same ones whatever the order or layout of the rows."""
+    return posts.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("post_id"))), "post_id").limit(n)

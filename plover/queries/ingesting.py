@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plover.functions.ids import canonical_id, canonical_uuid
 from plover.operators import authors as A
 from plover.operators import collect as C
+from plover.operators import events as E
 from plover.operators import graph, ingest, vectors
 from plover.operators import normalize as N
 from plover.operators import posts as P
@@ -107,19 +108,33 @@ def _events(spark, d):
     )
 
 
-@query(f"""WITH {EVENTS} SELECT CASE WHEN version IS NULL OR version <> 1 THEN 'bad_version' WHEN request_id IS NULL THEN 'missing_request' WHEN NOT regexp_matches(lower(coalesce(uuid, '')), '[0-9a-f]{{8}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{12}}') THEN 'bad_uuid'
- WHEN NOT coalesce(chunk_index >= 0 AND chunk_index < chunk_count, false) THEN 'bad_chunk' WHEN NOT regexp_matches(captured_at, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T.*Z$') THEN 'bad_time' ELSE 'ok' END AS reason, count(*) AS n FROM ev GROUP BY 1""")
+_INT = "coalesce(json_type(o, '$.{0}') IN ('UBIGINT', 'BIGINT'), false)"
+_STR = "coalesce(json_type(o, '$.{0}') = 'VARCHAR', false)"
+_GATED = f"""{EVENTS}, gated AS (SELECT ev.event_seq, o, CASE WHEN event_name IS DISTINCT FROM {q(E.EVENT)} THEN 'ignored'
+ WHEN NOT ({_INT.format('archive_schema_version')} AND coalesce(version = 1, false)) THEN 'unsupported_schema'
+ WHEN NOT ({_STR.format('request_id')} AND regexp_full_match(request_id, '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}')) THEN 'invalid_request_id'
+ WHEN NOT ({_INT.format('http_status')} AND coalesce(CAST(o->>'$.http_status' AS BIGINT) = 200 AND resource IN ('tweet', 'profile', 'search', 'followers', 'following'), false)) THEN 'invalid_status_or_resource'
+ WHEN NOT ({_STR.format('source')} AND coalesce(json_type(o, '$.degraded') = 'BOOLEAN', false)) THEN 'invalid_source_or_degraded'
+ WHEN NOT (json_type(o, '$.cache') IS NULL OR json_type(o, '$.cache') = 'VARCHAR') THEN 'invalid_cache'
+ WHEN NOT (json_type(o, '$.warnings') IS NULL OR (json_type(o, '$.warnings') = 'ARRAY' AND len(list_filter(json_extract(o, '$.warnings[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0)) THEN 'invalid_warnings'
+ WHEN NOT ({_INT.format('chunk_count')} AND {_INT.format('chunk_index')} AND coalesce(chunk_count > 0 AND chunk_index >= 0 AND chunk_index < chunk_count, false)) THEN 'invalid_chunk'
+ WHEN NOT ({_STR.format('captured_at')} AND regexp_matches(captured_at, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T') AND TRY_CAST(captured_at AS TIMESTAMPTZ) IS NOT NULL) THEN 'invalid_captured_at'
+ WHEN strlen(properties) >= 200000 THEN 'oversized' WHEN NOT coalesce(json_type(o, '$.payload') = 'OBJECT' AND json_type(o, '$.payload.posts') = 'ARRAY' AND json_type(o, '$.payload.users') = 'ARRAY', false) THEN 'invalid_payload' ELSE 'ok' END AS reason
+ FROM ev JOIN capture_events c ON c.event_seq = ev.event_seq)"""
+
+
+@query(f"WITH {_GATED} SELECT event_seq, reason FROM gated")
 def event_gate(spark, d):
-    hexes = "[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}"
-    reason = (
-        F.when(F.coalesce(F.col("version"), F.lit(0)) != 1, "bad_version")
-        .when(F.col("request_id").isNull(), "missing_request")
-        .when(~F.lower(F.coalesce("uuid", F.lit(""))).rlike(hexes), "bad_uuid")
-        .when(~F.coalesce((F.col("chunk_index") >= 0) & (F.col("chunk_index") < F.col("chunk_count")), F.lit(False)), "bad_chunk")
-        .when(~F.col("captured_at").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T.*Z$"), "bad_time")
-        .otherwise("ok")
-    )
-    return _events(spark, d).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return E.gated(table(spark, d, "capture_events"), "event_name", "properties").select("event_seq", "reason")
+
+
+@query(f"""WITH {_GATED}, p AS (SELECT event_seq, unnest(json_extract(o, '$.payload.posts[*]')) AS v, unnest(range(0, len(json_extract(o, '$.payload.posts[*]')))) AS i FROM gated WHERE reason = 'ok')
+SELECT event_seq AS seq, 'posts[' || i || ']' AS location, 'tweet' AS kind, {canon("(v->>'$.id')")} AS record_id,
+ CASE WHEN {canon("(v->>'$.id')")} IS NULL THEN 'id' WHEN coalesce(v->>'$.text', '') = '' THEN 'text' WHEN {canon("(v->>'$.author.id')")} IS NULL THEN 'author' ELSE 'other' END AS issue FROM p""")
+def event_records(spark, d):
+    """Posts and authors staged from the payloads of good events, with what keeps them out. The tables' posts have no authors."""
+    good = E.gated(table(spark, d, "capture_events"), "event_name", "properties").filter("reason = 'ok'")
+    return E.staged(good, "event_seq")
 
 
 @query(f"WITH {EVENTS} SELECT resource, source, count(*) AS n, CAST(sum(chunk_count) AS BIGINT) AS chunks FROM ev GROUP BY ALL")
@@ -127,15 +142,17 @@ def event_props(spark, d):
     return _events(spark, d).groupBy("resource", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("chunk_count").alias("chunks"))
 
 
-@query("SELECT item_id AS root, CAST(i AS INTEGER) AS depth, item_id || '-' || i AS post_id FROM eval_items, range(0, 5) t(i) WHERE i <= item_id % 5")
+@query(f"""WITH {POSTS}, one AS (SELECT a.post_id AS root, a.quoted_id AS next FROM posts a WHERE a.quoted_id IS NOT NULL), two AS (SELECT root, p.post_id, p.quoted_id AS next FROM one JOIN posts p ON next = p.post_id)
+SELECT root, 0 AS depth, root AS post_id FROM one UNION ALL SELECT root, 1, post_id FROM two UNION ALL SELECT root, 2, p.post_id FROM two JOIN posts p ON two.next = p.post_id""")
 def quote_unnest(spark, d):
-    """Posts that quote posts that quote posts: made of the items' ids, up to four deep."""
-    items = table(spark, d, "eval_items").select("item_id")
-    text = F.lit("")
-    for i in range(4, -1, -1):
-        inner = F.concat(F.lit('{"id":"'), F.col("item_id"), F.lit(f'-{i}"'), F.when(text == "", "").otherwise(F.concat(F.lit(',"quote":'), text)), F.lit("}"))
-        text = F.when(F.col("item_id") % 5 >= i, inner).otherwise(F.lit(""))
-    return ingest.unnest_quotes(items.withColumn("line", text), "item_id", "line")
+    """Posts that quote, with what they quote nested two deep as a provider would send it, taken apart again."""
+    p = posts(spark, d)
+    plain = F.struct(F.col("post_id").alias("id"), "text")
+    inner = p.select(F.col("post_id").alias("k2"), plain.alias("v2"))
+    middle = p.join(inner, F.col("quoted_id") == F.col("k2"), "left").select(F.col("post_id").alias("k1"), F.struct(F.col("post_id").alias("id"), "text", F.col("v2").alias("quote")).alias("v1"))
+    whole = p.filter("quoted_id IS NOT NULL").join(middle, F.col("quoted_id") == F.col("k1"), "left")
+    lines = whole.select(F.col("post_id").alias("root"), F.to_json(F.struct(F.col("post_id").alias("id"), "text", F.col("v1").alias("quote"))).alias("line"))
+    return ingest.unnest_quotes(lines, "root", "line")
 
 
 @query("SELECT ingress_seq, epoch_ms(strptime(created_at, '%a %b %d %H:%M:%S %z %Y')) AS epoch_ms FROM ingress WHERE regexp_matches(created_at, '^[A-Z][a-z]{2} [A-Z][a-z]{2} [0-9]{2} [0-9:]{8} [+-][0-9]{4} [0-9]{4}$')")

@@ -447,3 +447,22 @@ def baseline_search(spark, d):
 @query(_lane_sql(["security", "leaks"], 50))
 def bm25_second_lane(spark, d):
     return S.second_lane(analysed(spark, d), MUST, 50).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {POSTS} SELECT post_id, regexp_replace(text, '(?i)\\b(security|leaks)\\b', '[\\1]', 'g') AS marked FROM posts WHERE regexp_matches(text, '(?i)\\b(security|leaks)\\b')")
+def highlight_terms(spark, d):
+    marked = X.highlighted(F.col("text"), MUST)
+    return posts(spark, d).select("post_id", "text", marked.alias("marked")).filter(F.col("marked") != F.col("text")).select("post_id", "marked")
+
+
+_DUE = "greatest(" + ", ".join(f"CASE WHEN created_ms + {h * 3600000} <= {NOW} THEN created_ms + {h * 3600000} END" for h in P.RECRAWL_HOURS) + ")"
+
+
+@query(f"WITH {POSTS} SELECT post_id, {_DUE} AS due_ms FROM posts WHERE created_ms > {NOW} - 72 * 3600000 AND metrics_at < {_DUE}")
+def recrawl_due(spark, d):
+    return P.recrawl_due(posts(spark, d), NOW)
+
+
+@query(f"WITH {POSTS} SELECT post_id FROM posts ORDER BY md5('7:' || post_id), post_id LIMIT 100")
+def corpus_sample(spark, d):
+    return P.sample_posts(posts(spark, d), 100, 7).select("post_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plover.operators import index as I
-from plover.operators.ingest import VOTES_PER_WINDOW, WINDOW_S, decode_ingress
+from plover.operators.ingest import VOTES_PER_WINDOW, WINDOW_S, Voter, decode_ingress, vote_subject
 
 
 def follow_lines(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -19,13 +20,20 @@ def follow_lines(spark: SparkSession, folder: str, files_per_trigger: int = 100)
 
 
 def index_stream(posts: DataFrame, path: str, checkpoint: str):
-    """Append the postings of arriving posts (columns of operators.posts, unique ids) to the index at ``path``.
+    """Append the postings of arriving posts (columns of operators.posts) to the index at ``path``; posts that other batches
+    have indexed are known and left out, of repeats within a batch the first counts.
 
     Each micro-batch writes its own folder and replaces it when it is retried, so a batch is never indexed twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        I.build_postings(batch).repartition("term").sortWithinPartitions("term", F.desc("bucket")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        once = batch.groupBy("post_id").agg(F.min_by(F.struct(*batch.columns), "ingress_seq").alias("r")).select("r.*")
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+            known = spark.read.schema("post_id string, batch int").parquet(path).filter(F.col("batch") != number).select("post_id").distinct()
+            once = once.join(known, "post_id", "left_anti")
+        I.sorted_postings(I.build_postings(once)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return posts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
@@ -62,30 +70,36 @@ def latest_metrics(snapshots: DataFrame) -> DataFrame:
 
 
 def rate_limited_votes(votes: DataFrame, limit: int = VOTES_PER_WINDOW, window_s: int = WINDOW_S) -> DataFrame:
-    """voter, accepted, rejected per voter and micro-batch; a voter's window lives in the state.
+    """voter, accepted, rejected per voter and micro-batch, by the rules of the batch form; a voter's window and standing votes
+    live in the state.
 
-    votes: voter long, post_id long, vote int, at_s long, seq long.
+    votes: voter long, post_id (and query_key), vote int, at_s long, seq long.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, n = state.get if state.exists else (-(1 << 40), 0)
-        yes = no = 0
-        for batch in batches:
-            for at in batch.sort_values(["at_s", "seq"])["at_s"]:
-                if at - opened >= window_s:
-                    opened, n = int(at), 0
-                if n < limit:
-                    n, yes = n + 1, yes + 1
-                else:
-                    no += 1
-        state.update((opened, n))
-        yield pd.DataFrame({"voter": [key[0]], "accepted": [yes], "rejected": [no]})
-
-    return votes.groupBy("voter").applyInPandasWithState(
-        update, "voter long, accepted long, rejected long", "opened long, n long", "update", GroupStateTimeout.NoTimeout
+        opened, n, standing = state.get if state.exists else (None, 0, "{}")
+        voter = Voter(json.loads(standing), opened, n)
+        rows = pd.concat(list(batches)).sort_values(["at_s", "seq"])
+        kept = [voter.cast(s, int(v), int(at), limit, window_s) for s, v, at in zip(rows["subject"], rows["vote"], rows["at_s"], strict=True)]
+        state.update((voter.opened, voter.n, json.dumps(voter.standing)))
+        yield pd.DataFrame({"voter": [key[0]], "accepted": [sum(kept)], "rejected": [len(kept) - sum(kept)]})
+
+    rows = votes.select("voter", vote_subject(votes).alias("subject"), "vote", "at_s", "seq")
+    return rows.groupBy("voter").applyInPandasWithState(
+        update, "voter long, accepted long, rejected long", "opened long, n long, standing string", "update", GroupStateTimeout.NoTimeout
     )
 
 
+def vote_totals(votes: DataFrame) -> DataFrame:
+    """query_key, post_id, voter, vote: each voter's live vote, kept up to date (update mode); ``ingest.vote_totals`` sums them."""
+    return votes.filter(F.col("voter").isNotNull()).groupBy("query_key", "post_id", "voter").agg(F.max_by("vote", "seq").alias("vote"))
+
+
 def chunk_progress(events: DataFrame) -> DataFrame:
-    """request_id, received, expected as chunks arrive over several exports (request_id, chunk_index, chunk_count)."""
-    return events.groupBy("request_id").agg(F.approx_count_distinct("chunk_index", 0.01).alias("received"), F.max("chunk_count").alias("expected"))
+    """request_id, received, expected, consistent, complete as chunks arrive over several exports (request_id, chunk_index,
+    chunk_count). The indices seen are kept exactly: at most as many as a request has chunks."""
+    seen = events.filter(F.col("request_id").isNotNull()).groupBy("request_id")
+    out = seen.agg(F.collect_set("chunk_index").alias("seen"), F.min("chunk_count").alias("least"), F.max("chunk_count").alias("expected"))
+    same = F.col("least") == F.col("expected")
+    received = F.size("seen")
+    return out.select("request_id", received.cast("long").alias("received"), "expected", same.alias("consistent"), (same & (received == F.col("expected"))).alias("complete"))

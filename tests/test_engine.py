@@ -8,11 +8,11 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from plover.operators import collect as C
-from plover.operators import graph, ingest
+from plover.operators import events, graph, ingest
 from plover.operators import normalize as N
 from plover.operators import rank as R
 from plover.plans.engine import SearchEngine
-from plover.sources import ingress, pages
+from plover.sources import config, ingress, pages
 from plover.streaming import live
 
 NOW = 1788782400000
@@ -276,6 +276,74 @@ def test_index_stream(spark, tmp_path):
     q = live.index_stream(stream, str(tmp_path / "index"), str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "index")).filter("term = 'apple'").count() == 4
+    spark.createDataFrame(rows[:2], SHAPE).write.mode("append").parquet(str(tmp_path / "src"))  # known posts again
+    q = live.index_stream(stream, str(tmp_path / "index"), str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "index")).filter("term = 'apple'").count() == 4
+
+
+def test_streams_of_votes_and_chunks(spark, tmp_path):
+    votes = [(1, i % 4, 1, i // 3, i) for i in range(8)] + [(1, 9, 1, 70, 8), (2, 1, -1, 0, 9), (1, 0, -1, 71, 10)]
+    shape = "voter long, post_id long, vote int, at_s long, seq long"
+    chunks = [("r", 0, 3), ("r", 0, 3), ("r", 2, 3), ("s", 0, 1), ("t", 0, 2), ("t", 1, 3), ("r", 1, 3)]
+    for name, rows, of in (("v", votes, shape), ("c", chunks, "request_id string, chunk_index long, chunk_count long")):
+        for part in (rows[:6], rows[6:]):
+            spark.createDataFrame(part, of).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    read = lambda name, of: spark.readStream.schema(of).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    run = lambda df, mode, name: df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}_c")).trigger(availableNow=True).start().awaitTermination(120)
+    run(live.rate_limited_votes(read("v", shape), limit=3), "update", "limited")
+    got = {r.voter: (r.a, r.r) for r in spark.sql("select voter, sum(accepted) a, sum(rejected) r from limited group by voter").collect()}
+    batch = ingest.rate_limited_votes(spark.createDataFrame(votes, shape), limit=3).groupBy("voter").agg(F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r"))
+    assert got == {r.voter: (r.a, r.r) for r in batch.collect()} and got[1][0] > 3
+    run(live.chunk_progress(read("c", "request_id string, chunk_index long, chunk_count long")), "complete", "chunks")
+    assert {r.request_id: (r.received, r.consistent, r.complete) for r in spark.table("chunks").collect()} == {"r": (3, True, True), "s": (1, True, True), "t": (2, False, False)}
+
+
+def test_staged_events(spark):
+    ann = {"id": "1", "screen_name": "ann", "name": "Ann", "followers": 1, "following": 1, "verification": {"verified": True}, "joined": "2020-01-01T00:00:00Z"}
+    good = {"id": "5", "text": "hi", "author": ann, "created_timestamp": 1756700000, "likes": 1, "reposts": 1, "quotes": 0, "replies": 0}
+    video = {**good, "id": "6", "media": {"videos": [{"variants": [{"url": "http://no"}, {"url": "https://v.example/a?b"}]}], "photos": [{"type": "photo", "url": "https://p.example/1"}]}}
+    deep = good
+    for i in range(40):
+        deep = {"id": str(100 + i), "quote": deep}
+    payload = {"posts": [{**good, "quote": video}, {**good, "media": {"all": [{"type": "odd", "url": "https://x.example/"}]}}, deep], "users": [ann, {**ann, "followers": -1}], "profile": {}}
+    df = spark.createDataFrame([(1, json.dumps({"payload": payload}))], "seq long, line string").withColumn("o", F.expr("try_parse_json(line)"))
+    got = {r.location: (r.kind, r.record_id, r.issue) for r in events.staged(df, "seq").collect()}
+    assert got["posts[0]"] == ("tweet", "5", None) and got["posts[0].quote"] == ("tweet", "6", None) and got["posts[0].quote.author"] == ("author", "1", None)
+    assert got["posts[1]"][2] == "media" and got["users[1]"][2] == "followers" and got["profile"][2] == "id" and got["users[0]"][2] is None
+    assert got["posts[2]" + ".quote" * 32][2] == "text" and got["posts[2]" + ".quote" * 33][2] == "too_deep" and "posts[2]" + ".quote" * 34 not in got
+    kinds = df.select(events.media_items("o").alias("m")).first().m
+    assert kinds == []
+
+
+def test_batches_on_disk(spark, tmp_path):
+    rows = [tuple(post(i, f"word{i} apple")[c.split()[0]] for c in SHAPE.split(", ")) for i in range(5)]
+    df = spark.createDataFrame(rows, SHAPE)
+    assert ingress.stage_batches(df, str(tmp_path / "b"), 2) == 3
+    with pytest.raises(Exception, match="exists"):
+        ingress.stage_batches(df, str(tmp_path / "b"), 2)
+    e = SearchEngine(df.limit(0))
+    assert [r["inserted"] for r in ingress.replay_batches(spark, str(tmp_path / "b"), e)] == [2, 2, 1]
+    assert {r["skipped"] for r in ingress.replay_batches(spark, str(tmp_path / "b"), e)} == {2, 1} and e.total == 5
+    found = ingress.batch_hash(spark, str(tmp_path / "b"))
+    for expected, waiting in (("x", df.limit(0)), (found, df)):
+        with pytest.raises(ValueError):
+            ingress.acknowledge(spark, str(tmp_path / "b"), expected, waiting)
+    ingress.acknowledge(spark, str(tmp_path / "b"), found, df.limit(0))
+    new = df.limit(1).withColumn("text", F.lit("new"))
+    assert {r.text for r in ingress.replace_documents(df, new, "post_id", "ingress_seq").collect()} == {"new"} | {f"word{i} apple" for i in range(1, 5)}
+
+
+def test_config(tmp_path):
+    value = {"apiBaseUrl": "a", "apiVersion": "1", "specificationUrl": "s", "selectedOn": "d", "accounts": [{"handle": "@Ann", "expectedUserId": "1", "cohort": "x"}, {"handle": "bob", "expectedUserId": "2", "cohort": "y"}]}
+    (tmp_path / "c.json").write_text(json.dumps(value))
+    c = config.read_config(str(tmp_path / "c.json"))
+    assert c.identity == config.parse_config(dict(reversed(value.items()))).identity and [a.handle for a in c.select(["ANN"])] == ["Ann"] and [a.handle for a in c.select(cohort="y")] == ["bob"]
+    for bad in ({**value, "apiVersion": " "}, {**value, "accounts": []}, {**value, "accounts": value["accounts"][:1] * 2}, {**value, "accounts": [{"handle": "a b", "expectedUserId": "1"}]}, {**value, "accounts": [{"handle": "a", "expectedUserId": 1}]}):
+        with pytest.raises(ValueError):
+            config.parse_config(bad)
+    with pytest.raises(ValueError):
+        c.select(["zed"])
 
 
 def test_pinned_rows_of_several_pages(spark):
