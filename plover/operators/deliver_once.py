@@ -95,7 +95,7 @@ def verified_repeats(storage: DataFrame) -> DataFrame:
 
 def redelivered(messages: DataFrame, seq: str, at: Column, ids: dict[str, Column], bucket: str = "day") -> DataFrame:
     """kept_seq, dropped_seq: each message but the first of its group of copies, with that first one."""
-    keys = identifiers(messages, seq, at, ids, bucket)
+    keys = materialize(identifiers(messages, seq, at, ids, bucket), "keys")  # read twice: stored, and linked at the end
     storage = materialize(bucketed_storage(keys), "ids")
     repeats = verified_repeats(storage)
     links = keys.join(repeats, ["kind", "key"]).filter(F.col("seq") != F.col("keep_seq")).select(F.col("seq").alias("src"), F.col("keep_seq").alias("dst"))

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plover.runtime import materialize
+
 #: JSON types by the first letter of Spark's variant schema names.
 _KINDS = {"S": "string", "B": "boolean", "O": "object", "A": "array"}
 
@@ -61,13 +63,13 @@ def numbered_files(lines: DataFrame) -> DataFrame:
     return files.withColumn("ordinal", F.row_number().over(order)).withColumn("n_files", F.count(F.lit(1)).over(Window.partitionBy("producer")))
 
 
-def lifespans(lines: DataFrame) -> DataFrame:
+def lifespans(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """The catalogue: one row per island of files in which a producer's field has one and the same set of types.
 
     producer, field, json_types, from_ordinal, to_ordinal, n_files, and the neighbours' types: before and after
     (null where the field is absent).
     """
-    files = numbered_files(lines)
+    files = numbered_files(lines) if files is None else files
     cells = fields_of_files(lines).join(files.select("producer", "file_no", "ordinal", "n_files"), ["producer", "file_no"])
     cells = cells.withColumn("types", F.array_join("json_types", "|"))
     track = Window.partitionBy("producer", "field").orderBy("ordinal")
@@ -88,8 +90,9 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     change_kind is added, removed, retyped or renamed. A rename is one field vanishing and one of the same types
     appearing in the same file, when no other of these types vanishes or appears there.
     """
-    spans = lifespans(lines)
-    files = numbered_files(lines).select("producer", "ordinal", "source_file")
+    numbered = materialize(numbered_files(lines), "files")
+    spans = materialize(lifespans(lines, numbered), "lifespans")  # a row per producer, field and type: read by every kind of change
+    files = numbered.select("producer", "ordinal", "source_file")
     begun = spans.filter("from_ordinal > 1").select(
         "producer",
         F.col("from_ordinal").alias("ordinal"),
@@ -128,6 +131,31 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     return renamed.unionByName(plain).join(files, ["producer", "ordinal"])
 
 
+#: Columns generated for fields no alias names: at most this many, those in most files first; the others stay in ``rest``.
+MAX_COLUMNS = 500
+_COLUMN_TYPES = {"boolean": "boolean", "string": "string", "number": "double"}
+
+
+def generated_aliases(lines: DataFrame, declared: dict[str, tuple[str, list[str]]]) -> dict[str, tuple[str, list[str]]]:
+    """``declared`` (as ``unified`` takes it) completed from the catalogue: a name the files renamed from or to a declared one joins
+    its column; every other field gets a column of its own, typed by the JSON types it has had (JSON text for several or nested
+    ones). ``lines``: as ``schema_changes``. A row per field reaches the driver."""
+    spans = lifespans(lines).groupBy("field").agg(F.sum(F.col("to_ordinal") - F.col("from_ordinal") + 1).alias("n"), F.array_sort(F.collect_set("types")).alias("types"))
+    fields = {r["field"]: r["types"] for r in spans.orderBy(F.desc("n"), "field").limit(MAX_COLUMNS).collect() if r["field"].isidentifier()}
+    renamed = schema_changes(lines).filter("change_kind = 'renamed'").select("field_name", "new_name").distinct().collect()
+    out = {name: (kind, list(paths)) for name, (kind, paths) in declared.items()}
+    column = {path[2:]: name for name, (_, paths) in out.items() for path in paths}
+    for old, new in sorted(map(tuple, renamed)):
+        for known, other in ((old, new), (new, old)):
+            if known in column and other not in column and other.isidentifier():
+                column[other] = column[known]
+                out[column[known]][1].append(f"$.{other}")
+    for name, types in fields.items():
+        if name not in column:
+            out[name if name not in out else f"{name}_field"] = (_COLUMN_TYPES.get(types[0], "json") if len(types) == 1 else "json", [f"$.{name}"])
+    return out
+
+
 _NESTED = "schema_of_variant(?) RLIKE '^(OBJECT|ARRAY)'"
 
 

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plover.runtime import materialize
+
 STATES = ("deleted", "missing", "late")
 
 
@@ -69,7 +71,7 @@ def _with_history(refs: DataFrame, history: DataFrame, heavy: DataFrame) -> Data
 def orphan_references(references: DataFrame, targets: DataFrame, deletions: DataFrame, *, heavy_parts: int = 1000) -> DataFrame:
     """Every reference whose target is deleted, missing or came later: ref_seq, ref_field, ref_state, seen_at, entity, key."""
     refs = references.select("ref_seq", "ref_field", "entity", "key", "seen_at").filter(F.col("key").isNotNull())
-    found = _with_history(refs, key_history(targets, deletions), heavy_keys(refs, heavy_parts))
+    found = _with_history(refs, key_history(targets, deletions), materialize(heavy_keys(refs, heavy_parts), "heavy"))
     state = F.coalesce(_key_state(), F.when(F.col("first_seen") > F.col("seen_at"), "late"))
     return found.select("ref_seq", "ref_field", state.alias("ref_state"), "seen_at", "entity", "key").filter(F.col("ref_state").isNotNull())
 
@@ -85,15 +87,20 @@ def orphan_report(references: DataFrame, targets: DataFrame, deletions: DataFram
         F.count(F.lit(1)).alias("n"), F.min("seen_at").alias("from_at"), F.max("seen_at").alias("to_at")
     )
     history = key_history(targets, deletions)
-    joined = _with_history(groups, history, heavy_keys(refs, heavy_parts)).withColumn("ref_state", _key_state())
+    heavy = materialize(heavy_keys(refs, heavy_parts), "heavy")
+    joined = _with_history(groups, history, heavy).withColumn("ref_state", _key_state())
     late = F.when(F.col("first_seen") > F.col("to_at"), F.lit("late"))
     whole = joined.withColumn("ref_state", F.coalesce("ref_state", late))
     settled = whole.filter(F.col("ref_state").isNotNull()).select("ref_field", "period", "ref_state", "entity", "key", "n")
     straddling = whole.filter(
         F.col("ref_state").isNull() & (F.col("first_seen") > F.col("from_at")) & (F.col("first_seen") <= F.col("to_at"))
     ).select("ref_field", "entity", "key", "period", "first_seen")
+    on, hot = ["ref_field", "entity", "key", "period"], F.broadcast(heavy.withColumn("hot", F.lit(True)))
+    few = straddling.join(hot, ["entity", "key"], "left_semi")  # at most a row per heavy key, column and month
+    marked = refs.join(hot, ["entity", "key"], "left")
+    light = marked.filter(F.col("hot").isNull()).join(straddling.join(hot, ["entity", "key"], "left_anti"), on)
     part = (
-        refs.join(straddling, ["ref_field", "entity", "key", "period"])
+        light.unionByName(marked.filter("hot").join(F.broadcast(few), on))
         .filter(F.col("first_seen") > F.col("seen_at"))
         .groupBy("ref_field", "period", "entity", "key")
         .agg(F.count(F.lit(1)).alias("n"))

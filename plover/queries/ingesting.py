@@ -235,7 +235,13 @@ def vote_totals(spark, d):
     return ingest.vote_totals(votes)
 
 
-@query()
+@query("""WITH RECURSIVE v AS (SELECT user_id AS voter, event_id % 5 AS subject, CASE WHEN event_type = 'click' THEN 1 ELSE -1 END AS vote, CAST(floor(epoch(ts) / 100) AS BIGINT) AS at_s, event_id AS seq FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY voter ORDER BY at_s, seq) AS k FROM v),
+f AS (SELECT voter, k, at_s AS opened, 1 AS n, MAP {subject: vote} AS standing, true AS ok FROM o WHERE k = 1
+ UNION ALL SELECT voter, k, CASE WHEN again THEN opened WHEN fresh THEN at_s ELSE opened END, CASE WHEN again THEN n WHEN fresh THEN 1 WHEN n < 3 THEN n + 1 ELSE n END,
+  CASE WHEN NOT again AND (fresh OR n < 3) THEN map_concat(standing, MAP {subject: vote}) ELSE standing END, again OR fresh OR n < 3
+  FROM (SELECT o.voter, o.k, o.at_s, o.subject, o.vote, f.opened, f.n, f.standing, coalesce(map_extract(f.standing, o.subject)[1] = o.vote, false) AS again, o.at_s - f.opened >= 60 AS fresh FROM f JOIN o ON o.voter = f.voter AND o.k = f.k + 1))
+SELECT voter, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected FROM f GROUP BY voter""")
 def vote_rate_limit(spark, d):
     """Events as votes of their users: how many each got through."""
     e = table(spark, d, "events")
@@ -243,7 +249,12 @@ def vote_rate_limit(spark, d):
     return ingest.rate_limited_votes(votes, limit=3).groupBy("voter").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {KEYED}, o AS (SELECT post_id AS key, metrics_at AS at_ms, text, struct_pack(t := text, m := metrics) AS content, row_number() OVER (PARTITION BY post_id ORDER BY ingress_seq) AS k FROM k WHERE metrics_at IS NOT NULL),
+f AS (SELECT key, k, at_ms, content, coalesce(text, '') AS text, 'new' AS outcome FROM o WHERE k = 1
+ UNION ALL SELECT key, k, CASE WHEN outcome IN ('updated', 'advanced') THEN n_at ELSE at_ms END, CASE WHEN outcome = 'updated' THEN n_content ELSE content END, CASE WHEN outcome = 'updated' THEN n_text ELSE text END, outcome FROM (
+  SELECT o.key, o.k, f.at_ms, f.content, f.text, o.at_ms AS n_at, o.content AS n_content, coalesce(o.text, '') AS n_text, CASE WHEN o.at_ms < f.at_ms THEN 'duplicate' WHEN o.content IS NOT DISTINCT FROM f.content THEN CASE WHEN o.at_ms > f.at_ms THEN 'advanced' ELSE 'duplicate' END
+   WHEN o.at_ms = f.at_ms THEN 'conflict' WHEN coalesce(o.text, '') <> f.text THEN 'quarantined' ELSE 'updated' END AS outcome FROM f JOIN o ON o.key = f.key AND o.k = f.k + 1))
+SELECT outcome, count(*) AS n FROM f GROUP BY outcome""")
 def ledger_dedup(spark, d):
     """Every record of a post as a snapshot in order of arrival: what the ledger makes of it."""
     rows = _keyed(spark, d).filter(F.col("metrics_at").isNotNull())

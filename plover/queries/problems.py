@@ -116,11 +116,15 @@ EVENT_ALIASES = {
 
 def p3_unified(spark: SparkSession, d: str) -> DataFrame:
     """All well-formed lines of loose_posts and all properties of capture_events as one table with one name and type per
-    field; ``rest`` holds what has no column."""
+    field: the declared ones, and a column for every other field of the catalogue; ``rest`` holds what no column holds whole."""
     keep = ["record_table", "record_seq"]
-    loose = table(spark, d, "loose_posts").select(F.lit("loose_posts").alias(keep[0]), F.col("loose_seq").alias(keep[1]), F.col("raw_line").alias("line"))
-    capture = table(spark, d, "capture_events").select(F.lit("capture_events").alias(keep[0]), F.col("event_seq").alias(keep[1]), F.col("properties").alias("line"))
-    return drift.unified(loose, POST_ALIASES, keep).unionByName(drift.unified(capture, EVENT_ALIASES, keep), allowMissingColumns=True)
+    lines, out = _producer_lines(spark, d), None
+    for name, seq, line, declared in (("loose_posts", "loose_seq", "raw_line", POST_ALIASES), ("capture_events", "event_seq", "properties", EVENT_ALIASES)):
+        aliases = drift.generated_aliases(lines.filter(F.col("producer.t") == name), declared)
+        rows = table(spark, d, name).select(F.lit(name).alias(keep[0]), F.col(seq).alias(keep[1]), F.col(line).alias("line"))
+        part = drift.unified(rows, aliases, keep)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 # ---- p4 -------------------------------------------------------------------------------------------------------------

@@ -94,7 +94,24 @@ def public_url(spark, d):
     return u.filter(F.col("url").rlike("^https://[^/@?#]+([/?#]|$)")).withColumn("public_url", F.regexp_replace("url", "[?#].*$", ""))
 
 
-@query()
+#: What each of ``QUERIES_RAW`` means, written by hand; its key is the FNV-1a hash of these characters.
+MEANINGS = [
+    '{"v":1,"intent":"topic","must":["leaks","security"],"should":[],"phrases":[],"exclude":[],"aspects":[],"filters":{"authorId":null,"since":null,"until":null,"media":null,"minLikes":null,"lang":null},"sort":"top"}',
+    '{"v":1,"intent":"topic","must":[],"should":[],"phrases":[["hot","take"]],"exclude":["update"],"aspects":[],"filters":{"authorId":null,"since":null,"until":null,"media":null,"minLikes":null,"lang":null},"sort":"top"}',
+    '{"v":1,"intent":"topic","must":[],"should":["changelog","update"],"phrases":[],"exclude":[],"aspects":[],"filters":{"authorId":null,"since":null,"until":null,"media":null,"minLikes":null,"lang":null},"sort":"top","union":true}',
+    '{"v":1,"intent":"media","must":["roadmap"],"should":[],"phrases":[],"exclude":[],"aspects":[],"filters":{"authorId":null,"since":1748736000000,"until":1756684800000,"media":"image","minLikes":null,"lang":null},"sort":"top"}',
+    '{"v":1,"intent":"topic","must":["changelog"],"should":[],"phrases":[],"exclude":[],"aspects":[],"filters":{"authorId":null,"since":1767225600000,"until":null,"media":null,"minLikes":null,"lang":null},"sort":"latest"}',
+    '{"v":1,"intent":"topic","must":["laptop"],"should":["cheap"],"phrases":[],"exclude":[],"aspects":["~price"],"filters":{"authorId":null,"since":null,"until":null,"media":null,"minLikes":null,"lang":null},"sort":"top"}',
+    '{"v":1,"intent":"compare","must":["cybertruck","rivian"],"should":[],"phrases":[],"exclude":[],"aspects":["~compare"],"filters":{"authorId":null,"since":null,"until":null,"media":null,"minLikes":null,"lang":null},"sort":"top"}',
+    '{"v":1,"intent":"topic","must":["apple"],"should":[],"phrases":[],"exclude":["iphone"],"aspects":[],"filters":{"authorId":null,"since":null,"until":null,"media":null,"minLikes":null,"lang":null},"sort":"top"}',
+    '{"v":1,"intent":"topic","must":["warranty"],"should":[],"phrases":[],"exclude":[],"aspects":[],"filters":{"authorId":null,"since":null,"until":null,"media":"image","minLikes":10,"lang":null},"sort":"top"}',
+    '{"v":1,"intent":"topic","must":["update"],"should":[],"phrases":[],"exclude":[],"aspects":[],"filters":{"authorId":null,"since":null,"until":null,"media":null,"minLikes":null,"lang":null},"sort":"top"}',
+]
+_MEANT = ", ".join(f"({q(raw)}, {q(meaning)})" for raw, meaning in zip(QUERIES_RAW, MEANINGS, strict=True))
+
+
+@query(f"""WITH m(raw, meaning) AS (VALUES {_MEANT}), h AS (SELECT raw, list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(meaning, ''), lambda c: unicode(c)::HUGEINT)), lambda h, u: (xor(h, u) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM m)
+SELECT raw, lower(printf('%08x', CAST(h // 4294967296 AS BIGINT)) || printf('%08x', CAST(h % 4294967296 AS BIGINT))) AS key FROM h""")
 def query_key(spark, d):
     rows = [(raw, key_of(parse(raw, NOW))) for raw in QUERIES_RAW]
     return spark.createDataFrame(rows, "raw string, key string")

@@ -110,6 +110,16 @@ def test_unified_drops_no_value(spark):
     assert {r.seq: r.n for r in out.collect()}[2] == 3
 
 
+def test_columns_come_from_the_catalogue(spark):
+    rows = [("s", 1, "a", '{"id": "1", "likes": 1, "flag": true, "odd": "x", "a-b": 1}'), ("s", 2, "b", '{"id": "2", "faves": 2, "flag": false, "odd": 3, "a-b": 1, "tags": [1]}')]
+    lines = spark.createDataFrame(rows, "producer string, file_no int, source_file string, line string")
+    aliases = drift.generated_aliases(lines, {"like_count": ("bigint", ["$.likes"]), "flag": ("boolean", ["$.flag"])})
+    assert aliases == {"like_count": ("bigint", ["$.likes", "$.faves"]), "flag": ("boolean", ["$.flag"]), "id": ("string", ["$.id"]), "odd": ("json", ["$.odd"]), "tags": ("json", ["$.tags"])}
+    out = {r.file_no: r for r in drift.unified(lines, aliases, ["file_no"]).collect()}
+    assert (out[1].like_count, out[2].like_count, out[1].odd, out[2].odd, out[2].tags, out[1].rest) == (1, 2, '"x"', "3", "[1]", {"a-b": "1"})
+    assert drift.generated_aliases(lines.limit(0), {"flag": ("boolean", ["$.flag"])}) == {"flag": ("boolean", ["$.flag"])}
+
+
 def test_unified_holds_every_field_of_both_tables(spark):
     out = {(r.record_table, r.record_seq): r.asDict() for r in problems.p3_unified(spark, SF).collect()}
     seen, paths = set(), {**problems.POST_ALIASES, **problems.EVENT_ALIASES}
