@@ -5,8 +5,9 @@ items. A window of that length slides over a document; the block (its last two w
 and mostly allows a jump of many words; where the shift is 0 the block's bucket lists the patterns that end so, and
 direct comparison confirms.
 
-The tables are built once on the driver from the test items and broadcast. Their size is checked against
-``max_patterns``; a larger test set is searched in several passes of that many patterns, so none is left out.
+The tables are built once on the driver from the test items and broadcast; a worker unpacks them once. Items are taken from
+a stream: as soon as their patterns pass ``max_patterns`` or their texts ``MAX_BYTES`` they make up one pass, and the rest
+goes into further passes, so the driver and a broadcast hold a bounded part and no item is left out.
 Documents stream through (``mapInPandas``): no shuffle but the final grouping of confirmed hits.
 
 Edge cases: null or empty texts hold nothing; an item of fewer than ``LENGTH`` words can't leak; several items with a
@@ -18,7 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 LENGTH = 12
 BLOCK = 2
 MAX_PATTERNS = 2_000_000
+MAX_BYTES = 64_000_000
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = dict.fromkeys((0x200B, 0x200C, 0x200D, 0xFEFF, 0x00AD))
 
@@ -79,19 +81,31 @@ def item_patterns(items: list[tuple[int, str]], length: int = LENGTH) -> dict[tu
     return {p: frozenset(o) for p, o in found.items()}
 
 
+def passes(items: Iterable[tuple[int, str | None]], length: int, max_patterns: int, max_bytes: int = MAX_BYTES) -> Iterator[WuManber]:
+    """The search tables of the items, of a bounded number at a time; one (empty) if there is none. An item alone may pass the bounds."""
+    held, n, size, any_yet = [], 0, 0, False
+    for item_id, text in items:
+        w = len(words(text)) - length + 1
+        if held and (n + w > max_patterns or size + len(text or "") > max_bytes):
+            yield WuManber(item_patterns(held, length), length)
+            held, n, size, any_yet = [], 0, 0, True
+        held.append((item_id, text))
+        n, size = n + max(0, w), size + len(text or "")
+    if held or not any_yet:
+        yield WuManber(item_patterns(held, length), length)
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, *, length: int = LENGTH, max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """doc_id, item_id, n_hits, first_word, n_words: every document and the test items it leaks.
 
-    ``documents``: doc_id, text; ``items``: item_id, text (a bounded, stated set).
+    ``documents``: doc_id, text; ``items``: item_id, text (a stated set).
     """
-    spark = documents.sparkSession
-    patterns = list(item_patterns([tuple(r) for r in items.select("item_id", "text").toLocalIterator()], length).items())
-    found = None
-    for at in range(0, max(1, len(patterns)), max_patterns):
-        tables = spark.sparkContext.broadcast(dict(patterns[at : at + max_patterns]))
-
-        def scan(batches: Iterator[pd.DataFrame], tables=tables) -> Iterator[pd.DataFrame]:
-            search = WuManber(tables.value, length)
+    spark, found = documents.sparkSession, None
+    for tables in passes(map(tuple, items.select("item_id", "text").toLocalIterator()), length, max_patterns):
+        shared = spark.sparkContext.broadcast(tables)
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            search = shared.value
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):

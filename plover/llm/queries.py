@@ -81,7 +81,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_projection(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(spark, d).select(F.col("grp").alias("query_key"), F.col("item").alias("candidate_id"), *[f"r_{s}" for s in SCORES], "projection")
+    return _ranked(spark, d).select(F.col("grp").alias("query_key"), F.col("item").alias("candidate_id"), *[F.round(f"r_{s}", 6).alias(f"r_{s}") for s in SCORES], F.round("projection", 6).alias("projection"))
 
 
 # ---- p8
@@ -137,6 +137,10 @@ _RANK = ", ".join(
     f"rank() OVER (PARTITION BY query_key ORDER BY {c}) + (count(*) OVER (PARTITION BY query_key, {c}) - 1) / 2.0 AS r{i}" for i, c in enumerate(SCORES)
 )
 _CLEAN = ", ".join(f"CASE WHEN {c} IS NULL OR isnan(CAST({c} AS DOUBLE)) THEN '-Infinity'::DOUBLE ELSE CAST({c} AS DOUBLE) END AS {c}" for c in SCORES)
+_N = range(len(SCORES))
+_MID = ", ".join(f"(rank() OVER (PARTITION BY query_key ORDER BY {c}) - 1 + count(*) OVER (PARTITION BY query_key, {c}) / 2.0) / count(*) OVER (PARTITION BY query_key) AS r{i}" for i, c in enumerate(SCORES))
+_TIMES = ", ".join("(" + " + ".join(f"c{min(i, j)}{max(i, j)} * w{j}" for j in _N) + f") AS v{i}" for i in _N)
+_LENGTH = "sqrt(" + " + ".join(f"v{i} * v{i}" for i in _N) + ")"
 #: p8 has no twin (NFKC is missing there); p9_found's counts characters, as the answer doesn't depend on the tokenizer.
 SQL: dict[str, str] = {
     "p1_found": f"""WITH k AS (SELECT *, nullif(ltrim(regexp_extract(id, '[0-9]+'), '0'), '') AS tweet_id, length(regexp_replace(coalesce(text, ''), {_TRIM}, '', 'g')) AS n FROM ingress),
@@ -148,6 +152,14 @@ SELECT tweet_id, m.ingress_seq AS metrics_seq, t.ingress_seq AS text_seq FROM t
     "p5_found": f"""WITH o AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY query_key, candidate_id ORDER BY cand_seq) = 1),
 c AS (SELECT query_key, candidate_id, {_CLEAN} FROM o), r AS (SELECT query_key, candidate_id, {_RANK} FROM c)
 SELECT query_key, candidate_id FROM r QUALIFY row_number() OVER (PARTITION BY query_key ORDER BY r0 + r1 + r2 + r3 DESC, candidate_id) <= 5""",
+    "p5_projection": f"""WITH RECURSIVE o AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY query_key, candidate_id ORDER BY cand_seq) = 1),
+c AS (SELECT query_key, candidate_id, {_CLEAN} FROM o), r AS (SELECT query_key, candidate_id, {_MID} FROM c), m AS (SELECT {', '.join(f'corr(r{i}, r{j}) AS c{i}{j}' for i in _N for j in _N if i <= j)} FROM r),
+w AS (SELECT 0 AS k, {', '.join(f'{1 + i / 10}::DOUBLE AS w{i}' for i in _N)} UNION ALL SELECT k + 1, {', '.join(f'v{i} / {_LENGTH}' for i in _N)} FROM (SELECT k, {_TIMES} FROM w, m WHERE k < 1000))
+SELECT query_key, candidate_id, {', '.join(f'round(r{i}, 6) AS r_{c}' for i, c in enumerate(SCORES))}, round({' + '.join(f'r{i} * abs(w{i})' for i in _N)}, 6) AS projection FROM r, w WHERE k = 1000""",
+    "p10_classes": """WITH RECURSIVE w AS (SELECT doc_id, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+m AS (SELECT h, min(doc_id) AS owner FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)), e AS (SELECT DISTINCT doc_id AS a, owner AS b FROM w JOIN m USING (h)), ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a, b FROM ways UNION SELECT r.a, x.b FROM reach r JOIN ways x ON r.b = x.a), c AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS n_members FROM c""",
     "p9_found": """WITH s AS (SELECT source, sum(length(text)) AS n FROM documents GROUP BY source)
 SELECT source FROM mix_targets LEFT JOIN s USING (source) WHERE target_share * (SELECT sum(n) FROM s) > coalesce(n, 0) * max_repeats""",
     "p10_shares": """WITH w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),

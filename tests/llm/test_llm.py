@@ -127,6 +127,16 @@ def test_leaks(spark):
     assert leaks.leaked_items(df.limit(0), items).count() == 0 and leaks.leaked_items(df, items.limit(0)).count() == 0
 
 
+def test_passes_are_bounded_and_whole():
+    items = [(i, " ".join(WORDS[i : i + 14])) for i in range(20)] + [(99, None), (98, "short")]
+    every = {p for t in leaks.passes(items, 12, 10**6) for p in [x for b in t.bucket.values() for x in b]}
+    for patterns, size in ((4, 10**9), (10**6, 120), (1, 1)):
+        tables = list(leaks.passes(items, 12, patterns, size))
+        assert len(tables) > 1 and {p for t in tables for b in t.bucket.values() for p in b} == every
+        assert all(sum(map(len, t.bucket.values())) <= max(patterns, 3) for t in tables)
+    assert len(list(leaks.passes([], 12, 5))) == 1
+
+
 def test_wu_manber_equals_scan():
     rng = np.random.default_rng(3)
     text = [f"v{i}" for i in rng.integers(0, 3, 5000)]
