@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plover.runtime import materialize
+from plover.runtime import discard, materialize
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -46,7 +46,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if _stars(links):
             break
-        links = materialize(_small_star(_large_star(links)), "links")
+        before, links = links, materialize(_small_star(_large_star(links)), "links")
+        discard(before)
     else:
         raise RuntimeError(f"connected_components did not settle in {max_rounds} rounds")
     roots = links.select(F.col("dst").alias("node")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plover.functions.ids import canonical_id
-from plover.runtime import materialize
+from plover.runtime import discard, materialize
 
 JUMP = 0.1
 STOP = 0.001
@@ -49,9 +49,9 @@ def pagerank(edges: DataFrame, iterations: int = 20, jump: float = JUMP, stop: f
         both = ranks.select("node", "dangling", "rank", F.lit(0.0).alias("got")).unionByName(given.select("node", F.lit(None).cast("boolean").alias("dangling"), F.lit(0.0).alias("rank"), "got"))
         summed = both.groupBy("node").agg(F.max("dangling").alias("dangling"), F.sum("rank").alias("old"), F.sum("got").alias("got"))
         new = F.lit(jump / n) + F.lit(1 - jump) * (F.col("got") + F.lit(lost / n))
-        ranks = materialize(summed.select("node", "dangling", new.alias("rank"), F.abs(new - F.col("old")).alias("moved")), "ranks")
+        before, ranks = ranks, materialize(summed.select("node", "dangling", new.alias("rank"), F.abs(new - F.col("old")).alias("moved")), "ranks")
+        discard(before)
         lost, moved = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)), F.sum("moved")).first()
-        ranks = ranks.drop("moved")
         if moved < stop:
             break
     return ranks.select("node", "rank")

@@ -45,13 +45,13 @@ def _grammar(d: str) -> str:
 
 _CODES = "[" + ", ".join(f"'{c}'" for c in REJECTION_CODES) + "]"
 _INT = "regexp_full_match({0}, '[0-9]+') AND TRY_CAST({0} AS HUGEINT) BETWEEN {1} AND 2147483647"
-_P6 = f"""WITH h AS (SELECT load_file, regexp_extract(line, '^\\x{{FEFF}}?"?kind"?([,;\\t])', 1) AS d FROM rejection_lines WHERE line_no = 1),
+_LINES = f"""WITH h AS (SELECT load_file, regexp_extract(line, '^\\x{{FEFF}}?"?kind"?([,;\\t])', 1) AS d FROM rejection_lines WHERE line_no = 1),
 s AS (SELECT raw_seq, d, regexp_replace(regexp_replace(line, '\\r$', ''), '^\\x{{FEFF}}', '') AS l FROM rejection_lines JOIN h USING (load_file)),
 p AS (SELECT raw_seq, l, CASE d WHEN ';' THEN {_grammar(';')} WHEN chr(9) THEN {_grammar(chr(9))} ELSE {_grammar(',')} END AS f FROM s WHERE trim(l, ' ' || chr(9)) <> ''),
-r AS (SELECT raw_seq, CASE WHEN f IS NULL THEN 'quoting' WHEN len(f) = 9 AND f[1] = 'kind' AND f[2] = 'accountUserId' THEN NULL WHEN len(f) <> 9 THEN 'column_count'
+r AS (SELECT raw_seq, f, CASE WHEN f IS NULL THEN 'quoting' WHEN len(f) = 9 AND f[1] = 'kind' AND f[2] = 'accountUserId' THEN 'header' WHEN len(f) <> 9 THEN 'column_count'
   WHEN NOT coalesce(f[1] = 'rejection' AND regexp_full_match(f[2], '[0-9]+') AND {_INT.format('f[3]', 1)} AND f[4] <> '' AND {_INT.format('f[5]', 0)} AND f[6] IN ('timeline', 'embedded')
    AND regexp_full_match(f[7], '[0-9]*') AND regexp_full_match(f[8], '[0-9]*') AND list_has_all({_CODES}, string_split(f[9], '|')), false) THEN 'bad_value' END AS failure FROM p)
-SELECT raw_seq, failure FROM r WHERE failure IS NOT NULL"""
+"""
 
 _REFS = f"""refs AS (SELECT ingress_seq, received_at, 'author_id' AS ref_field, 'author' AS entity, {canon('author_id')} AS key FROM ingress UNION ALL SELECT ingress_seq, received_at, 'quoted_tweet_id', 'tweet', {canon('quoted_tweet_id')} FROM ingress
   UNION ALL SELECT ingress_seq, received_at, 'retweet_of_tweet_id', 'tweet', {canon('retweet_of_tweet_id')} FROM ingress UNION ALL SELECT ingress_seq, received_at, 'in_reply_to_tweet_id', 'tweet', {canon('in_reply_to_tweet_id')} FROM ingress),
@@ -66,12 +66,18 @@ timed AS (SELECT src.*, zone_name, date_order FROM src LEFT JOIN feeds USING (fe
 {instants('timed')}
 SELECT record_table, record_seq, ms AS utc_ms FROM resolved WHERE ms BETWEEN 1136073600000 AND 1798761599999"""
 
+_P4_ONCE = f"""{_P4.replace('SELECT min(b) AS kept_seq', ', dropped AS (SELECT min(b) AS kept_seq').replace('HAVING min(b) < a', 'HAVING min(b) < a)')}
+SELECT event_seq, nullif(nullif(replace(regexp_extract(u, '([0-9a-f]{{8}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{12}})', 1), '-', ''), ''), repeat('0', 32)) AS uuid_key, lower(o->>'$.request_id') AS request_id,
+ CAST(o->>'$.chunk_index' AS BIGINT) AS chunk_index, epoch_us(TRY_CAST(o->>'$.captured_at' AS TIMESTAMPTZ)) AS captured_us FROM raw WHERE event_seq NOT IN (SELECT dropped_seq FROM dropped)"""
+
 SQL = {
+    "p4_delivered_once": _P4_ONCE,
+    "p6_loaded": f"""{_LINES}SELECT raw_seq, f[1] AS kind, f[2] AS account_user_id, CAST(f[3] AS INTEGER) AS page, f[4] AS raw_file, CAST(f[5] AS INTEGER) AS row_index, f[6] AS origin, nullif(f[7], '') AS parent_id, nullif(f[8], '') AS candidate_id, f[9] AS reasons FROM r WHERE failure IS NULL""",
     "p2_found": _P2,
     "p3_found": _P3,
     "p3_lifespans": _P3_LIVES,
     "p4_found": _P4,
-    "p6_found": _P6,
+    "p6_found": f"{_LINES}SELECT raw_seq, failure FROM r WHERE failure <> 'header'",
     "p7_found": f"WITH {_REFS} SELECT ingress_seq, ref_field, ref_state FROM st WHERE ref_state IS NOT NULL",
     "p7_report": f"WITH {_REFS} SELECT ref_field, strftime(received_at, '%Y-%m') AS period, ref_state, count(*) AS n_references, count(DISTINCT key) AS n_keys FROM st WHERE ref_state IS NOT NULL GROUP BY ALL",
 }

@@ -24,7 +24,7 @@ def kept(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame])
 
 
 def forget() -> None:
-    """Build anew from here on (benchmarks of the building itself)."""
+    """Build anew from here on (after ``runtime.clean_up``, or to measure the building itself)."""
     _KEPT.clear()
 
 

@@ -36,14 +36,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back: lineage is cut, losing an executor loses nothing."""
+    """Write ``df`` to the shared folder once and read it back: lineage is cut, losing an executor loses nothing.
+
+    The table lives until the application ends, or until ``discard`` or ``clean_up``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    system, target = _file(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark.sparkContext.applicationId
+    out._materialized_at = path
+    return out
+
+
+def _file(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a result of ``materialize`` that nothing will read any more (a round's, once the next is written)."""
+    path = getattr(df, "_materialized_at", None)
+    if path in _written:
+        system, target = _file(df.sparkSession, path)
+        system.delete(target, True)
+        del _written[path]
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete all tables this application has materialised; for long sessions, between pieces of work. How many there were."""
+    mine = [path for path, app in _written.items() if app == spark.sparkContext.applicationId]
+    for path in mine:
+        system, target = _file(spark, path)
+        system.delete(target, True)
+        del _written[path]
+    return len(mine)
+
+
+_written: dict[str, str] = {}
 
 
 def spread(spark: SparkSession) -> int:

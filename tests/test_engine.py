@@ -11,7 +11,9 @@ from plover.operators import collect as C
 from plover.operators import events, graph, ingest
 from plover.operators import normalize as N
 from plover.operators import rank as R
+from plover import runtime
 from plover.plans.engine import SearchEngine
+from plover.queries import searching, store
 from plover.sources import config, ingress, pages
 from plover.streaming import live
 
@@ -133,6 +135,32 @@ def test_writing(spark):
             e.second_lane(**bad)
 
 
+def test_engine_against_plain_python(spark):
+    """Every query of the batch, level by level: reads, caps, gates, filters, order and ranking worked out without Spark."""
+    import brute_search
+
+    held = [r.asDict() for r in store.analysed(spark, SMALL).collect()]
+    people = {r.author_id: r.follower_count or 0 for r in store.latest_authors(spark, SMALL).collect()}
+    want = {raw: brute_search.search(held, people, raw, NOW) for raw in searching.QUERIES_RAW}
+    got = {}
+    for r in entry.queries()["engine_search"](spark, SMALL).collect():
+        got.setdefault(r.raw, []).append((r.rnk, r.post_id, r.level, r.score))
+    assert {raw: [(i, lv) for _, i, lv, _ in sorted(rows)] for raw, rows in got.items()} == {raw: [(i, lv) for i, lv, _ in rows] for raw, rows in want.items() if rows}
+    for raw, rows in got.items():
+        assert all(abs(a[3] - b[2]) < 1e-5 for a, b in zip(sorted(rows), want[raw], strict=True))
+
+
+def test_materialised_tables_go(spark, tmp_path):
+    import os
+
+    one = runtime.materialize(spark.range(3), "gone")
+    path = one._materialized_at.removeprefix("file://")
+    assert os.path.exists(path)
+    runtime.discard(one)
+    runtime.discard(one.filter("id = 1"))  # derived tables own nothing
+    assert not os.path.exists(path)
+
+
 def test_rank_ignores_row_order(spark):
     rows = [("q", str(i), i, 1, 0, 0, 0.5, float(i % 3), NOW - i, i - 5, 0.0, 1.0) for i in range(20)]
     shape = "query_key string, id string, like_count long, reply_count long, retweet_count long, quote_count long, propagated_boost double, author_authority double, created_at long, feedback_votes int, fit double, rel double"
