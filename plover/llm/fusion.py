@@ -44,7 +44,8 @@ DEPENDENT = 0.1
 COPIED = 0.8
 #: Bounds of an estimated accuracy, and what it starts from.
 LEAST_ACCURATE, MOST_ACCURATE, START = 0.05, 0.95, 0.8
-ROUNDS = 4
+#: Rounds of the EM at most; it stops once nothing moves by as much as this.
+ROUNDS, SETTLED = 4, 1e-4
 _SEQ = 10**18
 _HALF, _WHOLE = 2**63, 2**64
 
@@ -109,6 +110,11 @@ class Votes:
     def sure(self, field: str, source: str) -> float:
         return self.accuracy.get((field, source), START)
 
+    def moved(self, other: Votes) -> float:
+        """The largest change of an accuracy or a dependence."""
+        change = [abs(v - other.accuracy.get(k, START)) for k, v in self.accuracy.items()] + [abs(v - other.depends.get(k, 0.0)) for k, v in self.depends.items()]
+        return max(change, default=0.0)
+
     def independent(self, field: str, sources: list[str]) -> dict[str, float]:
         """The share of each source's vote that isn't copied from a more accurate one that says the same."""
         out: dict[str, float] = {}
@@ -195,7 +201,9 @@ def estimate(patterns: DataFrame, ladders: list[str], rounds: int = ROUNDS) -> V
                     + r.z * np.log(1 - COPIED)
                 )
                 odds[r.a, r.b] = odds.get((r.a, r.b), np.log(DEPENDENT / (1 - DEPENDENT))) + ratio
-        votes = Votes(ladders, accuracy, {k: float(1 / (1 + np.exp(-np.clip(v, -50, 50)))) for k, v in odds.items()})
+        before, votes = votes, Votes(ladders, accuracy, {k: float(1 / (1 + np.exp(-np.clip(v, -50, 50)))) for k, v in odds.items()})
+        if votes.moved(before) < SETTLED:
+            break
     return votes
 
 
