@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plover.functions.ids import canonical_id
 from plover.operators import timestamps
 from plover.operators.ingest import gate_reason
-from plover.runtime import spread
+from plover.runtime import materialize, spread
 
 #: 2025-01-01, the start of the static recency term; days it grows, and how many days are one point.
 RECENCY_EPOCH_MS = 1735689600000
@@ -34,7 +34,8 @@ def with_created(ingress: DataFrame, feeds: DataFrame) -> DataFrame:
     clocks = feeds.select("feed_id", F.col("zone_name").alias("_zone"), F.col("date_order").alias("_order")).dropDuplicates(["feed_id"])
     mixed = timestamps.normalise(ingress.filter(~plain).join(clocks, "feed_id", "left"), "created_at", "feed_id", "_zone", "_order")
     real = F.when(F.col("utc_ms").between(timestamps.FIRST_MS, timestamps.LAST_MS), F.col("utc_ms")).alias("created_ms")
-    return ingress.filter(plain).select("*", at.alias("created_ms")).unionByName(mixed.select(*ingress.columns, real))
+    read = materialize(mixed.select(*ingress.columns, real), "timed")  # what follows reads it more than once
+    return ingress.filter(plain).select("*", at.alias("created_ms")).unionByName(read)
 
 
 def posts_from_ingress(timed: DataFrame, now_ms: int) -> DataFrame:

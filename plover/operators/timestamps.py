@@ -104,9 +104,10 @@ _FLOOR = 0.5
 PARSED = "signature string, epoch_us long, dmy_us long, mdy_us long, offset_min int, region string"
 
 
-def known_zones(spark) -> list[str]:
-    """Region names the JVM knows; a name outside this list is no zone."""
-    return sorted(z for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds() if "SystemV" not in z)
+def known_zones(spark) -> str:
+    """Region names the JVM knows, as a SQL list; a name outside it is no zone. Fetched in one call."""
+    joined = spark._jvm.java.lang.String.join(",", spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+    return ", ".join(f"'{z}'" for z in sorted(joined.split(",")) if "SystemV" not in z)
 
 
 def _wall(year: int, month: int, day: int, clock_us: int) -> int | None:
@@ -268,21 +269,22 @@ def normalise(rows: DataFrame, value: str, source: str, zone: str, declared: str
     local = F.expr("(_ts.dmy_us - _ts_local) div 60000000")
     by_zone = F.concat(F.regexp_extract("_ts.signature", "^[^=]*=", 0), local.cast("string"))
     marked = (
-        marked.withColumn("_ts_local", F.when(F.contains("_ts.signature", F.lit("@")) & F.col(zone).isin(known), wall_in("_ts.dmy_us", F.when(F.col(zone).isin(known), F.col(zone)))))
+        marked.withColumn("_ts_clock", F.expr(f"CASE WHEN `{zone}` IN ({known}) THEN `{zone}` END"))
+        .withColumn("_ts_local", F.when(F.contains("_ts.signature", F.lit("@")), wall_in("_ts.dmy_us", F.col("_ts_clock"))))
         .withColumn("_ts_declared", F.when(F.contains("_ts.signature", F.lit("@")), by_zone).otherwise(F.col(declared)))
-        .drop("_ts_local")
+        .drop("_ts_local", "_ts_clock")
     )
     marked = materialize(marked, "parsed")  # read once: for the mixture and for the result
     choices = format_posteriors(marked).select(
         F.col("source").alias("_ts_source"), F.col("signature").alias("_ts_signature"), F.col("format").alias("_ts_format"), F.col("posterior").alias("_ts_posterior")
     )
-    region = F.coalesce(F.col("_ts.region"), F.col(zone))
+    region = f"coalesce(_ts.region, `{zone}`)"
     chosen_offset = F.regexp_extract("_ts_format", "=(-?[0-9]+)$", 1).try_cast("int")
     joined = (
         marked.withColumn("_ts_signature", F.col("_ts.signature"))
         .join(choices, ["_ts_signature", "_ts_source"], "left")
         .withColumn("_ts_offset", F.coalesce("_ts.offset_min", chosen_offset))
-        .withColumn("_ts_zone", F.when(region.isin(known) & F.col("_ts_offset").isNull(), region))
+        .withColumn("_ts_zone", F.expr(f"CASE WHEN {region} IN ({known}) AND _ts_offset IS NULL THEN {region} END"))
         .withColumn("_ts_wall", F.when(F.col("_ts_format") == "mdy", F.col("_ts.mdy_us")).otherwise(F.col("_ts.dmy_us")))
     )
     us = F.coalesce(F.col("_ts.epoch_us"), F.col("_ts_wall") - F.col("_ts_offset").cast("long") * 60000000, wall_in("_ts_wall", F.col("_ts_zone")))
