@@ -86,24 +86,40 @@ def latency_report(rows: DataFrame, value: str, by: list[str] | None = None) ->
     return joined.groupBy(*by).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("max").alias("max"))
 
 
+#: The checks of a run's report and their bounds.
+CHECKS = (
+    ("timeline rejection rate", "<= 1%"),
+    ("embedded rejection rate", "n/a"),
+    ("repeated timeline rows within account", "<= 15%"),
+    ("mean rows per non-terminal page", "10..40"),
+    ("mean latency ms", "500..3000"),
+    ("p95 latency ms", "<= 5000"),
+    ("retry rate", "< 5%"),
+    ("paused accounts", "0"),
+    ("acquisition status", "completed"),
+)
+
+
 def report_checks(values: DataFrame) -> DataFrame:
-    """name, value, bound, passed (null: reported only) of a run. values: one row of requests, retries, latency_mean,
-    latency_p95, rows_mean (per page that isn't an account's last), timeline, timeline_rejected, embedded, embedded_rejected,
-    repeated_rows, paused, status."""
+    """name, value, bound, passed (null: reported only, or nothing to judge) of a run. values: one row of requests, retries,
+    latency_mean, latency_p95, rows_mean (per page that isn't an account's last), timeline, timeline_rejected, embedded,
+    embedded_rejected, repeated_rows, paused, status."""
     rate = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)), 4)
     number = lambda c: F.round(F.col(c).cast("double"), 4)
-    checks = [
-        ("timeline rejection rate", rate("timeline_rejected", "timeline"), "<= 1%", lambda x: x <= 0.01),
-        ("embedded rejection rate", rate("embedded_rejected", "embedded"), "n/a", None),
-        ("repeated timeline rows within account", rate("repeated_rows", "timeline"), "<= 15%", lambda x: x <= 0.15),
-        ("mean rows per non-terminal page", number("rows_mean"), "10..40", lambda x: x.between(10, 40)),
-        ("mean latency ms", number("latency_mean"), "500..3000", lambda x: x.between(500, 3000)),
-        ("p95 latency ms", number("latency_p95"), "<= 5000", lambda x: x <= 5000),
-        ("retry rate", rate("retries", "requests"), "< 5%", lambda x: x < 0.05),
-        ("paused accounts", number("paused"), "0", lambda x: x == 0),
-        ("acquisition status", F.when(F.col("status") == "completed", 1.0).otherwise(0.0), "completed", lambda x: x == 1),
+    found = [
+        rate("timeline_rejected", "timeline"),
+        rate("embedded_rejected", "embedded"),
+        rate("repeated_rows", "timeline"),
+        number("rows_mean"),
+        number("latency_mean"),
+        number("latency_p95"),
+        rate("retries", "requests"),
+        number("paused"),
+        F.when(F.col("status") == "completed", 1.0).otherwise(0.0),
     ]
-    each = [F.struct(F.lit(n).alias("name"), v.alias("value"), F.lit(b).alias("bound"), (ok(v) if ok else F.lit(None).cast("boolean")).alias("passed")) for n, v, b, ok in checks]
+    held = {"<= 1%": lambda x: x <= 0.01, "<= 15%": lambda x: x <= 0.15, "10..40": lambda x: x.between(10, 40), "500..3000": lambda x: x.between(500, 3000), "<= 5000": lambda x: x <= 5000, "< 5%": lambda x: x < 0.05, "0": lambda x: x == 0, "completed": lambda x: x == 1}
+    passed = lambda bound, x: held[bound](x) if bound in held else F.lit(None).cast("boolean")
+    each = [F.struct(F.lit(name).alias("name"), x.alias("value"), F.lit(bound).alias("bound"), passed(bound, x).alias("passed")) for (name, bound), x in zip(CHECKS, found, strict=True)]
     return values.select(F.inline(F.array(*each)))
 
 

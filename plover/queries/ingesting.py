@@ -99,7 +99,11 @@ ev AS (SELECT event_seq, uuid, o, lower(o->>'$.request_id') AS request_id, TRY_C
 
 
 def _events(spark, d):
-    e = table(spark, d, "capture_events").withColumn("o", json_object("properties"))
+    return event_fields(table(spark, d, "capture_events"))
+
+
+def event_fields(events: DataFrame) -> DataFrame:
+    e = events.withColumn("o", json_object("properties"))
     text = lambda p: F.expr(f"try_variant_get(o, '$.{p}', 'string')")
     big = lambda p: F.expr(f"try_variant_get(o, '$.{p}', 'bigint')")
     return e.select(
@@ -235,17 +239,25 @@ def vote_totals(spark, d):
     return ingest.vote_totals(votes)
 
 
-@query("""WITH RECURSIVE v AS (SELECT user_id AS voter, event_id % 5 AS subject, CASE WHEN event_type = 'click' THEN 1 ELSE -1 END AS vote, CAST(floor(epoch(ts) / 100) AS BIGINT) AS at_s, event_id AS seq FROM events),
+VOTE_LIMIT = """WITH RECURSIVE v AS (SELECT user_id AS voter, event_id % 5 AS subject, CASE WHEN event_type = 'click' THEN 1 ELSE -1 END AS vote, CAST(floor(epoch(ts) / 100) AS BIGINT) AS at_s, event_id AS seq FROM events),
 o AS (SELECT *, row_number() OVER (PARTITION BY voter ORDER BY at_s, seq) AS k FROM v),
 f AS (SELECT voter, k, at_s AS opened, 1 AS n, MAP {subject: vote} AS standing, true AS ok FROM o WHERE k = 1
  UNION ALL SELECT voter, k, CASE WHEN again THEN opened WHEN fresh THEN at_s ELSE opened END, CASE WHEN again THEN n WHEN fresh THEN 1 WHEN n < 3 THEN n + 1 ELSE n END,
   CASE WHEN NOT again AND (fresh OR n < 3) THEN map_concat(standing, MAP {subject: vote}) ELSE standing END, again OR fresh OR n < 3
   FROM (SELECT o.voter, o.k, o.at_s, o.subject, o.vote, f.opened, f.n, f.standing, coalesce(map_extract(f.standing, o.subject)[1] = o.vote, false) AS again, o.at_s - f.opened >= 60 AS fresh FROM f JOIN o ON o.voter = f.voter AND o.k = f.k + 1))
-SELECT voter, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected FROM f GROUP BY voter""")
+SELECT voter, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected FROM f GROUP BY voter"""
+
+
+def event_votes(events: DataFrame) -> DataFrame:
+    """Events as votes of their users."""
+    at_s = (F.unix_seconds(F.col("ts").cast("timestamp")) / 100).cast("long")
+    return events.select(F.col("user_id").alias("voter"), (F.col("event_id") % 5).alias("post_id"), F.when(F.col("event_type") == "click", 1).otherwise(-1).alias("vote"), at_s.alias("at_s"), F.col("event_id").alias("seq"))
+
+
+@query(VOTE_LIMIT)
 def vote_rate_limit(spark, d):
-    """Events as votes of their users: how many each got through."""
-    e = table(spark, d, "events")
-    votes = e.select(F.col("user_id").alias("voter"), (F.col("event_id") % 5).alias("post_id"), F.when(F.col("event_type") == "click", 1).otherwise(-1).alias("vote"), (F.unix_seconds(F.col("ts").cast("timestamp")) / 100).cast("long").alias("at_s"), F.col("event_id").alias("seq"))
+    """How many votes of each user got through."""
+    votes = event_votes(table(spark, d, "events"))
     return ingest.rate_limited_votes(votes, limit=3).groupBy("voter").agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"))
 
 
@@ -460,7 +472,10 @@ def chunk_coverage(spark, d):
     return C.chunk_coverage(_events(spark, d))
 
 
-@query(f"SELECT event_seq, nullif(replace(regexp_extract(lower(uuid), '([0-9a-f]{{8}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{12}})', 1), '-', ''), {q('0' * 32)}) AS uuid FROM capture_events WHERE nullif(replace(regexp_extract(lower(uuid), '([0-9a-f]{{8}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{12}})', 1), '-', ''), '') IS NOT NULL AND replace(regexp_extract(lower(uuid), '([0-9a-f]{{8}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{12}})', 1), '-', '') <> {q('0' * 32)}")
+_UUIDS = f"SELECT event_seq, nullif(replace(regexp_extract(lower(uuid), '([0-9a-f]{{8}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{12}})', 1), '-', ''), {q('0' * 32)}) AS uuid FROM capture_events WHERE nullif(replace(regexp_extract(lower(uuid), '([0-9a-f]{{8}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{12}})', 1), '-', ''), '') IS NOT NULL AND replace(regexp_extract(lower(uuid), '([0-9a-f]{{8}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{12}})', 1), '-', '') <> {q('0' * 32)}"
+
+
+@query(_UUIDS)
 def event_uuids(spark, d):
     return table(spark, d, "capture_events").select("event_seq", canonical_uuid("uuid").alias("uuid")).filter(F.col("uuid").isNotNull())
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from plover.queries import ingesting, problems, problems_sql, searching
+from plover.queries import ingesting, problems, problems_sql, searching, streams
 
 FLAGSHIP = "search_top"
-QUERIES = {**problems.QUERIES, **searching.QUERIES, **ingesting.QUERIES}
-SQL: dict[str, str] = {**problems_sql.SQL, **searching.SQL, **ingesting.SQL}
+QUERIES = {**problems.QUERIES, **searching.QUERIES, **ingesting.QUERIES, **streams.QUERIES}
+SQL: dict[str, str] = {**problems_sql.SQL, **searching.SQL, **ingesting.SQL, **streams.SQL}

@@ -505,3 +505,32 @@ def recrawl_due(spark, d):
 @query(f"WITH {POSTS} SELECT post_id FROM posts ORDER BY md5('7:' || post_id), post_id LIMIT 100")
 def corpus_sample(spark, d):
     return P.sample_posts(posts(spark, d), 100, 7).select("post_id")
+
+
+#: Times in queries and what they mean at ``NOW``, as SQL: the first instant in, the first one after.
+_TIMES = [
+    ("x since:2026-02-28", "epoch_ms(TIMESTAMP '2026-02-28')", "NULL"),
+    ("x since:7d until:12h", f"{NOW} - 7 * 86400000::BIGINT", f"{NOW} - 12 * 3600000"),
+    ("x since:2w", f"{NOW} - 14 * 86400000::BIGINT", "NULL"),
+    ("x since:2026-02-30", "NULL", "NULL"),
+    ("x today", "epoch_ms(TIMESTAMP '2026-09-07')", "NULL"),
+    ("x yesterday", "epoch_ms(TIMESTAMP '2026-09-06')", "epoch_ms(TIMESTAMP '2026-09-07')"),
+    ("x last week", f"{NOW} - 7 * 86400000::BIGINT", "NULL"),
+    ("x this month", f"{NOW} - 30 * 86400000::BIGINT", "NULL"),
+    ("x in 2024", "epoch_ms(TIMESTAMP '2024-01-01')", "epoch_ms(TIMESTAMP '2025-01-01')"),
+    ("x in march", "epoch_ms(TIMESTAMP '2026-03-01')", "epoch_ms(TIMESTAMP '2026-04-01')"),
+    ("x during december", "epoch_ms(TIMESTAMP '2025-12-01')", "epoch_ms(TIMESTAMP '2026-01-01')"),
+    ("x before june 2025", "NULL", "epoch_ms(TIMESTAMP '2025-06-01')"),
+    ("x since june", "epoch_ms(TIMESTAMP '2026-06-01')", "NULL"),
+    ("x this winter", "epoch_ms(TIMESTAMP '2025-12-01')", "epoch_ms(TIMESTAMP '2026-03-01')"),
+    ("x last summer", "epoch_ms(TIMESTAMP '2025-06-01')", "epoch_ms(TIMESTAMP '2025-09-01')"),
+    ("long march", "NULL", "NULL"),
+]
+_TIME_ROWS = ", ".join(f"({q(raw)}, CAST({since} AS BIGINT), CAST({until} AS BIGINT))" for raw, since, until in _TIMES)
+
+
+@query(f"SELECT * FROM (VALUES {_TIME_ROWS}) t(raw, since, until)")
+def date_readings(spark, d):
+    """What times in queries mean: given, relative, named."""
+    rows = [{"raw": raw, **{k: parse(raw, NOW).filters[k] for k in ("since", "until")}} for raw, _, _ in _TIMES]
+    return B.local_rows(spark, rows, "raw string, since bigint, until bigint")
