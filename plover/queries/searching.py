@@ -494,12 +494,13 @@ def highlight_terms(spark, d):
     return posts(spark, d).select("post_id", "text", marked.alias("marked")).filter(F.col("marked") != F.col("text")).select("post_id", "marked")
 
 
-_DUE = "greatest(" + ", ".join(f"CASE WHEN created_ms + {h * 3600000} <= {NOW} THEN created_ms + {h * 3600000} END" for h in P.RECRAWL_HOURS) + ")"
+AT = 1757289600000  # 2025-09-08, when the tables' first posts were young
+_DUE = "greatest(" + ", ".join(f"CASE WHEN created_ms + {h * 3600000} <= {AT} THEN created_ms + {h * 3600000} END" for h in P.RECRAWL_HOURS) + ")"
 
 
-@query(f"WITH {POSTS} SELECT post_id, {_DUE} AS due_ms FROM posts WHERE created_ms > {NOW} - 72 * 3600000 AND metrics_at < {_DUE}")
+@query(f"WITH {POSTS} SELECT post_id, {_DUE} AS due_ms FROM posts WHERE created_ms > {AT} - 72 * 3600000 AND metrics_at < {_DUE}")
 def recrawl_due(spark, d):
-    return P.recrawl_due(posts(spark, d), NOW)
+    return P.recrawl_due(posts(spark, d), AT)
 
 
 @query(f"WITH {POSTS} SELECT post_id FROM posts ORDER BY md5('7:' || post_id), post_id LIMIT 100")
